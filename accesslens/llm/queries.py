@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op6_query
 from .mixing import op5_query
+from .pii import op1_query
+from .quality import op7_query
+from .secret_scan import op4_query
 from .warc import OP3_SQL, op3_query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_query,
         "op3_warc": op3_query,
+        "op4_secrets": op4_query,
         "op5_mixing": op5_query,
+        "op6_bpe": op6_query,
+        "op7_quality": op7_query,
     }
 
 
