@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_query
+from .ctw import op2_query
 from .mixing import op5_query
 from .pii import op1_query
 from .quality import op7_query
@@ -17,6 +18,7 @@ from .warc import OP3_SQL, op3_query
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_query,
+        "op2_ctw": op2_query,
         "op3_warc": op3_query,
         "op4_secrets": op4_query,
         "op5_mixing": op5_query,
