@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_query
 from .ctw import op2_query
+from .embeddings import op10_query
 from .html_text import op8_query
 from .mixing import op5_query
 from .pii import op1_query
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6_query,
         "op7_quality": op7_query,
         "op8_html": op8_query,
+        "op10_embeddings": op10_query,
     }
 
 
