@@ -11,6 +11,7 @@ from .ctw import op2_query
 from .embeddings import op10_query
 from .html_text import op8_query
 from .mixing import op5_query
+from .neardup import op9_query
 from .pii import op1_query
 from .quality import op7_query
 from .secret_scan import op4_query
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6_query,
         "op7_quality": op7_query,
         "op8_html": op8_query,
+        "op9_neardup": op9_query,
         "op10_embeddings": op10_query,
     }
 
