@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, read_table, text_or_empty, words_of
+from .common import SPACE, read_table, stage, text_or_empty, words_of
 from .spans import bind
 
 #: Common words of languages; any other language has none.
@@ -110,7 +110,7 @@ def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     return {r["q_lang"]: (share(r["chars"]), share(r["common"])) for r in rows}
 
 
-def judge(docs: DataFrame, most_char_distance: float = MOST_CHAR_DISTANCE, most_word_distance: float = MOST_WORD_DISTANCE, least_chars: int = LEAST_CHARS, least_common: int = LEAST_COMMON) -> DataFrame:
+def judge(docs: DataFrame, most_char_distance: float = MOST_CHAR_DISTANCE, most_word_distance: float = MOST_WORD_DISTANCE, least_chars: int = LEAST_CHARS, least_common: int = LEAST_COMMON, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the measures, ``base_failed``, ``char_distance``, ``word_distance`` and ``kept``.
 
     Reads ``text`` and ``lang``; columns named like the results are replaced.  A
@@ -119,13 +119,18 @@ def judge(docs: DataFrame, most_char_distance: float = MOST_CHAR_DISTANCE, most_
     word distance is null and rejects nothing.  The character distance counts
     from ``least_chars`` characters on, the word distance from ``least_common``
     common words on.  Repeated rows are judged alike; empty tables give empty
-    results.  Texts are read twice, once for the references and once for the
-    verdicts; nothing is shuffled but five rows a task.
+    results.  ``keep`` names the columns to carry along (all, if not given).
+
+    Texts are measured once; the measures are written to the shared folder, and
+    references and verdicts come from there.  Nothing is shuffled but five rows
+    a task.
     """
     clash = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
     plain = docs.drop(*clash, "q_words", "q_text", "q_classes", "q_chars", "q_common", "q_lang")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    rows = measured(plain).withColumn("base_failed", failed)
+    keep = [c for c in (plain.columns if keep is None else keep) if c in plain.columns]
+    found = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "q_lang", "q_chars", "q_common"]
+    rows = stage(measured(plain).select(*keep, *found).withColumn("base_failed", failed), "quality-measures")
     known = references(rows.select("q_lang", "q_chars", "q_common", "n_words", "base_failed"))
     if not known:
         known = {"": ([0.0] * (len(CLASSES) + 1), [])}
@@ -144,5 +149,5 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op7_query(spark, sf_dir):
-    judged = judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
