@@ -35,6 +35,7 @@ ALPHABETS = {
 }
 CLASSES = (24, 32, 40, 64)
 RATE = 0.05
+RUNS = "array<struct<s:int,e:int,m:string,kind:string>>"
 TESTED = "array<struct<s:int,e:int,class:int,p:double>>"
 
 
@@ -63,43 +64,49 @@ def encoding(run: Column) -> Column:
     return F.when(~both, None).when(run.rlike("^(?:[0-9a-f]+|[0-9A-F]+)\\z"), "hex").when(run.rlike("^[A-Z2-7]+\\z"), "base32").when(run.rlike("^[A-Z0-9]+\\z"), "base36").when(run.rlike("[a-z]") & run.rlike("[A-Z]"), "base64")
 
 
-def battery(run: Column, alphabet: str) -> Column:
-    """Fisher's combined p-value of the three tests, against uniform symbols of ``alphabet``."""
-    a = len(alphabet)
+def battery(run: Column, kind: Column) -> Column:
+    """Fisher's combined p-value of the three tests of a run, against uniform symbols of its encoding."""
 
     def tests(b: Column) -> Column:
-        codes, n = b["codes"], b["n"]
+        codes, n, a = b["codes"], b["n"], b["a"]
         squares = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.size(F.array_remove(codes, c)), 2))
-        chi, df = squares * a / n - n, a - 1
-        z_chi = (F.cbrt(F.greatest(chi, F.lit(0.0)) / df) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-        turns = F.aggregate(F.sequence(F.lit(1), b["m"] - 1), F.lit(0.0), lambda acc, i: acc + ((F.get(codes, i) >= a / 2) != (F.get(codes, i - 1) >= a / 2)).cast("int"))
-        z_runs = (turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-        mean, spread = (a - 1) / 2, (a * a - 1) / 12
-        serial = F.aggregate(F.sequence(F.lit(1), b["m"] - 1), F.lit(0.0), lambda acc, i: acc + (F.get(codes, i) - mean) * (F.get(codes, i - 1) - mean))
-        z_serial = serial / (F.sqrt(n - 1) * spread)
-        least = F.lit(1e-300)
-        logs = [F.log(F.greatest(p, least)) for p in (upper_tail(z_chi), 2 * upper_tail(F.abs(z_runs)), 2 * upper_tail(F.abs(z_serial)))]
-        half = -(logs[0] + logs[1] + logs[2])
-        return F.least(F.lit(1.0), F.exp(-half) * (1 + half + half * half / 2))
-
-    plain = F.regexp_replace(F.lower(run) if alphabet == ALPHABETS["hex"] else F.translate(run, "-_", "+/"), "=+\\z", "")
-    codes = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(alphabet)) - 1)
-    return bind(codes, lambda cs: bind(F.struct(cs.alias("codes"), F.size(cs).cast("double").alias("n"), F.size(cs).alias("m")), tests))
-
-
-def tested(text: Column) -> Column:
-    """Runs with an inferred encoding: offsets, class of length and p-value, as ``TESTED``."""
+        df = a - 1
+        z_chi = (F.cbrt(F.greatest(squares * a / n - n, F.lit(0.0)) / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        mean, spread, start = (a - 1) / 2, (a * a - 1) / 12, F.struct(F.lit(0.0).alias("turns"), F.lit(0.0).alias("serial"))
+
+        def step(acc: Column, i: Column) -> Column:
+            x, y = F.get(codes, i), F.get(codes, i - 1)
+            return F.struct((acc["turns"] + ((x > mean) != (y > mean)).cast("int")).alias("turns"), (acc["serial"] + (x - mean) * (y - mean)).alias("serial"))
+
+        def combined(w: Column) -> Column:
+            z_runs = (w["turns"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+            z_serial = w["serial"] / (F.sqrt(n - 1) * spread)
+            tails = F.transform(F.array(z_chi, F.abs(z_runs), F.abs(z_serial)), lambda z, i: F.log(F.greatest(upper_tail(z) * F.when(i == 0, 1).otherwise(2), F.lit(1e-300))))
+            return bind(-F.aggregate(tails, F.lit(0.0), lambda acc, t: acc + t), lambda half: F.least(F.lit(1.0), F.exp(-half) * (1 + half + half * half / 2)))
+
+        return bind(F.aggregate(F.sequence(F.lit(1), F.size(codes) - 1), start, step), combined)
+
+    alphabet = F.element_at(F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair]), kind)
+    plain = F.regexp_replace(F.when(kind == "hex", F.lower(run)).otherwise(F.translate(run, "-_", "+/")), "=+\\z", "")
+    coded = bind(alphabet, lambda al: F.struct(F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.position(c, al) - 1).alias("codes"), F.length(plain).cast("double").alias("n"), F.length(al).cast("double").alias("a")))
+    return bind(coded, tests)
+
+
+def candidates(text: Column) -> Column:
+    """Runs with an inferred encoding: offsets, the run and its encoding, as ``RUNS``."""
+    found = F.transform(matches(text, RUN, text.rlike(RUN)), lambda x: F.struct(x["s"], x["e"], x["m"], encoding(x["m"]).alias("kind")))
+    return F.filter(found, lambda x: x["kind"].isNotNull()).cast(RUNS)
+
+
+def tested(runs: Column) -> Column:
+    """Offsets, class of length and p-value of each of ``RUNS``, as ``TESTED``."""
 
     def one(x: Column) -> Column:
-        kind, n = encoding(x["m"]), x["e"] - x["s"]
-        p = F.lit(None).cast("double")
-        for name, alphabet in ALPHABETS.items():
-            p = F.when(kind == name, battery(x["m"], alphabet)).otherwise(p)
+        n = x["e"] - x["s"]
         klass = sum(((n >= c).cast("int") for c in CLASSES), F.lit(0))
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), klass.alias("class"), p.alias("p"))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), klass.alias("class"), battery(x["m"], x["kind"]).alias("p"))
 
-    found = F.filter(matches(text, RUN, text.rlike(RUN)), lambda x: encoding(x["m"]).isNotNull())
-    return F.transform(found, one).cast(TESTED)
+    return F.transform(runs, one).cast(TESTED)
 
 
 def false_discovery_bounds(rows: DataFrame, rate: float = RATE) -> list[float]:
@@ -127,12 +134,13 @@ def find_secrets(docs: DataFrame, rate: float = RATE, keep: list[str] | None = N
     treated alike (and count alike in the false-discovery control); empty
     tables give empty results.
 
-    One pass over the texts is written to the shared folder; five numbers come
-    to the driver.
+    One pass over the texts finds spans and runs and is written to the shared
+    folder; the tests and bounds come from there.  Five numbers go to the driver.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("secret_base", "secret_spans", "runs")]
     text = text_or_empty()
-    rows = stage(docs.select(*keep, base_spans(text).alias("secret_base"), tested(text).alias("runs")), "secret-rows")
+    rows = stage(docs.select(*keep, base_spans(text).alias("secret_base"), candidates(text).alias("runs")), "secret-rows")
+    rows = rows.withColumn("runs", tested(F.col("runs")))
     bounds = false_discovery_bounds(rows, rate)
 
     def random(x: Column) -> Column:
