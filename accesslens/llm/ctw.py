@@ -310,11 +310,35 @@ def train(texts: DataFrame, parts: int, most_nodes: int = MOST_NODES, least_shar
 # --- scoring -----------------------------------------------------------------
 
 
+def mixtures(keys: np.ndarray, p: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of each node the mixed probability of a one where it is the deepest kept node of a context.
+
+    A node's ancestors are known by its key, and they are all kept, as they have
+    at least its visits.
+    """
+    order = np.argsort(keys)
+    keys, p, w = keys[order], p[order], w[order]
+    above, carry, mixed_p = np.zeros(len(keys)), np.ones(len(keys)), p.copy()
+    depth = (keys >> U(56)).astype(np.int64)
+    for d in range(1, DEPTH + 1):
+        own = np.flatnonzero(depth == d)
+        if not len(own):
+            break
+        context = (keys[own] >> U(8)) & U((1 << 48) - 1)
+        parent = np.searchsorted(keys, node_key(d - 1, context >> U(8), keys[own] & U(255)))
+        above[own] = above[parent] + carry[parent] * w[parent] * p[parent]
+        carry[own] = carry[parent] * (1 - w[parent])
+        mixed_p[own] = above[own] + carry[own] * p[own]
+    out = np.empty(len(keys))
+    out[order] = mixed_p
+    return out
+
+
 def pack_model(keys: np.ndarray, p: np.ndarray, w: np.ndarray) -> dict:
-    """An open hash table of the nodes, at most half full: key, probability of a one, weight."""
+    """An open hash table of the nodes, at most half full: key and mixed probability of a one."""
     bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
     size = 1 << bits
-    table, pp, ww = np.zeros(size, np.uint64), np.zeros(size, np.float32), np.zeros(size, np.float32)
+    table, pp, q = np.zeros(size, np.uint64), np.full(size, 0.5, np.float32), mixtures(keys, p, w)
     slot = (mixed(keys) >> U(64 - bits)).astype(np.int64)
     left = np.arange(len(keys))
     while len(left):
@@ -322,10 +346,10 @@ def pack_model(keys: np.ndarray, p: np.ndarray, w: np.ndarray) -> dict:
         free = table[s] == 0
         table[s[free]] = keys[left[free]]  # of those that want one slot, the last gets it
         got = table[s] == keys[left]
-        pp[s[got]], ww[s[got]] = p[left[got]], w[left[got]]
+        pp[s[got]] = q[left[got]]
         left = left[~got]
         slot[left] = (slot[left] + 1) % size
-    return {"bits": bits, "keys": table, "p": pp, "w": ww}
+    return {"bits": bits, "keys": table, "p": pp}
 
 
 def find(model: dict, keys: np.ndarray) -> np.ndarray:
@@ -344,25 +368,27 @@ def find(model: dict, keys: np.ndarray) -> np.ndarray:
 
 
 def log10_of(model: dict, grams: np.ndarray) -> np.ndarray:
-    """log10 of the probability of the last byte of each key, given the bytes before it."""
+    """log10 of the probability of the last byte of each key, given the bytes before it.
+
+    Wherever a context is kept, so are its suffixes; a search by halves finds
+    the longest kept one of each decision.
+    """
     logs = np.zeros(len(grams))
     context, byte = grams >> U(8), grams & U(255)
+    shift = (8 * (DEPTH - np.arange(DEPTH + 1))).astype(np.uint64)
     for level in range(8):
         index = (U(1 << level) | (byte >> U(8 - level))) if level else np.ones(len(grams), np.uint64)
         one = ((byte >> U(7 - level)) & U(1)).astype(bool)
-        mix, carry = np.zeros(len(grams)), np.ones(len(grams))
-        last, weight = np.full(len(grams), 0.5), np.zeros(len(grams))
-        alive = np.arange(len(grams))
-        for d in range(DEPTH + 1):
-            slot = find(model, node_key(d, context[alive] >> U(8 * (DEPTH - d)), index[alive]))
-            ok = slot >= 0
-            alive, slot = alive[ok], slot[ok]
-            if not len(alive):
-                break
-            mix[alive] += carry[alive] * weight[alive] * last[alive]
-            carry[alive] *= 1 - weight[alive]
-            last[alive], weight[alive] = model["p"][slot], model["w"][slot]
-        p = mix + carry * last
+        low, high = np.full(len(grams), -1), np.full(len(grams), DEPTH)  # kept at low (or nothing is), not above high
+        best = np.full(len(grams), -1)
+        while len(todo := np.flatnonzero(low < high)):
+            middle = (low[todo] + high[todo] + 1) // 2
+            key = (middle.astype(np.uint64) << U(56)) | ((context[todo] >> shift[middle]) << U(8)) | index[todo]
+            slot = find(model, key)
+            hit = slot >= 0
+            low[todo[hit]], best[todo[hit]] = middle[hit], slot[hit]
+            high[todo[~hit]] = middle[~hit] - 1
+        p = np.where(best >= 0, model["p"][best], 0.5).astype(np.float64)
         logs += np.log10(np.where(one, p, 1 - p))
     return logs
 
@@ -370,21 +396,21 @@ def log10_of(model: dict, grams: np.ndarray) -> np.ndarray:
 class Scorer:
     """Scores keys; remembers the latest in a table of fixed size."""
 
-    BITS = 21
+    BITS = 22
 
     def __init__(self, model: dict):
         self.model = model
         self.keys = np.full(1 << self.BITS, ~U(0), np.uint64)
-        self.logs = np.zeros(1 << self.BITS)
+        self.logs = np.zeros(1 << self.BITS, np.float32)
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
         slot = (mixed(grams) >> U(64 - self.BITS)).astype(np.int64)
         hit = self.keys[slot] == grams
-        out = np.where(hit, self.logs[slot], 0.0)
+        out = np.where(hit, self.logs[slot], 0.0).astype(np.float64)
         miss = np.flatnonzero(~hit)
         if len(miss):
             new, back = np.unique(grams[miss], return_inverse=True)
-            logs = log10_of(self.model, new)
+            logs = log10_of(self.model, new).astype(np.float32)
             out[miss] = logs[back]
             s = (mixed(new) >> U(64 - self.BITS)).astype(np.int64)
             self.keys[s] = new
