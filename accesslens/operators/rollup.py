@@ -91,7 +91,8 @@ def roll_up(records: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     """The five tables of parsed records.
 
     Only a minute's ``top_uris`` requests with the most hits are kept, and what
-    belongs to them; of their addresses, ``top_ips`` of each type.
+    belongs to them; of their addresses, ``top_ips`` of each type.  Each table is
+    a query of its own over ``records``, which had better be a written table.
     """
     valid = records.where("is_valid")
     uri = top(measures(valid, [*KEY, "uri_abs"]), KEY, settings.top_uris, "first_seq")
@@ -100,7 +101,8 @@ def roll_up(records: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     ips = address_rows(valid).groupBy(*KEY, "uri_abs", "type", "ip").agg(F.count("*").alias("hits"), F.sum("time_ms").alias("time_ms"), F.sum("bytes").alias("bytes"), F.min("seq").alias("first_seq"))
     ip = top(ips, [*KEY, "uri_abs", "type"], settings.top_ips, "first_seq")
     if settings.top_uris is not None:
-        kept = uri.select(*KEY, "uri_abs")
+        counted = valid.groupBy(*KEY, "uri_abs").agg(F.count("*").alias("hits"), F.min("seq").alias("first_seq"))
+        kept = top(counted, KEY, settings.top_uris, "first_seq").select(*KEY, "uri_abs")
         args, error, ip = (t.join(kept, [*KEY, "uri_abs"], "left_semi") for t in (args, error, ip))
     tables = {"minute_totals": minute_totals(placed(records)), "minute_uri": uri, "minute_args": args, "minute_error": error, "minute_ip": ip}
     return {name: t.drop("first_seq") for name, t in tables.items()}

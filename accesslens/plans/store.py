@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.requests import retention_cutoff
-from ..operators.rollup import TABLES
+from ..operators.rollup import SOURCES, TABLES
+
+
+_KEY = "server string, minute_key string"
+_SUMS = "hits long, time_ms long, bytes long"
+_STATS = ", ".join(f"{q}_{kind} double" for kind in ("time_ms", "bytes") for q in ("q2", "q3", "max"))
+_SOURCES = ", ".join(f"{s}_{x} long" for s in SOURCES.values() for x in ("hits", "bytes", "time_ms"))
+#: Columns of the stored tables; the last two name the partition.
+SCHEMAS = {
+    "minute_totals": f"{_KEY}, total_hits long, invalid_hits long, error_hits long, total_bytes long, total_time_ms long, {_SOURCES}, unclassified_hits long",
+    "minute_uri": f"{_KEY}, uri_abs string, {_SUMS}, {_STATS}, rank int",
+    "minute_args": f"{_KEY}, uri_abs string, args_abs string, {_SUMS}, {_STATS}, method string",
+    "minute_error": f"{_KEY}, uri_abs string, error_code int, {_SUMS}, {_STATS}, method string",
+    "minute_ip": f"{_KEY}, uri_abs string, type string, ip string, {_SUMS}, rank int",
+}
 
 
 def write_tables(tables: dict[str, DataFrame], root: str) -> None:
@@ -18,7 +32,7 @@ def write_tables(tables: dict[str, DataFrame], root: str) -> None:
 
 def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables; filters on minutes reach the day partitions through ``day_bounds``."""
-    return {name: spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}").withColumn("day", F.col("day").cast("string")) for name in TABLES}
+    return {name: spark.read.schema(f"{SCHEMAS[name]}, site string, day string").parquet(f"{root}/{name}") for name in TABLES}
 
 
 def day_bounds(tables: dict[str, DataFrame], start: str | None, end: str | None) -> dict[str, DataFrame]:

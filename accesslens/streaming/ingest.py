@@ -15,7 +15,7 @@ from ..config import Settings
 from ..operators.parse import parse_lines
 from ..operators.rollup import placed, roll_up
 from ..plans.store import write_tables
-from ..sources.logs import site_of
+from ..sources.logs import read_lines, site_of
 
 
 def batch_writer(settings: Settings, root: str):
@@ -46,10 +46,13 @@ def ingest_files(spark: SparkSession, path: str, server: str, settings: Settings
 
 
 def ingest(spark: SparkSession, settings: Settings, server: str, root: str, paths: list[str] | None = None) -> None:
-    """Take in whole files in one batch, replacing the days they hold."""
-    from ..sources.logs import read_lines
+    """Take in whole files in one batch, replacing the days they hold.
 
-    write_tables(roll_up(parse_lines(read_lines(spark, settings, server, paths), settings), settings), root)
+    Lines are parsed once; the written records feed all five tables.
+    """
+    records = parse_lines(read_lines(spark, settings, server, paths), settings)
+    records.write.mode("overwrite").parquet(f"{root}/parsed")
+    write_tables(roll_up(spark.read.schema(records.schema).parquet(f"{root}/parsed"), settings), root)
 
 
 def streaming_totals(lines: DataFrame, settings: Settings, delay: str = "10 minutes") -> DataFrame:
