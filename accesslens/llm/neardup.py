@@ -37,6 +37,9 @@ PURE = 0.55
 #: Members of a list beyond which its value is frequent and it is compared in blocks.
 LONG = 24
 BLOCK = 1024
+#: Values of the wider sketches that blocks compare, and of those compared at a time.
+WIDE = 1024
+PIECE = 4096
 #: An estimate is at fault by less than this many standard deviations.
 DEVIATIONS = 4.0
 #: Rows of a table of keys that may be broadcast; beyond that it is joined by shuffle.
@@ -173,13 +176,24 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(s, "a").join(t, "b").select("a", "b", "s", "t", "sn", "tn").mapInArrow(run, "a long, b long")
 
 
-def incidence(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """A row for each of ``rows`` with a one for each of the sorted ``values`` it holds."""
-    out = np.zeros((len(rows), len(values)), np.float32)
-    if len(values):
-        at = np.minimum(np.searchsorted(values, rows), len(values) - 1)
-        r, c = np.nonzero(values[at] == rows)
-        out[r, at[r, c]] = 1
+def shared_counts(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many values each of ``rows`` shares with each of ``others``, in pieces of bounded size."""
+    values = np.intersect1d(rows[rows != LAST], others[others != LAST])
+    out = np.zeros((len(rows), len(others)), np.float32)
+
+    def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+        r, c = np.nonzero(values[at] == x)
+        return r, at[r, c]
+
+    if not len(values):
+        return out
+    (ra, va), (rb, vb) = places(rows), places(others)
+    for low in range(0, len(values), PIECE):
+        a, b = np.zeros((len(rows), PIECE), np.float32), np.zeros((len(others), PIECE), np.float32)
+        i, j = (va >= low) & (va < low + PIECE), (vb >= low) & (vb < low + PIECE)
+        a[ra[i], va[i] - low], b[rb[j], vb[j] - low] = 1, 1
+        out += a @ b.T
     return out
 
 
@@ -192,25 +206,40 @@ def block_pairs(value: int, side: np.ndarray, row: np.ndarray, n: np.ndarray, pa
     one, two = np.flatnonzero(side), np.flatnonzero(~side)
     if not len(one) or not len(two):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    shared = lambda x, y: np.intersect1d(x[x != LAST], y[y != LAST])
     before = np.where(listed < value, listed, LAST)
-    known = shared(before[one], before[two])
-    earlier = incidence(before[one], known) @ incidence(before[two], known).T
-    both = shared(sketch[one], sketch[two])
-    common = incidence(sketch[one], both) @ incidence(sketch[two], both).T
+    earlier = shared_counts(before[one], before[two])
+    common = shared_counts(sketch[one], sketch[two])
     a, b = [], []
     for k, i in enumerate(one):
         fit = (earlier[k] == 0) & (part[two] != part[i]) & (done[two] | (row[two] > row[i]))
         fit &= np.minimum(n[two], n[i]) * 100 >= np.maximum(n[two], n[i]) * LEAST_PERCENT
         at = np.flatnonzero(fit)
         if len(at):
-            x = sketch[i, : min(SKETCH, n[i])]
+            x = sketch[i, : min(sketch.shape[1], n[i])]
             hit = row[two[at[possible(x, n[i], sketch[two[at]], n[two[at]], common[k, at])]]]
             a.append(np.minimum(hit, row[i]))
             b.append(np.maximum(hit, row[i]))
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``row, nd_text`` of the classes whose ``row`` is in ``ids``; other texts are not shuffled while the ids are few."""
+    wanted = stage(classes.select("row", "key1", "key2").join(ids, "row"), "nd-wanted")
+    texts = keyed_texts(docs).drop("doc_id").join(small_or_shuffled(wanted), ["key1", "key2"])
+    return stage(texts.groupBy("row").agg(F.first("nd_text").alias("nd_text")), "nd-texts")
+
+
+def wide_sketches(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``row, wide``: the ``WIDE`` smallest hashes of some classes."""
+
+    def run(batches):
+        for batch in batches:
+            wide = [shingle_set(x.as_py())[:WIDE] for x in batch.column("nd_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(wide, pa.list_(pa.int64()))], ["row", "wide"])
+
+    return stage(texts_of(ids, classes, docs).mapInArrow(run, "row long, wide array<long>"), "nd-wide")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of distinct pairs ``a, b`` whose whole sets reach the similarity.
 
@@ -232,16 +261,13 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    wanted = stage(classes.select("row", "key1", "key2").join(ids, "row"), "nd-wanted")
-    texts = keyed_texts(docs).drop("doc_id").join(small_or_shuffled(wanted), ["key1", "key2"])
-    texts = stage(texts.groupBy("row").agg(F.first("nd_text").alias("nd_text")), "nd-texts")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), classes, docs)
     s = texts.select(F.col("row").alias("a"), F.col("nd_text").alias("s"))
     t = texts.select(F.col("row").alias("b"), F.col("nd_text").alias("t"))
     return stage(pairs.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "nd-links")
 
 
-def open_pairs(members: DataFrame, linked: DataFrame, classes: DataFrame) -> DataFrame:
+def open_pairs(members: DataFrame, linked: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Likely pairs of list members that no links found so far connect, but for those with the list's centre.
 
     Short lists are joined with themselves.  Long ones meet block by block: a
@@ -264,14 +290,14 @@ def open_pairs(members: DataFrame, linked: DataFrame, classes: DataFrame) -> Dat
     salt = F.pmod(F.xxhash64("row"), F.lit(1 << 20))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     listed = stage(long.groupBy("row").agg(F.sort_array(F.collect_list("value")).alias("listed")), "nd-listed")
-    sized = long.join(listed, "row").join(classes.select("row", "sketch"), "row").withColumn("rows", blocks("open")).withColumn("columns", blocks("f"))
-    columns = ["done", "row", "n", "part", "sketch", "listed"]
+    sized = long.join(listed, "row").join(wide_sketches(listed.select("row"), classes, docs), "row").withColumn("rows", blocks("open")).withColumn("columns", blocks("f"))
+    columns = ["done", "row", "n", "part", "wide", "listed"]
     left = sized.where("not done").select("value", F.pmod(salt, "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), F.lit(True).alias("left"), *columns)
     right = sized.select("value", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(salt, "columns").cast("int").alias("j"), F.lit(False).alias("left"), *columns)
 
     def run(table: pa.Table) -> pa.Table:
         arrays = [table.column(c).to_numpy() for c in ("left", "row", "n", "part", "done")]
-        sketch = padded([x.values.to_numpy() for x in table.column("sketch")])
+        sketch = padded([x.values.to_numpy() for x in table.column("wide")], WIDE)
         lists_ = padded([x.values.to_numpy() for x in table.column("listed")], 2 * LISTED)
         a, b = block_pairs(table.column("value")[0].as_py(), *arrays, sketch, lists_)
         return pa.table({"a": a, "b": b})
@@ -299,7 +325,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centres = members.select(F.col("centre")).distinct().join(classes.select(F.col("row").alias("centre"), F.col("n").alias("cn")), "centre")
     star = stage(members.where("row <> centre").select(*pair, "n", "centre").distinct().join(centres, "centre").where(enough("n", "cn")).select("a", "b").distinct(), "nd-star")
     linked = verified(stage(likely(star, classes), "nd-likely"), classes, docs)
-    rest = open_pairs(members, linked, classes).join(star, ["a", "b"], "left_anti")
+    rest = open_pairs(members, linked, classes, docs).join(star, ["a", "b"], "left_anti")
     more = verified(stage(rest, "nd-rest"), classes, docs)
     root = components(linked.unionByName(more)).select(F.col("node").alias("class"), "root")
     rooted = groups.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
