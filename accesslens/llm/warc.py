@@ -211,6 +211,7 @@ def normalise(decided: DataFrame, folder: str, to: str) -> DataFrame:
         return pa.table({"archive": pa.array([new]), "records": pa.array([n], pa.int64())})
 
     small = decided.select("archive", "position", "refers_to")
+    small = small.repartition(max(1, small.select("archive").distinct().count()), "archive")  # rows are few, their files large
     return stage(small.groupBy("archive").applyInArrow(rewrite, PLACED), "warc-placed")
 
 
