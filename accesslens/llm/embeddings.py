@@ -23,18 +23,22 @@ from .common import read_table, stage
 from .graph import components
 
 LEAST_COSINE = 0.9
-#: Vectors this near to a centre are in its ball: twice the angle is far below that of LEAST_COSINE.
-BALL_COSINE = 0.998
+#: Vectors this near to a centre are in its ball: twice that angle is below the angle of LEAST_COSINE.
+BALL_COSINE = 0.976
 TABLES = 8
 PROBES = 4
 ROUNDS = 4
-#: Balls in a bucket beyond which it is split by further hashes; and beyond which, after that, blocks of it meet.
+#: Balls in a bucket beyond which they meet block by block, and balls in a block.
 MOST_IN_BUCKET = 64
-EXTRA = 2
 BLOCK = 512
 SEED = 20240229
 
 
+def rotation_width(d: int) -> int:
+    """Components that a rotation works on: a power of two, four at least."""
+    return 1 << max(2, (d - 1).bit_length())
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows, orthonormal; the width is a power of two."""
     n, width = x.shape
@@ -49,7 +53,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 def axes(x: np.ndarray, table: int, k: int, best: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``best`` axes of each of ``k`` rotations of a table, and how far each is behind the first: (n, k, best)."""
     n, d = x.shape
-    width = 1 << max(1, (d - 1).bit_length())
+    width = rotation_width(d)
     padded = np.zeros((n, width))
     padded[:, :d] = x
     ids, gaps = np.empty((n, k, best), np.int64), np.empty((n, k, best))
@@ -67,17 +71,17 @@ def axes(x: np.ndarray, table: int, k: int, best: int) -> tuple[np.ndarray, np.n
     return ids, gaps
 
 
-def buckets(x: np.ndarray, table: int, k: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each row, then those of its ``probes`` likeliest neighbours, and its extra hashes: (n, 1 + probes), (n, EXTRA)."""
-    ids, gaps = axes(x, table, k + EXTRA, 3)
+def buckets(x: np.ndarray, table: int, k: int, probes: int) -> np.ndarray:
+    """Bucket of each row, then those of its ``probes`` likeliest neighbours: (n, 1 + probes)."""
+    ids, gaps = axes(x, table, k, 3)
     n, base = len(x), ids[:, :k, 0]
-    radix = (2 << max(1, (x.shape[1] - 1).bit_length())) ** np.arange(k, dtype=object)
+    radix = (2 * rotation_width(x.shape[1])) ** np.arange(k, dtype=object)
     weight = np.array([int(r) % (1 << 61) for r in radix], dtype=np.int64)
     key = (base * weight).sum(1)
     moves = gaps[:, :k, 1:].reshape(n, -1)
     shift = ((ids[:, :k, 1:] - base[:, :, None]) * weight[None, :, None]).reshape(n, -1)
     pick = np.argsort(moves, axis=1, kind="stable")[:, :probes]
-    return np.concatenate([key[:, None], key[:, None] + np.take_along_axis(shift, pick, 1)], axis=1), ids[:, k:, 0]
+    return np.concatenate([key[:, None], key[:, None] + np.take_along_axis(shift, pick, 1)], axis=1)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -120,7 +124,7 @@ def hashed(vectors: DataFrame, tables: range, k: int, probes: int, extra: str) -
                 part = batch.take(pa.array(own))
                 x = _matrix(part.column("unit"))
                 for t in tables:
-                    keys, more = buckets(x, t, k, probes)
+                    keys = buckets(x, t, k, probes)
                     width = keys.shape[1]
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -128,14 +132,13 @@ def hashed(vectors: DataFrame, tables: range, k: int, probes: int, extra: str) -
                             pa.array(np.full(keys.size, t, np.int32)),
                             pa.array(np.full(keys.size, dim, np.int32)),
                             pa.array(keys.ravel()),
-                            pa.array(np.repeat(more[:, 0] * 65536 + more[:, 1], width)),
                             pa.array(np.tile(np.arange(width) > 0, len(keys))),
                         ],
-                        [extra, "table", "dim", "bucket", "extra", "probe"],
+                        [extra, "table", "dim", "bucket", "probe"],
                     )
 
     columns = list(dict.fromkeys(["dim", "unit", extra]))
-    return vectors.select(*columns).mapInArrow(run, f"{extra} long, table int, dim int, bucket long, extra long, probe boolean")
+    return vectors.select(*columns).mapInArrow(run, f"{extra} long, table int, dim int, bucket long, probe boolean")
 
 
 def cosines(pairs: DataFrame, keep: list[str]) -> DataFrame:
@@ -172,48 +175,41 @@ def gather(vectors: DataFrame, k: int) -> DataFrame:
     return stage(done.unionByName(open_.select("row", F.col("row").alias("ball"), F.lit(1.0).alias("cosine"))), "balls")
 
 
+BUCKET = ["table", "dim", "bucket"]
+
+
 def ball_pairs(members: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs ``p < q`` of balls that meet in a bucket, and the rows of crowded buckets.
 
-    A ball comes once to a bucket, however many of its vectors fall there.  A
-    bucket with too many balls is split by further hashes of the vectors; what
-    is too large even then is paired block by block.
+    A ball comes once to a bucket, however many of its vectors fall there; of
+    two balls that meet, one is in its own bucket and not just probing.
     """
-    rows = stage(hashed(members, range(TABLES), k, PROBES, "ball").groupBy("table", "dim", "bucket", "extra", "ball").agg(F.min("probe").alias("probe")), "ball-buckets")
-    main = rows.where("not probe")
-    sizes = main.select("table", "dim", "bucket", "ball").distinct().groupBy("table", "dim", "bucket").agg(F.count("*").alias("n"))
-    large = stage(sizes.where(F.col("n") > MOST_IN_BUCKET).select("table", "dim", "bucket"), "large-buckets")
-    key = ["table", "dim", "bucket"]
-    small = rows.join(large, key, "left_anti").select(*key, "ball", "probe").distinct()
-    a, b = small.where("not probe").select(*key, F.col("ball").alias("p")), small.select(*key, F.col("ball").alias("q"))
-    met = a.join(b, key)
-    split = rows.join(large, key, "left_semi")
-    finer = [*key, "extra"]
-    counts = stage(split.where("not probe").groupBy(*finer).agg(F.count("*").alias("n")), "split-buckets")
-    fine = split.join(counts.where(F.col("n") <= MOST_IN_BUCKET).select(*finer), finer, "left_semi")
-    met_fine = fine.where("not probe").select(*finer, F.col("ball").alias("p")).join(fine.select(*finer, F.col("ball").alias("q")), finer)
-    crowded = split.join(counts.where(F.col("n") > MOST_IN_BUCKET).select(*finer), finer, "left_semi").where("not probe")
-    return stage(met.select("p", "q").unionByName(met_fine.select("p", "q")).where("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct(), "ball-pairs"), crowded.select(*finer, "ball")
+    rows = stage(hashed(members, range(TABLES), k, PROBES, "ball").groupBy(*BUCKET, "ball").agg(F.min("probe").alias("probe")), "ball-buckets")
+    crowded = stage(rows.groupBy(*BUCKET).agg(F.count("*").alias("n")).where(F.col("n") > MOST_IN_BUCKET), "crowded-buckets")
+    few = rows.join(crowded.select(*BUCKET), BUCKET, "left_anti")
+    met = few.where("not probe").select(*BUCKET, F.col("ball").alias("p")).join(few.select(*BUCKET, F.col("ball").alias("q")), BUCKET)
+    pairs = met.where("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    return stage(pairs, "ball-pairs"), rows.join(crowded, BUCKET)
 
 
 def crowd_pairs(crowded: DataFrame, centres: DataFrame, least: float) -> DataFrame:
     """Pairs of balls of crowded buckets whose centres are near: blocks of a bucket against blocks, in bounded memory."""
-    key = ["table", "dim", "bucket", "extra"]
-    spread = crowded.join(centres.select("ball", "unit"), "ball").withColumn("salt", F.pmod(F.xxhash64("ball"), F.lit(1 << 20)))
-    sizes = crowded.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = spread.join(sizes, key).withColumn("block", F.pmod("salt", F.col("blocks")))
-    left = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "ball", "unit")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = crowded.join(centres.select("ball", "unit"), "ball").withColumn("blocks", blocks).withColumn("block", F.pmod(F.pmod(F.xxhash64("ball"), F.lit(1 << 20)), "blocks").cast("int"))
+    left = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*BUCKET, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "probe", "ball", "unit")
 
     def run(table: pa.Table) -> pa.Table:
-        x, block, ball = _matrix(table.column("unit")), table.column("block").to_numpy(), table.column("ball").to_numpy()
+        x = _matrix(table.column("unit"))
+        block, probe, ball = (table.column(c).to_numpy() for c in ("block", "probe", "ball"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
         s, t = np.nonzero(x[one] @ x[two].T >= least)
-        p, q = ball[one][s], ball[two][t]
-        ok = p < q if i == j else p != q
-        return pa.table({"p": np.minimum(p, q)[ok], "q": np.maximum(p, q)[ok]})
+        s, t = one[s], two[t]
+        ok = ~(probe[s] & probe[t]) & ((ball[s] < ball[t]) if i == j else (ball[s] != ball[t]))
+        p, q = ball[s[ok]], ball[t[ok]]
+        return pa.table({"p": np.minimum(p, q), "q": np.maximum(p, q)})
 
-    return left.groupBy(*key, "i", "j").applyInArrow(run, "p long, q long")
+    return left.groupBy(*BUCKET, "i", "j").applyInArrow(run, "p long, q long")
 
 
 def link(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", least_cosine: float = LEAST_COSINE) -> DataFrame:
@@ -233,12 +229,14 @@ def link(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "em
     rows = prepare(vectors, id_column, vector_column)
     valid = rows.where("unit is not null")
     n, width = valid.count(), valid.agg(F.max("dim")).first()[0] or 1
-    k = max(1, min(6, math.ceil(math.log(max(n, 2)) / math.log(2 << max(1, (width - 1).bit_length())))))
+    k = max(1, min(6, math.ceil(math.log(max(n, 2)) / math.log(2 * rotation_width(width)))))
     ball = gather(valid, k)
     members = stage(valid.join(ball, "row").select("row", "dim", "unit", "ball", "cosine"), "ball-members")
     centres = stage(members.groupBy("ball").agg(F.count("*").alias("size"), F.min("cosine").alias("reach")).join(valid.select(F.col("row").alias("ball"), "unit"), "ball"), "ball-balls")
     pairs, crowded = ball_pairs(members, k)
     angle, reach = math.acos(least_cosine), math.acos(BALL_COSINE)
+    if 2 * reach > angle:
+        raise ValueError("balls are too wide for that cosine")
     more = crowd_pairs(crowded, centres, math.cos(min(math.pi, angle + 2 * reach)))
     pairs = pairs.unionByName(more).distinct()
     u = centres.select(F.col("ball").alias("p"), F.col("unit").alias("u"))
