@@ -42,7 +42,7 @@ U = np.uint64
 GRAMS = "part int, grams binary"
 NODES = "kind int, key long, a double, b double, n double"
 WORDS = "word long, n long"
-SCORES = "doc_row long, n_tokens long, known long, base double, score double, rare array<struct<word:long,n:long>>"
+SCORES = "held_out boolean, doc_row long, n_tokens long, known long, base double, score double, rare array<struct<word:long,n:long>>"
 
 
 # --- packing -----------------------------------------------------------------
@@ -473,7 +473,7 @@ def score(docs: DataFrame, keep: list[str] | None = None, most_nodes: int = MOST
     """
     spark = docs.sparkSession
     names = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*names, "ctw_text", "doc_row")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*names, "ctw_text", "doc_row", "known", "base", "rare")]
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
     text = text_or_empty().cast("string")
     training = docs.where(~held_out).select(text.alias("text"))
@@ -495,11 +495,10 @@ def score(docs: DataFrame, keep: list[str] | None = None, most_nodes: int = MOST
             _WORKER.update(model=model.value, scorer=Scorer(model.value))
         scorer, (vocabulary, n_of) = _WORKER["scorer"], words.value
         for batch in batches:
-            rows, texts = batch.column("doc_row").to_pylist(), batch.column("ctw_text")
-            at = 0
-            while at < len(rows):
+            texts, at = batch.column("ctw_text"), 0
+            while at < batch.num_rows:
                 group, size = [], 0
-                while at + len(group) < len(rows) and size < BLOCK // 4:
+                while at + len(group) < batch.num_rows and size < BLOCK // 4:
                     group.append(tokens_of(texts[at + len(group)].as_py()))
                     size += sum(map(len, group[-1])) + len(group[-1]) + DEPTH
                 keys, first = stream(group)
@@ -521,16 +520,19 @@ def score(docs: DataFrame, keep: list[str] | None = None, most_nodes: int = MOST
                 times = np.diff(new, append=len(rare_doc))
                 offsets = np.searchsorted(rare_doc[new], np.arange(len(group) + 1)).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(rare_word[new].view(np.int64)), pa.array(times.astype(np.int64))], ["word", "n"]))
-                yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + len(group)], pa.int64()), pa.array(n_words + 1), pa.array(known), pa.array(logs), pa.array(sums), rare], ["doc_row", "n_tokens", "known", "base", "score", "rare"])
+                rows = batch.slice(at, len(group))
+                carried = [*keep, "held_out", "doc_row"]
+                yield pa.RecordBatch.from_arrays([*map(rows.column, carried), pa.array(n_words + 1), pa.array(known), pa.array(logs), pa.array(sums), rare], [*carried, "n_tokens", "known", "base", "score", "rare"])
                 at += len(group)
 
     numbered = docs.select(*keep, held_out.alias("held_out"), F.monotonically_increasing_id().alias("doc_row"), text.alias("ctw_text"))
-    scored = stage(numbered.select("doc_row", "ctw_text").mapInArrow(run, SCORES), "ctw-scores")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), SCORES])
+    scored = stage(numbered.mapInArrow(run, schema), "ctw-scores")
     rest = scored.select("doc_row", F.explode("rare").alias("x")).select("doc_row", "x.word", F.col("x.n").alias("times"))
     met = rest.join(counts.where(F.col("n") < max(train_tokens * WORD_SHARE, 1e-9)), "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     more = met.groupBy("doc_row").agg(F.sum(F.col("times") * F.log10((c + ALPHA) / F.lit(float(base or 1)))).alias("more_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = numbered.drop("ctw_text").join(scored.drop("rare"), "doc_row").join(more, "doc_row", "left")
+    out = scored.drop("rare").join(more, "doc_row", "left")
     out = out.withColumn("base_score", F.when(F.lit(train_tokens > 0), F.col("base") + F.coalesce("more_base", F.lit(0.0))))
     out = out.withColumn("n_known", F.col("known") + F.coalesce("more_known", F.lit(0))).withColumn("train_tokens", F.lit(train_tokens).cast("long"))
     return out.select(*keep, *names)
