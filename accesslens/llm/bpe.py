@@ -8,6 +8,7 @@ each worker.  Words that are not in it are merged exactly.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import mmap
@@ -15,6 +16,7 @@ import os
 import re
 import tempfile
 from collections import Counter
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -25,14 +27,22 @@ from pyspark.sql import functions as F
 from .common import read_table, stage, text_or_empty
 
 #: Words are compiled if they make at least this share of all; so there are at most as many as its inverse.
-LEAST_SHARE = 1 / 131072
-#: Distinct words that a worker holds before it hands on or forgets them.
+LEAST_SHARE = 1 / (1 << 20)
+#: Distinct words that a worker counts before it hands them on, and that it remembers before it forgets them all.
 HELD = 200_000
+REMEMBERED = 600_000
+#: Characters of text that are encoded together.
+GROUP = 2_000_000
 
 COUNTED = "word binary, n long"
-#: White space that keeps words from being cut at single spaces and line ends.
-ODD_SPACE = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f\x85᠎​﻿]")
+#: What keeps words from being cut at single spaces and line ends: runs of white space, other kinds of it, the mark of cuts.
+ODD = ("  ", " \n", "\n ", "\n\n", "\0", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+#: Words whose pieces are plain: Latin letters, maybe after a space, and full stops or commas after them.
+PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]*)")
 HEADER = 4
+#: Rows that merge together, and the rank of pairs that never do.
+ROWS = 2048
+NEVER = np.int32(2**31 - 1)
 
 
 def byte_letters() -> list[str]:
@@ -58,7 +68,10 @@ class Vocabulary:
         raw = lambda token: bytes(map(byte.__getitem__, token))
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in data["model"]["merges"]]
         self.id = {raw(t): i for t, i in data["model"]["vocab"].items()}
-        self.rank = {(raw(a), raw(b)): r for r, (a, b) in enumerate(pairs)}
+        merges = sorted((self.id[raw(a)] << 32 | self.id[raw(b)], r) for r, (a, b) in enumerate(pairs))
+        self.pair, self.rank = np.array([k for k, _ in merges], np.int64), np.array([r for _, r in merges], np.int32)
+        self.merged = np.array([self.id[raw(a + b)] for a, b in pairs], np.int32)
+        self.of_byte = np.array([self.id[bytes([b])] for b in range(256)], np.int32)
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = max([*self.id.values(), *self.special.values()]) + 1
@@ -72,33 +85,70 @@ class Vocabulary:
         self.byte = byte
 
     def pieces(self, word: str) -> list[bytes]:
-        """The pieces within which bytes may merge, cut as the tokenizer does."""
+        """The pieces within which bytes may merge, cut as the tokenizer does.
+
+        Plain words are cut here: letters and marks are one piece each.
+        """
+        m = PLAIN.fullmatch(word)
+        if m:
+            return [m[1].encode(), m[2].encode()] if m[2] else [word.encode()]
         return [bytes(map(self.byte.__getitem__, p)) for p, _ in self.cut.pre_tokenize_str(word)]
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Exact byte-pair merges: the pair of lowest rank first, the leftmost of equals."""
-        if piece in self.id and len(piece) == 1:
-            return [self.id[piece]]
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            ranks = [self.rank.get(p, 1 << 60) for p in zip(parts, parts[1:])]
-            least = min(ranks)
-            if least == 1 << 60:
-                break
-            a, b = next((parts[i], parts[i + 1]) for i, r in enumerate(ranks) if r == least)
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.id[p] for p in parts]
-
-    def word_ids(self, word: str) -> list[int]:
-        return [i for p in self.pieces(word) for i in self.merge(p)]
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; ``NEVER``, if they don't merge."""
+        if not len(self.pair):
+            return np.full(left.shape, NEVER, np.int32)
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where((self.pair[at] == key) & (left >= 0) & (right >= 0), self.rank[at], NEVER)
+
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Exact byte-pair merges of many pieces: in each, the pair of lowest rank first, the leftmost of equals.
+
+        Pieces of like length go together; in each step every row that still has
+        a pair merges one.
+        """
+        out: list[list[int]] = [[]] * len(pieces)
+        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        for low in range(0, len(order), ROWS):
+            own = order[low : low + ROWS]
+            size = np.array([len(pieces[i]) for i in own])
+            if not size[-1]:
+                continue
+            width = int(size[-1])
+            ids = np.full((len(own), width + 1), -1, np.int32)
+            ids[np.arange(width + 1) < size[:, None]] = self.of_byte[np.frombuffer(b"".join([pieces[i] for i in own]), np.uint8)]
+            rank = np.full((len(own), width + 1), NEVER, np.int32)
+            rank[:, :-1] = self.ranks(ids[:, :-1], ids[:, 1:])
+            rows = np.arange(len(own))
+            while len(rows):
+                j = rank.argmin(1)
+                best = rank[np.arange(len(rows)), j]
+                open_ = best < NEVER
+                for r in np.flatnonzero(~open_).tolist():
+                    out[own[rows[r]]] = ids[r, : size[rows[r]]].tolist()
+                rows, j, best, ids, rank = rows[open_], j[open_], best[open_], ids[open_], rank[open_]
+                if not len(rows):
+                    break
+                at = np.arange(len(rows))
+                ids[at, j] = self.merged[best]
+                size[rows] -= 1
+                # close the gap: from j + 1 on, cells come from their right; the last column stays a pad
+                last = ids.shape[1] - 1
+                columns = np.arange(last)
+                source = columns + (columns > j[:, None])
+                ids[:, :last], rank[:, :last] = np.take_along_axis(ids, source, 1), np.take_along_axis(rank, source, 1)
+                ids[:, last], rank[:, last] = -1, NEVER
+                rank[at, j] = self.ranks(ids[at, j], ids[at, np.minimum(j + 1, last)])
+                before = np.flatnonzero(j > 0)
+                rank[before, j[before] - 1] = self.ranks(ids[before, j[before] - 1], ids[before, j[before]])
+        return out
+
+    def word_ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of words (or whole texts)."""
+        cut = [self.pieces(w) for w in words]
+        merged = iter(self.merge([p for pieces in cut for p in pieces]))
+        return [next(merged) if len(pieces) == 1 else [i for _ in pieces for i in next(merged)] for pieces in cut]
 
 
 def cut_words(text: str) -> list[str] | None:
@@ -108,10 +158,10 @@ def cut_words(text: str) -> list[str] | None:
     character that is no white space and a following space is always one
     between tokens.  None where other white space makes that unsure.
     """
-    if ODD_SPACE.search(text):
+    if any(map(text.__contains__, ODD)):
         return None
-    first, *rest = text.replace("\n", " \n").split(" ")
-    return [first, *(w if w[:1] == "\n" else " " + w for w in rest)]
+    words = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
+    return words if words[0] else words[1:]
 
 
 def build_lexicon(entries: list[tuple[bytes, list[int]]]) -> bytes:
@@ -172,71 +222,115 @@ def build_lexicon(entries: list[tuple[bytes, list[int]]]) -> bytes:
 
 
 class Lexicon:
-    """A memory-mapped transducer: ``get(word)`` gives its ids or None."""
+    """A memory-mapped transducer: ``get(words)`` gives the ids of those it holds."""
 
     def __init__(self, data: bytes):
         with tempfile.TemporaryFile() as f:  # has no name: nothing is left when the worker ends
             f.write(data)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        view = memoryview(self.map).cast("i")
-        n, arcs, words, self.root = view[:HEADER]
+        data_ = np.frombuffer(self.map, dtype="<i4")
+        n, arcs, words, self.root = map(int, data_[:HEADER])
         at = HEADER
         parts = []
         for size in (n + 1, n, arcs, arcs, arcs, words + 1):
-            parts.append(view[at : at + size])
+            parts.append(data_[at : at + size])
             at += size
-        self.first, self.final, self.label, self.target, self.output, self.offset = parts
-        self.ids = view[at:]
-
-    def get(self, word: bytes) -> list[int] | None:
-        state, number = self.root, 0
-        first, label = self.first, self.label
-        for c in word:
-            lo, end = first[state], first[state + 1]
-            hi = end
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if label[mid] < c:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == end or label[lo] != c:
-                return None
-            number += self.output[lo]
-            state = self.target[lo]
-        if not self.final[state]:
-            return None
-        return self.ids[self.offset[number] : self.offset[number + 1]].tolist()
-
-
-class Encoder(dict):
-    """Ids of words, through the lexicon or exact merges; remembers a bounded number of them."""
+        first, self.final, label, self.target, self.output, self.offset = parts
+        self.ids = data_[at:]
+        self.arc = np.repeat(np.arange(n, dtype=np.int64), np.diff(first)) << 8 | label  # in order, as states and labels are
+
+    def get(self, words: list[bytes]) -> list[list[int] | None]:
+        """Ids of each word, or None: all words follow their arcs together, a byte at a time."""
+        out: list[list[int] | None] = [None] * len(words)
+        if not len(self.arc) or not words:
+            return out
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start = np.cumsum(size) - size
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        alive, state, number = np.flatnonzero(size), np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        for i in range(int(size.max())):
+            done = alive[size[alive] == i]
+            for w in done[self.final[state[done]] == 1]:
+                out[w] = self.ids[self.offset[number[w]] : self.offset[number[w] + 1]].tolist()
+            alive = alive[size[alive] > i]
+            key = state[alive] << 8 | raw[start[alive] + i]
+            at = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
+            hit = self.arc[at] == key
+            alive, at = alive[hit], at[hit]
+            number[alive] += self.output[at]
+            state[alive] = self.target[at]
+        done = alive[size[alive] == size.max()]
+        for w in done[self.final[state[done]] == 1]:
+            out[w] = self.ids[self.offset[number[w]] : self.offset[number[w] + 1]].tolist()
+        return out
+
+
+class Encoder:
+    """Encodes and decodes words, through the lexicon or exact merges; remembers a bounded number of them.
+
+    Of each remembered word it holds the ids, as text, and what they decode to.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        super().__init__()
         self.vocabulary, self.lexicon = vocabulary, lexicon
-
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.lexicon.get(word.encode())
-        if ids is None:
-            ids = self.vocabulary.word_ids(word)
-        if len(self) < HELD:
-            self[word] = ids
-        return ids
-
-    def plain(self, text: str) -> list[int]:
-        words = cut_words(text)
-        return self.vocabulary.word_ids(text) if words is None else list(chain.from_iterable(map(self.__getitem__, words)))
-
-    def encode(self, text: str) -> list[int]:
+        self.ids: dict[str, str] = {}
+        self.decoded: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        self.ids.clear()
+        self.decoded.clear()
+
+    def learn(self, words: set[str]) -> None:
+        """Make room if need be, and look up what is not remembered: the lexicon first, exact merges for the rest."""
+        new = list(words - self.ids.keys())
+        if len(self.ids) + len(new) > REMEMBERED:
+            self.forget()
+            new = list(words)
+        found = self.lexicon.get([w.encode() for w in new])
+        unseen = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(unseen, self.vocabulary.word_ids([new[i] for i in unseen]), strict=True):
+            found[i] = ids
+        name, raw = self.vocabulary.name.__getitem__, self.vocabulary.bytes.__getitem__
+        for w, ids in zip(new, found, strict=True):
+            self.ids[w] = ",".join(map(name, ids))
+            self.decoded[w] = b"".join(map(raw, ids))
+
+    def parts(self, text: str) -> list[str]:
+        """Words of a text, special tokens, and whole stretches that can't be cut into words."""
         v = self.vocabulary
-        if v.special_cut is None or not any(s in text for s in v.special):
-            return self.plain(text) if text else []
-        return [i for part in v.special_cut.split(text) if part for i in ([v.special[part]] if part in v.special else self.plain(part))]
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.vocabulary.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        special = v.special_cut is not None and any(s in text for s in v.special)
+        out: list[str] = []
+        for part in v.special_cut.split(text) if special else [text]:
+            if part in v.special:
+                out.append(part)
+            elif part:
+                out += cut_words(part) or [part]
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """Ids of some texts, joined by commas, and what they decode to; the texts are held together with their words."""
+        cut = list(map(self.parts, texts))
+        words = set().union(*cut)
+        special = self.vocabulary.special
+        self.learn({w for w in words if w not in special} if any(s in words for s in special) else words)
+        for s in special:
+            self.ids[s], self.decoded[s] = self.vocabulary.name[special[s]], s.encode()
+        ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
+        return [(",".join(map(ids, x)), b"".join(map(decoded, x))) for x in cut]
+
+
+def groups(texts) -> Iterator[list[str]]:
+    """An Arrow column of texts in groups of bounded size."""
+    group, size = [], 0
+    for x in texts:
+        group.append(x.as_py())
+        size += len(group[-1])
+        if size >= GROUP:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def count_corpus_words(texts: DataFrame) -> DataFrame:
@@ -252,7 +346,7 @@ def count_corpus_words(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column("text"):
-                held.update(cut_words(text.as_py()) or ())
+                held.update(cut_words(text.as_py() or "") or ())
                 if len(held) > HELD:
                     yield flush()
         if held:
@@ -283,7 +377,8 @@ def compile_lexicon(docs: DataFrame, vocabulary: Vocabulary, least_share: float
     counts = stage(counts.where("n > 1"), "bpe-words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     frequent = counts.where(F.col("n") >= max(2.0, total * least_share)).select("word").toLocalIterator()
-    return build_lexicon([(bytes(r["word"]), vocabulary.word_ids(bytes(r["word"]).decode())) for r in frequent])
+    words = [bytes(r["word"]).decode() for r in frequent]
+    return build_lexicon([(w.encode(), ids) for w, ids in zip(words, vocabulary.word_ids(words), strict=True)])
 
 
 def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, with_ids: bool = False, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -307,19 +402,23 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, with_
 
     def run(batches):
         enc = _encoder(shared.value, lexicon.value)
-        name = enc.vocabulary.name
+        gc.disable()  # ids and words refer to nothing: there are no cycles to look for
         for batch in batches:
-            n, a, b, all_ids = [], [], [], []
-            for text in batch.column("bpe_text"):
-                ids = enc.encode(text.as_py())
-                n.append(len(ids))
-                a.append(hashlib.sha256(",".join(map(name.__getitem__, ids)).encode()).hexdigest())
-                b.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
-                if with_ids:
-                    all_ids.append(ids)
-            rest = [batch.column(c) for c in keep]
-            more = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else [])]
-            yield pa.RecordBatch.from_arrays([*rest, *more], [*keep, *names])
+            texts, start = batch.column("bpe_text"), 0
+            for group in groups(texts):
+                n, a, b, all_ids = [], [], [], []
+                for ids, decoded in enc.encode(group):
+                    n.append(ids.count(",") + 1 if ids else 0)
+                    a.append(hashlib.sha256(ids.encode()).hexdigest())
+                    b.append(hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest())
+                    if with_ids:
+                        all_ids.append(np.array(ids.split(",") if ids else [], np.int32))
+                rows = batch.slice(start, len(group))
+                start += len(group)
+                more = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else [])]
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *more], [*keep, *names])
+        enc.forget()
+        gc.enable()
 
     kinds = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>"] if with_ids else [])]
     rows = docs.select(*keep, text_or_empty().cast("string").alias("bpe_text"))
