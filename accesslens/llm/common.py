@@ -43,6 +43,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a written table of keys that may be broadcast; beyond that it is joined by shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def small_or_shuffled(keys: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``keys`` (a written table of short rows) to be broadcast if its counted rows are few, as it is otherwise."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def drop_staged(*frames: DataFrame) -> None:
     """Delete the files of staged tables that nothing will read again."""
     for df in frames:

@@ -17,6 +17,14 @@ from .common import count_words, stage, text_or_empty
 
 HASH_BITS = 60
 LEVEL_BITS = 12
+#: Sources whose thresholds may be broadcast; with more, documents meet them by shuffle.
+MOST_BROADCAST = 100_000
+
+
+def by_source(spark, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A row for each source, to be broadcast if they are few."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= MOST_BROADCAST else table
 
 
 def source_targets(sizes: list[tuple[str | None, int]], weights: list[float], share: float, most: float) -> dict[str | None, float]:
@@ -63,7 +71,7 @@ def thresholds(sized: DataFrame, targets: dict[str | None, float]) -> list[tuple
     span = {s: (0, 1 << HASH_BITS) for s in rest}
     while rest and bits > 0:
         bits -= LEVEL_BITS
-        edges = spark.createDataFrame([(s, *span[s], float(need[s])) for s in rest], schema)
+        edges = by_source(spark, [(s, *span[s], float(need[s])) for s in rest], schema)
         inside = sized.join(edges, sized["source"].eqNullSafe(edges["s"])).where("h >= lo and h < hi and size > 0")
         hist = inside.groupBy("s", "need", F.shiftright("h", bits).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"), F.min("h").alias("first"), F.max("h").alias("last"))
         upto = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,9 +107,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     rule half a document.
 
     The number of sources has to fit the driver (one row each); documents and
-    their hashes never go there.  Sources meet documents by an equality join:
-    Spark broadcasts the table of thresholds while it is below its own
-    threshold and shuffles, splitting a hot source, beyond it.
+    their hashes never go there.  Sources meet documents by an equality join: the
+    table of thresholds is broadcast up to ``MOST_BROADCAST`` sources; beyond
+    that Spark shuffles, and splits a hot source.
     """
     spark = docs.sparkSession
     text = text_or_empty()
@@ -111,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     totals = [(r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     rows = thresholds(sized, source_targets(totals, list(weights), share, most))
     schema = T.StructType([T.StructField("mix_source", T.StringType()), T.StructField("mix_target", T.DoubleType()), T.StructField("mix_source_size", T.LongType()), T.StructField("mix_base", T.LongType()), T.StructField("mix_cut", T.LongType())])
-    cuts = spark.createDataFrame(rows, schema)
+    cuts = by_source(spark, rows, schema)
     out = plain.withColumn("mix_size", size).withColumn("mix_hash", h)
     out = out.join(cuts, out["source"].cast("string").eqNullSafe(cuts["mix_source"]))
     copies = F.col("mix_base") + (F.col("mix_hash") < F.col("mix_cut")).cast("long")

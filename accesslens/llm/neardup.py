@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, stage, text_or_empty
+from .common import read_table, small_or_shuffled, stage, text_or_empty
 from .graph import components
 
 WIDTH = 5
@@ -95,11 +95,6 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("key1"), F.xxhash64(F.lit(7), text, "doc_id").alias("key2"), text.alias("nd_text"))
 
 
-def small_or_shuffled(keys: DataFrame) -> DataFrame:
-    """``keys`` (a written table) to be broadcast if its counted rows are few, as it is otherwise."""
-    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
-
-
 def lists(classes: DataFrame) -> DataFrame:
     """Rows of the inverted lists: ``value, row, n, f, centre``; values that no other class retains are left out.
 
@@ -110,7 +105,7 @@ def lists(classes: DataFrame) -> DataFrame:
     near = classes.select("row", "n", F.slice("sketch", 1, REGION).alias("near"))
     values = near.select("row", F.explode("near").alias("value"))
     frequent = stage(values.groupBy("value").agg(F.count("*").alias("f")).where(F.col("f") > LONG).select("value"), "nd-frequent")
-    held = stage(values.join(small_or_shuffled(frequent), "value").groupBy("row").agg(F.sort_array(F.collect_list("value")).alias("held")), "nd-held")
+    held = stage(values.join(small_or_shuffled(frequent, MOST_BROADCAST), "value").groupBy("row").agg(F.sort_array(F.collect_list("value")).alias("held")), "nd-held")
     none = F.array().cast("array<long>")
     both = near.join(held, "row", "left").withColumn("held", F.coalesce("held", none)).withColumn("pure", F.size("held") / F.size("near"))
     listed = F.concat(F.when(F.col("pure") >= PURE, F.slice("held", 1, LISTED)).otherwise(none), F.slice(F.array_except("near", "held"), 1, LISTED))
@@ -225,7 +220,7 @@ def block_pairs(value: int, side: np.ndarray, row: np.ndarray, n: np.ndarray, pa
 def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``row, nd_text`` of the classes whose ``row`` is in ``ids``; other texts are not shuffled while the ids are few."""
     wanted = stage(classes.select("row", "key1", "key2").join(ids, "row"), "nd-wanted")
-    texts = keyed_texts(docs).drop("doc_id").join(small_or_shuffled(wanted), ["key1", "key2"])
+    texts = keyed_texts(docs).drop("doc_id").join(small_or_shuffled(wanted, MOST_BROADCAST), ["key1", "key2"])
     return stage(texts.groupBy("row").agg(F.first("nd_text").alias("nd_text")), "nd-texts")
 
 
@@ -347,7 +342,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     text = text_or_empty().cast("string")
     keyed = docs.withColumn("nd_key1", F.xxhash64("doc_id", text)).withColumn("nd_key2", F.xxhash64(F.lit(7), text, "doc_id"))
     dropped = stage(dropped.select(F.col("key1").alias("nd_key1"), F.col("key2").alias("nd_key2")), "nd-dropped")
-    kept = keyed.join(small_or_shuffled(dropped), ["nd_key1", "nd_key2"], "left_anti")
+    kept = keyed.join(small_or_shuffled(dropped, MOST_BROADCAST), ["nd_key1", "nd_key2"], "left_anti")
     return kept.select(*docs.columns)
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, stage, text_or_empty
+from .common import read_table, small_or_shuffled, stage, text_or_empty
 from .spans import SPAN, as_spans, bind, count_kind, joined, matches, replaced
 
 KINDS = ("email", "ip", "card", "phone")
@@ -28,6 +28,8 @@ MENTION = "array<struct<s:int,e:int,token:string,near:string,far:string,kind:str
 ROUNDS = 3
 LEAST_SUPPORT = 3.0
 LEAST_SCORE = 0.6
+#: Documents with learned spans that may be broadcast; beyond that they meet their rows by shuffle.
+MOST_FOUND = 100_000
 
 
 def digits(m: Column) -> Column:
@@ -128,7 +130,7 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS, least_support: float = LEAST
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("best.kind")).cast("int") + len(KINDS) - 1
     found = named.groupBy("pii_row").agg(F.collect_list(F.struct("s", order.alias("ord"), "e", F.concat(F.lit("ctx_"), "best.kind").alias("kind"))).alias("more"))
     none = F.array().cast(SPAN)
-    out = rows.drop("mentions").join(found, "pii_row", "left")
+    out = rows.drop("mentions").join(small_or_shuffled(stage(found, "pii-found"), MOST_FOUND), "pii_row", "left")
     return out.withColumn("pii_spans", F.concat("pii_base", F.coalesce(F.col("more").cast(SPAN), none))).drop("more", "pii_row")
 
 
