@@ -8,9 +8,11 @@ and half the product of its children's, so the tree mixes all depths.  Trained
 counts give every node the weight of its own estimate against its children's;
 scoring follows a context downwards and mixes by these weights.
 
-Counting, tree building and scoring are distributed.  The nodes that are sent
-to the workers are those with the most visits, a fixed number at any size of
-the corpus; contexts that are rarer are scored by their deepest kept suffix.
+Counting, tree building and scoring are distributed.  No node is left out:
+every context of ``DEPTH`` bytes is in one part of the tree, with all that share
+its last ``TOP`` bytes.  The scores of the most frequent grams (a context and
+the byte after it) are sent to the workers; all other grams of the documents
+meet the whole tree of their part in a join.
 """
 
 from __future__ import annotations
@@ -27,9 +29,8 @@ from .common import read_table, stage, text_or_empty
 DEPTH = 6
 TOP = 3
 END = 10
-#: Nodes sent to each worker, at most; a node needs this share of all visits to be a candidate.
-MOST_NODES = 1 << 21
-LEAST_SHARE = 1 / (1 << 21)
+#: Grams whose scores are sent to each worker, at most: those with the most occurrences.
+MOST_GRAMS = 1 << 21
 #: Words sent to each worker: those with at least this share of all training tokens.
 WORD_SHARE = 1 / (1 << 20)
 #: Bytes of text and distinct keys that a worker gathers before it hands on.
@@ -40,27 +41,27 @@ ALPHA = 0.1
 
 U = np.uint64
 GRAMS = "part int, grams binary"
-NODES = "kind int, key long, a double, b double, n double"
+NODES = "kind int, key long, a double, b double"
 WORDS = "word long, n long"
-SCORES = "held_out boolean, doc_row long, n_tokens long, known long, base double, score double, rare array<struct<word:long,n:long>>"
+SCORES = "held_out boolean, doc_row long, n_tokens long, known long, base double, score double, rare array<struct<word:long,n:long>>, open array<struct<gram:long,n:long>>"
 
 
 # --- packing -----------------------------------------------------------------
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct keys and their counts, as differences, byte by byte, compressed."""
+def pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Sorted keys, as differences, and columns of integers (of distinct keys their counts), byte by byte, compressed."""
     codec = pa.Codec("zstd", 1)
-    steps = np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T
-    raw = np.ascontiguousarray(np.vstack([steps, counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T])).tobytes()
+    values = (np.diff(keys, prepend=U(0)), *columns)
+    raw = np.ascontiguousarray(np.vstack([x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T for x in values])).tobytes()
     return len(keys).to_bytes(8, "little") + codec.compress(raw, asbytes=True)
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(data[:8], "little")
-    raw = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 16 * n, asbytes=True), np.uint8).reshape(16, n)
-    steps, counts = (np.ascontiguousarray(x.T).view(np.uint64).reshape(-1) for x in (raw[:8], raw[8:]))
-    return np.cumsum(steps, dtype=np.uint64), counts
+def unpack(data: bytes, columns: int = 1) -> tuple[np.ndarray, ...]:
+    n, rows = int.from_bytes(data[:8], "little"), 8 * (1 + columns)
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data[8:], rows * n, asbytes=True), np.uint8).reshape(rows, n)
+    steps, *rest = (np.ascontiguousarray(raw[i : i + 8].T).view(np.uint64).reshape(-1) for i in range(0, rows, 8))
+    return np.cumsum(steps, dtype=np.uint64), *rest
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +79,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
 
 
+def place_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Part of the tree that holds the contexts of some keys."""
+    return (mixed(keys >> U(8 * (DEPTH + 1 - TOP))) >> U(33)) % U(parts)
+
+
+def counted(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and how often each occurs."""
+    order = np.lexsort((value, group))
+    group, value = group[order], value[order]
+    new = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(value, prepend=U(0)) != 0))
+    return group[new], value[new], np.diff(new, append=len(group))
+
+
 # --- texts -------------------------------------------------------------------
 
 
@@ -150,7 +164,7 @@ def count_grams(texts: DataFrame, parts: int) -> DataFrame:
     def total(table: pa.Table) -> pa.Table:
         got = [unpack(x.as_py()) for x in table.column("grams")]
         keys, counts = merged([k for k, _ in got], [c for _, c in got])
-        place = (mixed(keys >> U(8 * (DEPTH + 1 - TOP))) >> U(33)) % U(parts)
+        place = place_of(keys, parts)
         order = np.argsort(place, kind="stable")
         keys, counts, cut = keys[order], counts[order], np.searchsorted(place[order], np.arange(parts + 1, dtype=np.uint64))
         spans = [(p, a, b) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
@@ -244,44 +258,44 @@ def build_nodes(grams: np.ndarray, counts: np.ndarray, depth: int, least: int, b
     return out, *child
 
 
-def _node_table(kind: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, n: np.ndarray | None = None) -> pa.Table:
+def _node_table(kind: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.Table:
     zeros = np.zeros(len(keys))
-    values = [zeros if x is None else x.astype(np.float64) for x in (a, b, n)]
-    return pa.table([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), *map(pa.array, values)], ["kind", "key", "a", "b", "n"])
+    values = [zeros if x is None else x.astype(np.float64) for x in (a, b)]
+    return pa.table([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), *map(pa.array, values)], ["kind", "key", "a", "b"])
+
+
+def gathered(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a part and their counts."""
+    none = np.zeros(0, np.uint64)
+    got = [unpack(x) for x in packed] or [(none, none)]
+    return merged([k for k, _ in got], [c for _, c in got])
+
 
+def steps_of(counts: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(counts.astype(np.float64)) * 64).astype(np.int64)
 
-def train(texts: DataFrame, parts: int, most_nodes: int = MOST_NODES, least_share: float = LEAST_SHARE) -> dict:
-    """The model of the training texts (``text``, not null): see ``pack_model``.
 
-    Subtrees below ``TOP`` bytes are built apart, in as many tasks as ``parts``;
-    what is above them has at most 256 to the power ``TOP`` keys and is built
-    in one.  Kept nodes: those with ``least_share`` of all coded bytes or more
-    (so their number per depth and bit is bounded), and of these the
-    ``most_nodes`` with the most visits, all of the last number of visits or
-    none.
+def build_tree(texts: DataFrame, parts: int, most_grams: int = MOST_GRAMS) -> tuple[DataFrame, tuple[np.ndarray, ...], int]:
+    """The tree of the training texts (``text``, not null).
+
+    Returns the counted grams of each of ``parts``, a written table; the nodes
+    above them, of contexts shorter than ``TOP`` bytes (at most 256 to the power
+    ``TOP`` at any size of the corpus), as keys, estimates and weights; and the
+    step of counts from which on a gram is one of the ``most_grams`` most
+    frequent, all of the last step or none.  Subtrees below ``TOP`` bytes are
+    built apart, in as many tasks as ``parts``; what is above them in one.
     """
     grams = count_grams(texts, parts)
 
     def subtrees(table: pa.Table) -> pa.Table:
-        got = [unpack(x.as_py()) for x in table.column("grams")]
-        keys, counts = merged([k for k, _ in got], [c for _, c in got])
-        nodes, up, logs = build_nodes(keys, counts, DEPTH, TOP)
+        keys, counts = gathered([x.as_py() for x in table.column("grams")])
+        _, up, logs = build_nodes(keys, counts, DEPTH, TOP)
         # nodes of TOP bytes hand their logs on; the counts of shorter contexts too
         short = ((keys >> U(8)) >> U(8 * (DEPTH - TOP + 1))) << U(8) | (keys & U(255))
         k, c = merged([short], [counts])
-        key, p, w, n = (np.concatenate(x) for x in zip(*nodes, strict=True))
-        keep = n >= max(float(bound.value), 1.0)
-        return pa.concat_tables([_node_table(1, up, logs), _node_table(2, k, c), _node_table(3, key[keep], p[keep], w[keep], n[keep])])
-
-    spark = texts.sparkSession
+        step, n = np.unique(steps_of(counts), return_counts=True)
+        return pa.concat_tables([_node_table(1, up, logs), _node_table(2, k, c), _node_table(3, step.view(np.uint64), n)])
 
-    def visits(batches):
-        for batch in batches:
-            n = [int(unpack(x.as_py())[1].sum()) for x in batch.column("grams")]
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
-
-    total = grams.select("grams").mapInArrow(visits, "n long").agg(F.sum("n")).first()[0] or 0
-    bound = spark.sparkContext.broadcast(total * least_share)
     rows = stage(grams.repartition(parts, "part").groupBy("part").applyInArrow(subtrees, NODES), "ctw-nodes")
 
     def top(table: pa.Table) -> pa.Table:
@@ -290,31 +304,35 @@ def train(texts: DataFrame, parts: int, most_nodes: int = MOST_NODES, least_shar
         up, short = kind == 1, kind == 2
         uo, so = np.argsort(key[up]), np.argsort(key[short])
         nodes, _, _ = build_nodes(key[short][so], a[short][so], TOP - 1, 0, (key[up][uo], a[up][uo]))
-        k, p, w, n = (np.concatenate(x) for x in zip(*nodes, strict=True))
-        return _node_table(3, k, p, w, n)
+        k, p, w, _ = (np.concatenate(x) for x in zip(*nodes, strict=True))
+        return _node_table(0, k, p, w)
 
-    above = rows.where("kind < 3").groupBy("kind", "key").agg(F.sum("a").alias("a"))
-    shorter = stage(above.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(top, NODES), "ctw-top")
-    both = rows.where("kind = 3").unionByName(shorter)
-    step = F.floor(F.log2("n") * 64)
+    sums = rows.groupBy("kind", "key").agg(F.sum("a").alias("a"))
+    shorter = sums.where("kind < 3").withColumn("all", F.lit(1)).groupBy("all").applyInArrow(top, NODES).toArrow()
+    above = shorter.column("key").to_numpy().view(np.uint64), shorter.column("a").to_numpy(), shorter.column("b").to_numpy()
     taken, least = 0, 1 << 40
-    for r in both.groupBy(step.alias("step")).agg(F.count("*").alias("nodes")).orderBy(F.desc("step")).collect():
-        taken += r["nodes"]
-        if taken > most_nodes:
+    for r in sums.where("kind = 3").orderBy(F.desc("key")).collect():
+        taken += r["a"]
+        if taken > most_grams:
             break
-        least = r["step"]
-    chosen = both.where(step >= least).select("key", "a", "b").toArrow()
-    return pack_model(chosen.column("key").to_numpy().view(np.uint64), chosen.column("a").to_numpy(), chosen.column("b").to_numpy())
+        least = r["key"]
+    return grams, above, least
+
+
+def train(texts: DataFrame, parts: int, least_share: float = 0.0) -> dict:
+    """The model of a few texts, brought to the driver whole but for nodes below ``TOP`` bytes with less than ``least_share`` of all coded bytes."""
+    grams, above, _ = build_tree(texts, parts)
+    keys, counts = gathered([r["grams"] for r in grams.select("grams").collect()])
+    return part_model(keys, counts, above, keys[:0], least_share * float(counts.sum()))
 
 
 # --- scoring -----------------------------------------------------------------
 
 
 def mixtures(keys: np.ndarray, p: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Of each node the mixed probability of a one where it is the deepest kept node of a context.
+    """Of each node the mixed probability of a one where it is the deepest node of a context.
 
-    A node's ancestors are known by its key, and they are all kept, as they have
-    at least its visits.
+    A node's ancestors are known by its key, and they must all be given.
     """
     order = np.argsort(keys)
     keys, p, w = keys[order], p[order], w[order]
@@ -334,11 +352,11 @@ def mixtures(keys: np.ndarray, p: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack_model(keys: np.ndarray, p: np.ndarray, w: np.ndarray) -> dict:
-    """An open hash table of the nodes, at most half full: key and mixed probability of a one."""
+def hash_table(keys: np.ndarray, values: np.ndarray) -> dict:
+    """An open hash table of distinct keys above zero, at most half full, and their values; one half where nothing is."""
     bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
     size = 1 << bits
-    table, pp, q = np.zeros(size, np.uint64), np.full(size, 0.5, np.float32), mixtures(keys, p, w)
+    table, p = np.zeros(size, np.uint64), np.full(size, 0.5)
     slot = (mixed(keys) >> U(64 - bits)).astype(np.int64)
     left = np.arange(len(keys))
     while len(left):
@@ -346,10 +364,24 @@ def pack_model(keys: np.ndarray, p: np.ndarray, w: np.ndarray) -> dict:
         free = table[s] == 0
         table[s[free]] = keys[left[free]]  # of those that want one slot, the last gets it
         got = table[s] == keys[left]
-        pp[s[got]] = q[left[got]]
+        p[s[got]] = values[left[got]]
         left = left[~got]
         slot[left] = (slot[left] + 1) % size
-    return {"bits": bits, "keys": table, "p": pp}
+    return {"bits": bits, "keys": table, "p": p}
+
+
+def part_model(keys: np.ndarray, counts: np.ndarray, above: tuple[np.ndarray, ...], asked: np.ndarray, least: float = 0.0) -> dict:
+    """A hash table of the nodes of a part and of their ancestors: key and mixed probability of a one.
+
+    ``keys`` and ``counts`` are all grams of the part, ``above`` the nodes of
+    contexts shorter than ``TOP`` bytes; of those just above the part only the
+    ancestors of ``keys`` and of the grams ``asked`` are taken.
+    """
+    heads = np.unique(np.concatenate([keys, asked]) >> U(8 * (DEPTH + 2 - TOP)))
+    near = ((above[0] >> U(56)) < U(TOP - 1)) | np.isin((above[0] >> U(8)) & U((1 << 48) - 1), heads)
+    nodes, _, _ = build_nodes(keys, counts, DEPTH, TOP)
+    key, p, w = (np.concatenate(x) for x in zip([x[near] for x in above], *([x[n >= least] for x in (k, p, w)] for k, p, w, n in nodes), strict=True))
+    return hash_table(key, mixtures(key, p, w))
 
 
 def find(model: dict, keys: np.ndarray) -> np.ndarray:
@@ -393,29 +425,57 @@ def log10_of(model: dict, grams: np.ndarray) -> np.ndarray:
     return logs
 
 
-class Scorer:
-    """Scores keys; remembers the latest in a table of fixed size."""
+def frequent_logs(grams: DataFrame, parts: int, above, least: int) -> dict:
+    """A hash table of the grams from a step of counts on, each key plus one, and their log10."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts = gathered([x.as_py() for x in table.column("grams")])
+        asked = keys[steps_of(counts) >= least]
+        logs = log10_of(part_model(keys, counts, above.value, asked), asked)
+        return pa.table({"gram": asked.view(np.int64), "log": logs})
 
-    BITS = 22
+    got = grams.repartition(parts, "part").groupBy("part").applyInArrow(run, "gram long, log double").toArrow()
+    return hash_table(got.column("gram").to_numpy().view(np.uint64) + U(1), got.column("log").to_numpy())
 
-    def __init__(self, model: dict):
-        self.model = model
-        self.keys = np.full(1 << self.BITS, ~U(0), np.uint64)
-        self.logs = np.zeros(1 << self.BITS, np.float32)
 
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
-        slot = (mixed(grams) >> U(64 - self.BITS)).astype(np.int64)
-        hit = self.keys[slot] == grams
-        out = np.where(hit, self.logs[slot], 0.0).astype(np.float64)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            new, back = np.unique(grams[miss], return_inverse=True)
-            logs = log10_of(self.model, new).astype(np.float32)
-            out[miss] = logs[back]
-            s = (mixed(new) >> U(64 - self.BITS)).astype(np.int64)
-            self.keys[s] = new
-            self.logs[s] = logs  # of keys that share a slot, the last stands in both
-        return out
+def open_scores(scored: DataFrame, grams: DataFrame, parts: int, above) -> DataFrame:
+    """``doc_row, more_score``: sums of log10 of the ``open`` grams of documents, by part of the tree.
+
+    Grams are sent packed to the part of the tree that has all their contexts.
+    A part's distinct grams are scored once; of its packed rows one at a time is
+    open.
+    """
+
+    def sent(batches):
+        for batch in batches:
+            lists = batch.column("open")
+            keys, n = (lists.flatten().field(i).to_numpy() for i in (0, 1))
+            keys = keys.view(np.uint64)
+            doc = np.repeat(batch.column("doc_row").to_numpy(), lists.value_lengths().to_numpy())
+            part = place_of(keys, parts)
+            order = np.lexsort((keys, part))
+            keys, doc, n, cut = keys[order], doc[order], n[order], np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+            spans = [(p, a, b) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in spans], pa.int32()), pa.array([pack(keys[a:b], doc[a:b], n[a:b]) for _, a, b in spans], pa.binary())], ["part", "grams"])
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, asking = table.column("grams"), table.column("asked").to_numpy()
+        waiting = np.flatnonzero(asking)
+        docs, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(waiting):
+            asked = np.unique(np.concatenate([np.unique(unpack(rows[i].as_py(), 2)[0]) for i in waiting]))
+            keys, counts = gathered([rows[i].as_py() for i in np.flatnonzero(~asking)])
+            logs = log10_of(part_model(keys, counts, above.value, asked), asked)
+            for i in waiting:
+                k, doc, n = unpack(rows[i].as_py(), 2)
+                doc, back = np.unique(doc.view(np.int64), return_inverse=True)
+                docs.append(doc)
+                sums.append(np.bincount(back, logs[np.searchsorted(asked, k)] * n, len(doc)))
+        return pa.table({"doc_row": np.concatenate(docs), "more_score": np.concatenate(sums)})
+
+    asked = scored.where(F.size("open") > 0).select("doc_row", "open").mapInArrow(sent, GRAMS).withColumn("asked", F.lit(True))
+    met = grams.withColumn("asked", F.lit(False)).unionByName(asked).select("part", "grams", "asked")
+    return met.repartition(parts, "part").groupBy("part").applyInArrow(run, "doc_row long, more_score double")
 
 
 # --- words of the base score -------------------------------------------------
@@ -450,12 +510,15 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, WORDS).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-# --- the operator ------------------------------------------------------------
+def listed(rows: int, row: np.ndarray, values: np.ndarray, times: np.ndarray, name: str) -> pa.ListArray:
+    """Values and how often they occur, as a list of structs for each of ``rows``."""
+    offsets = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], [name, "n"]))
 
-_WORKER: dict = {}
 
+# --- the operator ------------------------------------------------------------
 
-def score(docs: DataFrame, keep: list[str] | None = None, most_nodes: int = MOST_NODES) -> DataFrame:
+def score(docs: DataFrame, keep: list[str] | None = None, most_grams: int = MOST_GRAMS) -> DataFrame:
     """``docs`` with ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Reads ``doc_id`` and ``text``.  Documents whose CRC-32 of the doc_id (as
@@ -467,18 +530,21 @@ def score(docs: DataFrame, keep: list[str] | None = None, most_nodes: int = MOST
     costs one bit; ``base_score`` is null then.  Words are told apart by 64-bit
     hashes.
 
-    Frequent words, a bounded number, are sent to the workers; the rest of each
-    document's words meet their counts in a join and return as one number a
-    document.
+    Frequent words and grams, a bounded number, are sent to the workers with
+    their counts and scores; the rest of each document's words and grams meet
+    the counts and the tree in joins and return as one number a document and a
+    part of the tree.  ``most_grams`` changes what is sent, not the scores.
     """
     spark = docs.sparkSession
     names = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*names, "ctw_text", "doc_row", "known", "base", "rare")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*names, "ctw_text", "doc_row", "known", "base", "rare", "open")]
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
     text = text_or_empty().cast("string")
     training = docs.where(~held_out).select(text.alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), training.rdd.getNumPartitions() // 4, 1)
-    model = spark.sparkContext.broadcast(train(training, parts, most_nodes))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), training.rdd.getNumPartitions(), 1)
+    grams, nodes, least = build_tree(training, parts, most_grams)
+    above = spark.sparkContext.broadcast(nodes)
+    model = spark.sparkContext.broadcast(frequent_logs(grams, parts, above, least))
     counts = stage(count_words(training), "ctw-words")
     ends = training.count()
     total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
@@ -490,10 +556,7 @@ def score(docs: DataFrame, keep: list[str] | None = None, most_nodes: int = MOST
     base = train_tokens + ALPHA * (kinds + 1)
 
     def run(batches):
-        if _WORKER.get("model") is not model.value:
-            _WORKER.clear()
-            _WORKER.update(model=model.value, scorer=Scorer(model.value))
-        scorer, (vocabulary, n_of) = _WORKER["scorer"], words.value
+        frequent, (vocabulary, n_of) = model.value, words.value
         for batch in batches:
             texts, at = batch.column("ctw_text"), 0
             while at < batch.num_rows:
@@ -502,7 +565,10 @@ def score(docs: DataFrame, keep: list[str] | None = None, most_nodes: int = MOST
                     group.append(tokens_of(texts[at + len(group)].as_py()))
                     size += sum(map(len, group[-1])) + len(group[-1]) + DEPTH
                 keys, first = stream(group)
-                sums = np.add.reduceat(scorer(keys), first)
+                slot = find(frequent, keys + U(1))
+                sums = np.add.reduceat(np.where(slot >= 0, frequent["p"][slot], 0.0), first)
+                missing = np.flatnonzero(slot < 0)
+                open_ = listed(len(group), *counted(np.searchsorted(first, missing, "right") - 1, keys[missing]), "gram")
                 n_words = np.fromiter(map(len, group), np.int64, len(group))
                 h = hashes([w for g in group for w in g])
                 doc = np.repeat(np.arange(len(group)), n_words)
@@ -513,16 +579,10 @@ def score(docs: DataFrame, keep: list[str] | None = None, most_nodes: int = MOST
                 part = np.where(hit, np.log10((n + ALPHA) / base), 0.0) if base else np.zeros(len(h))
                 logs = np.bincount(doc, part, len(group)) + (np.log10((ends + ALPHA) / base) if base else 0.0)
                 known = np.bincount(doc, hit, len(group)).astype(np.int64) + int(ends > 0)
-                rare_doc, rare_word = doc[~hit], h[~hit]
-                order = np.lexsort((rare_word, rare_doc))
-                rare_doc, rare_word = rare_doc[order], rare_word[order]
-                new = np.flatnonzero((np.diff(rare_doc, prepend=-1) != 0) | (np.diff(rare_word, prepend=U(0)) != 0))
-                times = np.diff(new, append=len(rare_doc))
-                offsets = np.searchsorted(rare_doc[new], np.arange(len(group) + 1)).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(rare_word[new].view(np.int64)), pa.array(times.astype(np.int64))], ["word", "n"]))
+                rare = listed(len(group), *counted(doc[~hit], h[~hit]), "word")
                 rows = batch.slice(at, len(group))
                 carried = [*keep, "held_out", "doc_row"]
-                yield pa.RecordBatch.from_arrays([*map(rows.column, carried), pa.array(n_words + 1), pa.array(known), pa.array(logs), pa.array(sums), rare], [*carried, "n_tokens", "known", "base", "score", "rare"])
+                yield pa.RecordBatch.from_arrays([*map(rows.column, carried), pa.array(n_words + 1), pa.array(known), pa.array(logs), pa.array(sums), rare, open_], [*carried, "n_tokens", "known", "base", "score", "rare", "open"])
                 at += len(group)
 
     numbered = docs.select(*keep, held_out.alias("held_out"), F.monotonically_increasing_id().alias("doc_row"), text.alias("ctw_text"))
@@ -531,8 +591,10 @@ def score(docs: DataFrame, keep: list[str] | None = None, most_nodes: int = MOST
     rest = scored.select("doc_row", F.explode("rare").alias("x")).select("doc_row", "x.word", F.col("x.n").alias("times"))
     met = rest.join(counts.where(F.col("n") < max(train_tokens * WORD_SHARE, 1e-9)), "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
-    more = met.groupBy("doc_row").agg(F.sum(F.col("times") * F.log10((c + ALPHA) / F.lit(float(base or 1)))).alias("more_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = scored.drop("rare").join(more, "doc_row", "left")
+    by_word = met.select("doc_row", (F.col("times") * F.log10((c + ALPHA) / F.lit(float(base or 1)))).alias("more_base"), F.when(c > 0, F.col("times")).otherwise(0).alias("more_known"), F.lit(0.0).alias("more_score"))
+    by_part = open_scores(scored, grams, parts, above).select("doc_row", F.lit(0.0).alias("more_base"), F.lit(0).cast("long").alias("more_known"), "more_score")
+    more = by_word.unionByName(by_part).groupBy("doc_row").agg(*(F.sum(x).alias(x) for x in ("more_base", "more_known", "more_score")))
+    out = scored.drop("rare", "open").join(more, "doc_row", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     out = out.withColumn("base_score", F.when(F.lit(train_tokens > 0), F.col("base") + F.coalesce("more_base", F.lit(0.0))))
     out = out.withColumn("n_known", F.col("known") + F.coalesce("more_known", F.lit(0))).withColumn("train_tokens", F.lit(train_tokens).cast("long"))
     return out.select(*keep, *names)

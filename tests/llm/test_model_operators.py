@@ -150,6 +150,19 @@ def test_score(spark):
     assert ctw.score(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_score_keeps_rare_contexts(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh\0") for _ in range(rng.randint(2, 7))) for _ in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(15)) for _ in range(60)] + ["zz zyx unseen ~~~"] * 4
+    docs = documents(spark, texts)
+    tokens = [ctw.tokens_of(t) for t in texts]
+    log10 = brute_ctw(ctw.stream([t for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 10])[0])
+    for most in (0, 50):
+        got = {r["doc_id"]: r["score"] for r in ctw.score(docs, ["doc_id"], most).collect()}
+        for i, t in enumerate(tokens):
+            assert got[i] == pytest.approx(sum(log10(int(g)) for g in ctw.stream([t])[0]), rel=1e-6)
+
+
 def test_pack():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 56, 1000).astype(np.uint64))
     k, c = ctw.unpack(ctw.pack(keys, np.arange(len(keys), dtype=np.uint64)))
