@@ -301,19 +301,17 @@ def open_pairs(members: DataFrame, linked: DataFrame, classes: DataFrame, docs:
     return stage(pairs.unionByName(met).distinct(), "nd-open-pairs")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` and the row's hashes ``key1, key2``: one row for each row of ``docs``.
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with shingles, and those without: ``doc_id, key1, key2, n_shingles``.
 
-    Reads ``doc_id`` and the whole ``text``.  Null, empty and blank texts have
-    no shingles and link with nothing; texts of fewer than five words have one.
-    ``component_id`` is the smallest doc_id of the component; a null doc_id is
-    never the smallest unless there is no other, then it is null and ``kept``
-    false.  Repeated rows have equal sets and so one component; ``kept`` holds
-    for each row with the smallest doc_id.  Empty tables give empty results.
+    The former have the ``component_id``; ``best``, the keys of the document of
+    their component that comes first by doc_id (null last) and then by keys; and
+    ``copies``, the number of rows with their set.
     """
     rows = sketches(keyed_texts(docs).withColumn("row", F.monotonically_increasing_id()))
     sig = ["sig1", "sig2"]
-    groups = stage(rows.where("n > 0").groupBy(*sig).agg(F.min("row").alias("class"), F.min("doc_id").alias("least")), "nd-classes")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key1", "key2")
+    groups = stage(rows.where("n > 0").groupBy(*sig).agg(F.min("row").alias("class"), F.min("doc_id").alias("least"), F.min(first).alias("best"), F.count("*").alias("copies")), "nd-classes")
     classes = stage(rows.select("row", "key1", "key2", "n", "sketch").join(groups.select(F.col("class").alias("row")), "row"), "nd-class-sketches")
     members = lists(classes)
     pair = [F.least("row", "centre").alias("a"), F.greatest("row", "centre").alias("b")]
@@ -324,26 +322,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = verified(stage(rest, "nd-rest"), classes, docs)
     root = components(linked.unionByName(more)).select(F.col("node").alias("class"), "root")
     rooted = groups.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rooted = stage(rooted.select(*sig, "root", "least"), "nd-rooted")
-    least = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "nd-least")
-    named = stage(rooted.join(least, "root").select(*sig, "component_id"), "nd-named")
+    rooted = stage(rooted.select(*sig, "root", "least", "best", "copies"), "nd-rooted")
+    least = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("best").alias("best")), "nd-least")
+    named = stage(rooted.drop("best").join(least, "root").select(*sig, "component_id", "best", "copies"), "nd-named")
     plain = rows.select("doc_id", "key1", "key2", F.col("n").alias("n_shingles"), *sig)
-    full = plain.where("n_shingles > 0").join(named, sig).drop(*sig)
-    empty = plain.where("n_shingles = 0").drop(*sig).withColumn("component_id", F.col("doc_id"))
+    return plain.where("n_shingles > 0").join(named, sig).drop(*sig), plain.where("n_shingles = 0").drop(*sig)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` and the row's hashes ``key1, key2``: one row for each row of ``docs``.
+
+    Reads ``doc_id`` and the whole ``text``.  Null, empty and blank texts have
+    no shingles and link with nothing; texts of fewer than five words have one.
+    ``component_id`` is the smallest doc_id of the component; a null doc_id is
+    never the smallest unless there is no other, then it is null and ``kept``
+    false.  Repeated rows have equal sets and so one component; ``kept`` holds
+    for each row with the smallest doc_id.  Empty tables give empty results.
+    """
+    full, empty = grouped(docs)
+    full, empty = full.drop("best", "copies"), empty.withColumn("component_id", F.col("doc_id"))
     return full.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component, columns as before; a row that is repeated whole stays once.
+    """One row of each component, columns as before.
 
-    Documents without shingles all stay.
+    It is the row with the smallest doc_id, a null one coming last; of several
+    texts with that doc_id the one with the smallest hashes; of rows with equal
+    doc_id and text the first by all columns.  Documents without shingles all
+    stay.
     """
-    dropped = near_duplicates(docs).where("not kept and (n_shingles > 0 or doc_id is not null)").select("key1", "key2").distinct()
-    text = text_or_empty().cast("string")
+    full, _ = grouped(docs)
+    best = (F.col("key1") == F.col("best.key1")) & (F.col("key2") == F.col("best.key2"))
+    marked = full.withColumn("nd_best", best).where("not nd_best or copies > 1").groupBy(F.col("key1").alias("nd_key1"), F.col("key2").alias("nd_key2"))
+    marked = stage(marked.agg(F.min("nd_best").alias("nd_best"), F.count("*").alias("n")).where("not nd_best or n > 1").drop("n"), "nd-marked")
+    keys, text = ["nd_key1", "nd_key2"], text_or_empty().cast("string")
     keyed = docs.withColumn("nd_key1", F.xxhash64("doc_id", text)).withColumn("nd_key2", F.xxhash64(F.lit(7), text, "doc_id"))
-    dropped = stage(dropped.select(F.col("key1").alias("nd_key1"), F.col("key2").alias("nd_key2")), "nd-dropped")
-    kept = keyed.join(small_or_shuffled(dropped, MOST_BROADCAST), ["nd_key1", "nd_key2"], "left_anti")
-    return kept.select(*docs.columns)
+    kept = keyed.join(small_or_shuffled(marked.select(*keys), MOST_BROADCAST), keys, "left_anti").select(*docs.columns)
+    repeated = marked.where("nd_best").select(*keys)
+    if not repeated.count():
+        return kept
+    row = F.struct(*docs.columns)
+    once = keyed.join(small_or_shuffled(repeated, MOST_BROADCAST), keys).groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("nd_row"))
+    return kept.unionByName(once.select("nd_row.*"))
 
 
 def op9_query(spark, sf_dir):

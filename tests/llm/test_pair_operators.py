@@ -91,6 +91,15 @@ def test_near_duplicate_edges(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_deduplicated_keeps_one_row(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, "a b c d e f", 1), (3, "a b c d e f", 1), (None, "a b c d e f", 1), (None, "q r s t u v", 1), (7, None, 1), (7, None, 1)]
+    rows += [(4, long, 1), (4, long + " tail", 1), (None, "g h i j k l", 1), (None, "g h i j k l", 2), (None, "g h i j k  L", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x long")
+    got = [(r["doc_id"], (r["text"] or "").lower().split()[:1]) for r in neardup.deduplicated(docs).collect()]
+    assert sorted(got, key=str) == sorted([(3, ["a"]), (None, ["q"]), (7, []), (7, []), (4, ["w0"]), (None, ["g"])], key=str)
+
+
 def test_estimates():
     rng = np.random.default_rng(0)
     pool = rng.choice(1 << 40, 5000, replace=False)
