@@ -1,7 +1,8 @@
 """Quality rules with distribution divergence, in native expressions.
 
 Fixed rules come first (too short, too repetitive).  Then a document's
-histogram of character classes and its histogram of common words are compared
+histogram of character classes and its histogram of common words (all other
+words are one bin) are compared
 with references of its language by the Jensen-Shannon distance; a document far
 from its language is rejected, unless it is too short to tell.
 """
@@ -27,9 +28,10 @@ CLASSES = {"lower": r"\p{Ll}\p{Lo}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "sp
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 LEAST_CHARS = 200
-LEAST_COMMON = 80
+LEAST_COUNTED = 100
 MOST_CHAR_DISTANCE = 0.3
-MOST_WORD_DISTANCE = 0.75
+#: Read off the labels of sf0.1, see the README; a text without any common word is at 0.34 or so.
+MOST_WORD_DISTANCE = 0.25
 
 
 def repeat_words(words: Column) -> Column:
@@ -81,7 +83,8 @@ def measured(docs: DataFrame) -> DataFrame:
     common = F.coalesce(F.element_at(F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.col("q_lang")), none)
     lowered = F.split(F.lower(q), SPACE + "+", -1)
     counts = bind(F.struct(lowered.alias("w"), common.alias("c")), lambda b: F.transform(b["c"], lambda c: F.size(b["w"]) - F.size(F.array_remove(b["w"], c))))
-    return out.withColumn("q_common", counts).drop("q_words", "q_text", "q_classes")
+    others = lambda c: F.concat(c, F.array((F.col("n_words") - F.aggregate(c, F.lit(0), lambda a, x: a + x)).cast("int")))
+    return out.withColumn("q_common", bind(counts, others)).drop("q_words", "q_text", "q_classes")
 
 
 def distance(counts: Column, reference: Column) -> Column:
@@ -105,20 +108,20 @@ def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """
     sums = lambda name, n: F.array(*(F.sum(F.coalesce(F.get(name, F.lit(i)), F.lit(0)) * F.col("weight")) for i in range(n)))
     weighed = docs.withColumn("weight", 1.0 / F.greatest(F.col("n_words"), F.lit(1)))
-    rows = weighed.where(~F.col("base_failed")).groupBy("q_lang").agg(sums("q_chars", len(CLASSES) + 1).alias("chars"), sums("q_common", len(COMMON["en"])).alias("common")).collect()
+    rows = weighed.where(~F.col("base_failed")).groupBy("q_lang").agg(sums("q_chars", len(CLASSES) + 1).alias("chars"), sums("q_common", len(COMMON["en"]) + 1).alias("common")).collect()
     share = lambda x: [v / (sum(x) or 1.0) for v in x]
     return {r["q_lang"]: (share(r["chars"]), share(r["common"])) for r in rows}
 
 
-def judge(docs: DataFrame, most_char_distance: float = MOST_CHAR_DISTANCE, most_word_distance: float = MOST_WORD_DISTANCE, least_chars: int = LEAST_CHARS, least_common: int = LEAST_COMMON, keep: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, most_char_distance: float = MOST_CHAR_DISTANCE, most_word_distance: float = MOST_WORD_DISTANCE, least_chars: int = LEAST_CHARS, least_counted: int = LEAST_COUNTED, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the measures, ``base_failed``, ``char_distance``, ``word_distance`` and ``kept``.
 
     Reads ``text`` and ``lang``; columns named like the results are replaced.  A
     null or empty text has no words and fails.  A null or unknown language
     shares one reference of character classes and has no common words, so its
     word distance is null and rejects nothing.  The character distance counts
-    from ``least_chars`` characters on, the word distance from ``least_common``
-    common words on.  Repeated rows are judged alike; empty tables give empty
+    from ``least_chars`` characters on, the word distance from ``least_counted``
+    words on, common or not.  Repeated rows are judged alike; empty tables give empty
     results.  ``keep`` names the columns to carry along (all, if not given).
 
     Texts are measured once; the measures are written to the shared folder, and
@@ -138,8 +141,8 @@ def judge(docs: DataFrame, most_char_distance: float = MOST_CHAR_DISTANCE, most_
     rows = rows.withColumn("char_distance", distance(F.col("q_chars"), pick(0)))
     rows = rows.withColumn("word_distance", F.when(F.col("q_lang") != "", distance(F.col("q_common"), pick(1))))
     sized = F.aggregate("q_chars", F.lit(0), lambda a, x: a + x) >= least_chars
-    common = F.aggregate("q_common", F.lit(0), lambda a, x: a + x) >= least_common
-    far = F.coalesce(sized & (F.col("char_distance") > most_char_distance), F.lit(False)) | F.coalesce(common & (F.col("word_distance") > most_word_distance), F.lit(False))
+    counted = F.col("n_words") >= least_counted
+    far = F.coalesce(sized & (F.col("char_distance") > most_char_distance), F.lit(False)) | F.coalesce(counted & (F.col("word_distance") > most_word_distance), F.lit(False))
     return rows.withColumn("kept", ~F.col("base_failed") & ~far).drop("q_chars", "q_common", "q_lang")
 
 

@@ -113,6 +113,15 @@ def test_quality(spark):
     assert quality.kept_documents(docs).columns == docs.columns
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    rng = random.Random(12)
+    odd = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    plain = [" ".join(rng.choice(quality.COMMON["en"]) if rng.random() < 0.4 else odd() for _ in range(400)) for _ in range(20)]
+    strange = [" ".join(odd() + "q" for _ in range(n)) for n in (120, 3000)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(plain + strange)] + [(99, strange[0], None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in quality.kept_documents(docs).collect()} == {*range(20), 99}
+
+
 def test_distance(spark):
     row = spark.range(1).select(*(quality.distance(F.array(*map(F.lit, a)), F.array(*map(F.lit, b))) for a, b in (([1, 1], [0.5, 0.5]), ([1, 0], [0.0, 1.0]), ([0, 0], [0.5, 0.5])))).first()
     assert row[0] == 0 and row[1] == 1 and row[2] is None
