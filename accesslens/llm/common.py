@@ -7,22 +7,29 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space between words is space and U+0009 to U+000D.
 SPACE = "[\\x20\\x09-\\x0D]"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share.
+    """The folder that all executors and the driver share: the cluster's ``spark.checkpoint.dir``.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset, as
-    in tests, a temporary folder is made and set.
+    Only where that is unset and Spark runs in one process, as in tests, a
+    temporary folder is made, one for each application.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="accesslens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _OWN.setdefault(spark.sparkContext.applicationId, "")
+        if not base:
+            base = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="accesslens-")
     return base.rstrip("/")
 
 
@@ -61,6 +68,28 @@ def drop_staged(*frames: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Carried:
+    """A user's columns on their way through an operator: one struct, whose fields meet no internal name.
+
+    Columns named like the results, in either case, are left out.
+    """
+
+    def __init__(self, docs: DataFrame, keep: list[str] | None, results: list[str]):
+        taken = {r.lower() for r in results}
+        self.names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
+        quoted = [F.col("`" + n.replace("`", "``") + "`").alias(n) for n in self.names]
+        self.column = F.struct(*(quoted or [F.lit(True).alias("none")])).alias("carried")
+        self.type = docs.select(self.column).schema["carried"].dataType
+
+    def fields(self) -> list[Column]:
+        """The columns themselves, from rows that hold ``carried``."""
+        return [F.col("carried").getField(n).alias(n) for n in self.names]
+
+    def schema(self, more: str) -> T.StructType:
+        """``carried`` and the columns of a schema in words."""
+        return T.StructType([T.StructField("carried", self.type), *T.StructType.fromDDL(more).fields])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
