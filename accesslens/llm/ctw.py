@@ -1,12 +1,13 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A text is lower-cased (A to Z), its words are joined by single spaces and an
-end mark follows; each byte is coded as eight binary decisions.  Every decision
+A text is lower-cased (A to Z), white space as it is, and an end mark follows;
+each byte is coded as eight binary decisions.  Every decision
 has a tree of contexts, the last 0 to ``DEPTH`` bytes.  A node keeps
 Krichevsky-Trofimov counts; its weighted probability is half its own estimate
 and half the product of its children's, so the tree mixes all depths.  Trained
 counts give every node the weight of its own estimate against its children's;
-scoring follows a context downwards and mixes by these weights.
+scoring follows a context downwards and mixes by these weights.  A child that
+training never saw has counts of zero and predicts one half.
 
 Counting, tree building and scoring are distributed.  No node is left out:
 every context of ``DEPTH`` bytes is in one part of the tree, with all that share
@@ -23,12 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, stage, text_or_empty
+from .common import Carried, read_table, stage, text_or_empty
 
 #: Bytes of context, and of them those that place a subtree.
 DEPTH = 6
 TOP = 3
-END = 10
+#: The end mark, a byte that UTF-8 has no use for.
+END = 255
 #: Grams whose scores are sent to each worker, at most: those with the most occurrences.
 MOST_GRAMS = 1 << 21
 #: Words sent to each worker: those with at least this share of all training tokens.
@@ -42,6 +44,7 @@ ALPHA = 0.1
 U = np.uint64
 GRAMS = "part int, grams binary"
 NODES = "kind int, key long, a double, b double"
+UPPER = "head int, " + NODES
 WORDS = "word long, n long"
 SCORES = "held_out boolean, doc_row long, n_tokens long, known long, base double, score double, rare array<struct<word:long,n:long>>, open array<struct<gram:long,n:long>>"
 
@@ -95,18 +98,18 @@ def counted(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
 # --- texts -------------------------------------------------------------------
 
 
-def tokens_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def lowered(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").lower()
 
 
-def stream(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all coded bytes of some texts, and the first one of each text.
+def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all coded bytes of some lower-cased texts, and the first one of each text.
 
     A key holds the ``DEPTH`` bytes before a byte, the last one first, and then
     the byte itself.  Before a text stand end marks.
     """
     pad = bytes([END]) * DEPTH
-    bodies = [pad + b" ".join(t) + bytes([END]) for t in texts]
+    bodies = [pad + t + pad[:1] for t in texts]
     raw = np.frombuffer(b"".join(bodies), np.uint8)
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
     keys = raw[DEPTH:].astype(np.uint64)
@@ -126,7 +129,7 @@ def count_grams(texts: DataFrame, parts: int) -> DataFrame:
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting: list[list[bytes]] = []
+        waiting: list[bytes] = []
         size = 0
 
         def settle():
@@ -149,9 +152,8 @@ def count_grams(texts: DataFrame, parts: int) -> DataFrame:
 
         for batch in batches:
             for text in batch.column("text"):
-                words = tokens_of(text.as_py())
-                waiting.append(words)
-                size += sum(map(len, words)) + len(words) + DEPTH
+                waiting.append(lowered(text.as_py()))
+                size += len(waiting[-1]) + DEPTH
                 if size >= BLOCK:
                     settle()
                     if len(held[0][0]) >= HELD:
@@ -211,7 +213,7 @@ def build_nodes(grams: np.ndarray, counts: np.ndarray, depth: int, least: int, b
 
     ``grams`` are sorted keys of ``depth`` bytes and one more.  ``below`` has
     keys and log-probabilities of the children of the deepest nodes.  Returns a
-    list of ``(key, p, w, visits)`` arrays, and keys and summed logs for the
+    list of ``(key, odds, w, visits)`` arrays, odds being those of a one, and keys and summed logs for the
     parents of the nodes of ``least`` bytes.
     """
     out, child = [], below
@@ -243,7 +245,7 @@ def build_nodes(grams: np.ndarray, counts: np.ndarray, depth: int, least: int, b
                 inner = np.where((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == key), logs[np.minimum(at, len(keys) - 1)], 0.0)
                 log_w = np.logaddexp(own, inner) - np.log(2)
                 w = np.exp(own - np.log(2) - log_w)
-            out.append((key, (ones + 0.5) / (n + 1), w, n))
+            out.append((key, (ones + 0.5) / (n - ones + 0.5), w, n))
             if d:
                 up_keys.append(node_key(d - 1, context >> U(8), index))
                 up_logs.append(log_w)
@@ -283,7 +285,8 @@ def build_tree(texts: DataFrame, parts: int, most_grams: int = MOST_GRAMS) -> tu
     ``TOP`` at any size of the corpus), as keys, estimates and weights; and the
     step of counts from which on a gram is one of the ``most_grams`` most
     frequent, all of the last step or none.  Subtrees below ``TOP`` bytes are
-    built apart, in as many tasks as ``parts``; what is above them in one.
+    built apart, in as many tasks as ``parts``; what is above them by their last
+    byte.
     """
     grams = count_grams(texts, parts)
 
@@ -298,17 +301,25 @@ def build_tree(texts: DataFrame, parts: int, most_grams: int = MOST_GRAMS) -> tu
 
     rows = stage(grams.repartition(parts, "part").groupBy("part").applyInArrow(subtrees, NODES), "ctw-nodes")
 
-    def top(table: pa.Table) -> pa.Table:
+    def upper(table: pa.Table) -> pa.Table:
+        """Nodes of ``TOP`` - 1 bytes and up to one byte, of all contexts with one last byte."""
         kind, key, a = (table.column(x).to_numpy() for x in ("kind", "key", "a"))
         key = key.view(np.uint64)
         up, short = kind == 1, kind == 2
         uo, so = np.argsort(key[up]), np.argsort(key[short])
-        nodes, _, _ = build_nodes(key[short][so], a[short][so], TOP - 1, 0, (key[up][uo], a[up][uo]))
-        k, p, w, _ = (np.concatenate(x) for x in zip(*nodes, strict=True))
-        return _node_table(0, k, p, w)
+        keys, counts = key[short][so], a[short][so]
+        nodes, next_up, logs = build_nodes(keys, counts, TOP - 1, 1, (key[up][uo], a[up][uo]))
+        k, odds, w, _ = (np.concatenate(x) for x in zip(*nodes, strict=True))
+        return pa.concat_tables([_node_table(0, k, odds, w), _node_table(1, next_up, logs), _node_table(2, *merged([keys & U(255)], [counts]))])
 
     sums = rows.groupBy("kind", "key").agg(F.sum("a").alias("a"))
-    shorter = sums.where("kind < 3").withColumn("all", F.lit(1)).groupBy("all").applyInArrow(top, NODES).toArrow()
+    head = F.shiftright("key", 8 * (TOP - 1)).bitwiseAND(F.lit(255)).cast("int")
+    middle = stage(sums.where("kind < 3").withColumn("head", head).groupBy("head").applyInArrow(upper, NODES), "ctw-upper")
+    least_rows = middle.where("kind > 0").groupBy("kind", "key").agg(F.sum("a").alias("a")).orderBy("key").toArrow()  # 511 rows at most
+    kind, key, a = (least_rows.column(x).to_numpy() for x in ("kind", "key", "a"))
+    key = key.view(np.uint64)
+    nodes, _, _ = build_nodes(key[kind == 2], a[kind == 2], 0, 0, (key[kind == 1], a[kind == 1]))
+    shorter = pa.concat_tables([middle.where("kind = 0").select("key", "a", "b").toArrow(), *(_node_table(0, *x[:3]).select(["key", "a", "b"]) for x in nodes)])
     above = shorter.column("key").to_numpy().view(np.uint64), shorter.column("a").to_numpy(), shorter.column("b").to_numpy()
     taken, least = 0, 1 << 40
     for r in sums.where("kind = 3").orderBy(F.desc("key")).collect():
@@ -329,14 +340,17 @@ def train(texts: DataFrame, parts: int, least_share: float = 0.0) -> dict:
 # --- scoring -----------------------------------------------------------------
 
 
-def mixtures(keys: np.ndarray, p: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Of each node the mixed probability of a one where it is the deepest node of a context.
+def mixtures(keys: np.ndarray, odds: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of each node the log-odds of a one where it is the deepest node that training saw of a context.
 
-    A node's ancestors are known by its key, and they must all be given.
+    A node's ancestors are known by its key, and they must all be given.  What a
+    node leaves to children that were never seen is predicted by one half.  Ones
+    and zeros are mixed apart, so that neither is lost beside the other.
     """
     order = np.argsort(keys)
-    keys, p, w = keys[order], p[order], w[order]
-    above, carry, mixed_p = np.zeros(len(keys)), np.ones(len(keys)), p.copy()
+    keys, odds, w = keys[order], odds[order], w[order]
+    p = np.stack([odds / (1 + odds), 1 / (1 + odds)])
+    above, carry = np.zeros((2, len(keys))), np.ones(len(keys))
     depth = (keys >> U(56)).astype(np.int64)
     for d in range(1, DEPTH + 1):
         own = np.flatnonzero(depth == d)
@@ -344,19 +358,19 @@ def mixtures(keys: np.ndarray, p: np.ndarray, w: np.ndarray) -> np.ndarray:
             break
         context = (keys[own] >> U(8)) & U((1 << 48) - 1)
         parent = np.searchsorted(keys, node_key(d - 1, context >> U(8), keys[own] & U(255)))
-        above[own] = above[parent] + carry[parent] * w[parent] * p[parent]
+        above[:, own] = above[:, parent] + carry[parent] * w[parent] * p[:, parent]
         carry[own] = carry[parent] * (1 - w[parent])
-        mixed_p[own] = above[own] + carry[own] * p[own]
+    one, zero = above + carry * (w * p + (1 - w) / 2)
     out = np.empty(len(keys))
-    out[order] = mixed_p
+    out[order] = np.log(one) - np.log(zero)
     return out
 
 
 def hash_table(keys: np.ndarray, values: np.ndarray) -> dict:
-    """An open hash table of distinct keys above zero, at most half full, and their values; one half where nothing is."""
+    """An open hash table of distinct keys above zero, at most half full, and their values; zero where nothing is."""
     bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
     size = 1 << bits
-    table, p = np.zeros(size, np.uint64), np.full(size, 0.5)
+    table, value = np.zeros(size, np.uint64), np.zeros(size)
     slot = (mixed(keys) >> U(64 - bits)).astype(np.int64)
     left = np.arange(len(keys))
     while len(left):
@@ -364,14 +378,14 @@ def hash_table(keys: np.ndarray, values: np.ndarray) -> dict:
         free = table[s] == 0
         table[s[free]] = keys[left[free]]  # of those that want one slot, the last gets it
         got = table[s] == keys[left]
-        p[s[got]] = values[left[got]]
+        value[s[got]] = values[left[got]]
         left = left[~got]
         slot[left] = (slot[left] + 1) % size
-    return {"bits": bits, "keys": table, "p": p}
+    return {"bits": bits, "keys": table, "value": value}
 
 
 def part_model(keys: np.ndarray, counts: np.ndarray, above: tuple[np.ndarray, ...], asked: np.ndarray, least: float = 0.0) -> dict:
-    """A hash table of the nodes of a part and of their ancestors: key and mixed probability of a one.
+    """A hash table of the nodes of a part and of their ancestors: key and mixed log-odds of a one.
 
     ``keys`` and ``counts`` are all grams of the part, ``above`` the nodes of
     contexts shorter than ``TOP`` bytes; of those just above the part only the
@@ -380,8 +394,8 @@ def part_model(keys: np.ndarray, counts: np.ndarray, above: tuple[np.ndarray, ..
     heads = np.unique(np.concatenate([keys, asked]) >> U(8 * (DEPTH + 2 - TOP)))
     near = ((above[0] >> U(56)) < U(TOP - 1)) | np.isin((above[0] >> U(8)) & U((1 << 48) - 1), heads)
     nodes, _, _ = build_nodes(keys, counts, DEPTH, TOP)
-    key, p, w = (np.concatenate(x) for x in zip([x[near] for x in above], *([x[n >= least] for x in (k, p, w)] for k, p, w, n in nodes), strict=True))
-    return hash_table(key, mixtures(key, p, w))
+    key, odds, w = (np.concatenate(x) for x in zip([x[near] for x in above], *([x[n >= least] for x in (k, o, w)] for k, o, w, n in nodes), strict=True))
+    return hash_table(key, mixtures(key, odds, w))
 
 
 def find(model: dict, keys: np.ndarray) -> np.ndarray:
@@ -420,9 +434,9 @@ def log10_of(model: dict, grams: np.ndarray) -> np.ndarray:
             hit = slot >= 0
             low[todo[hit]], best[todo[hit]] = middle[hit], slot[hit]
             high[todo[~hit]] = middle[~hit] - 1
-        p = np.where(best >= 0, model["p"][best], 0.5).astype(np.float64)
-        logs += np.log10(np.where(one, p, 1 - p))
-    return logs
+        odds = np.where(best >= 0, model["value"][best], 0.0)
+        logs -= np.logaddexp(0, np.where(one, -odds, odds))
+    return logs / np.log(10)
 
 
 def frequent_logs(grams: DataFrame, parts: int, above, least: int) -> dict:
@@ -500,7 +514,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column("text"):
-                held.append(hashes(tokens_of(text.as_py())))
+                held.append(hashes(lowered(text.as_py()).split()))
                 size += len(held[-1])
                 if size >= HELD:
                     yield flush()
@@ -521,7 +535,7 @@ def listed(rows: int, row: np.ndarray, values: np.ndarray, times: np.ndarray, na
 def score(docs: DataFrame, keep: list[str] | None = None, most_grams: int = MOST_GRAMS) -> DataFrame:
     """``docs`` with ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
-    Reads ``doc_id`` and ``text``.  Documents whose CRC-32 of the doc_id (as
+    Reads ``doc_id`` and ``text``; ``score`` is that of the whole text, white space included.  Documents whose CRC-32 of the doc_id (as
     text; null counts as the empty text) is divisible by 10 are held out, all
     others train.  A null or empty text has the end mark alone.  ``keep`` names
     the columns to carry along (all, if not given); columns named like the
@@ -537,7 +551,7 @@ def score(docs: DataFrame, keep: list[str] | None = None, most_grams: int = MOST
     """
     spark = docs.sparkSession
     names = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*names, "ctw_text", "doc_row", "known", "base", "rare", "open")]
+    carried = Carried(docs, keep, names)
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
     text = text_or_empty().cast("string")
     training = docs.where(~held_out).select(text.alias("text"))
@@ -562,15 +576,16 @@ def score(docs: DataFrame, keep: list[str] | None = None, most_grams: int = MOST
             while at < batch.num_rows:
                 group, size = [], 0
                 while at + len(group) < batch.num_rows and size < BLOCK // 4:
-                    group.append(tokens_of(texts[at + len(group)].as_py()))
-                    size += sum(map(len, group[-1])) + len(group[-1]) + DEPTH
+                    group.append(lowered(texts[at + len(group)].as_py()))
+                    size += len(group[-1]) + DEPTH
                 keys, first = stream(group)
+                words_of = [t.split() for t in group]
                 slot = find(frequent, keys + U(1))
-                sums = np.add.reduceat(np.where(slot >= 0, frequent["p"][slot], 0.0), first)
+                sums = np.add.reduceat(np.where(slot >= 0, frequent["value"][slot], 0.0), first)
                 missing = np.flatnonzero(slot < 0)
                 open_ = listed(len(group), *counted(np.searchsorted(first, missing, "right") - 1, keys[missing]), "gram")
-                n_words = np.fromiter(map(len, group), np.int64, len(group))
-                h = hashes([w for g in group for w in g])
+                n_words = np.fromiter(map(len, words_of), np.int64, len(group))
+                h = hashes([w for x in words_of for w in x])
                 doc = np.repeat(np.arange(len(group)), n_words)
                 slot = np.searchsorted(vocabulary, h)
                 slot[slot == len(vocabulary)] = 0
@@ -581,12 +596,12 @@ def score(docs: DataFrame, keep: list[str] | None = None, most_grams: int = MOST
                 known = np.bincount(doc, hit, len(group)).astype(np.int64) + int(ends > 0)
                 rare = listed(len(group), *counted(doc[~hit], h[~hit]), "word")
                 rows = batch.slice(at, len(group))
-                carried = [*keep, "held_out", "doc_row"]
-                yield pa.RecordBatch.from_arrays([*map(rows.column, carried), pa.array(n_words + 1), pa.array(known), pa.array(logs), pa.array(sums), rare, open_], [*carried, "n_tokens", "known", "base", "score", "rare", "open"])
+                same = ["carried", "held_out", "doc_row"]
+                yield pa.RecordBatch.from_arrays([*map(rows.column, same), pa.array(n_words + 1), pa.array(known), pa.array(logs), pa.array(sums), rare, open_], [*same, "n_tokens", "known", "base", "score", "rare", "open"])
                 at += len(group)
 
-    numbered = docs.select(*keep, held_out.alias("held_out"), F.monotonically_increasing_id().alias("doc_row"), text.alias("ctw_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), SCORES])
+    numbered = docs.select(carried.column, held_out.alias("held_out"), F.monotonically_increasing_id().alias("doc_row"), text.alias("ctw_text"))
+    schema = carried.schema(SCORES)
     scored = stage(numbered.mapInArrow(run, schema), "ctw-scores")
     rest = scored.select("doc_row", F.explode("rare").alias("x")).select("doc_row", "x.word", F.col("x.n").alias("times"))
     met = rest.join(counts.where(F.col("n") < max(train_tokens * WORD_SHARE, 1e-9)), "word", "left")
@@ -597,7 +612,7 @@ def score(docs: DataFrame, keep: list[str] | None = None, most_grams: int = MOST
     out = scored.drop("rare", "open").join(more, "doc_row", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     out = out.withColumn("base_score", F.when(F.lit(train_tokens > 0), F.col("base") + F.coalesce("more_base", F.lit(0.0))))
     out = out.withColumn("n_known", F.col("known") + F.coalesce("more_known", F.lit(0))).withColumn("train_tokens", F.lit(train_tokens).cast("long"))
-    return out.select(*keep, *names)
+    return out.select(*carried.fields(), *names)
 
 
 def op2_query(spark, sf_dir):
