@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import Carried, read_table
 
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,12 +37,20 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 SCOPE = frozenset("article aside blockquote body button caption div footer form header html li main nav object section table td th".split())
-#: Elements that are never article text, and words of class and id that mark such elements.
-ASIDE = frozenset("aside audio button canvas datalist dialog footer form head iframe input label map math menu nav noscript object option script select style svg template textarea title video".split())
+#: Elements whose content is never read as text.
+HARD = frozenset("audio button canvas datalist head iframe input map math noscript option script select style svg template textarea title video".split())
+#: Page furniture by element, role and class or id: not article text, unless it holds most of the page.
+FURNITURE = frozenset("aside dialog footer form label menu nav object".split())
+ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related share sharing sidebar signup skip social sponsor sponsored subscribe toolbar".split()
 )
-PAGE_HEADS = frozenset(["header"])
+#: Reader comments: not article text, however long.
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+#: Parts of a class token that tell of something else than the element itself.
+NEUTRAL = frozenset("has no not with without is container wrapper wrap layout content page main body inner".split())
+HEADERS = frozenset("header site-header site_header top-header main-header global-header".split())
+PLAIN, LENIENT, STRICT, NEVER = range(4)
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -57,51 +65,53 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "off", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "parts", "mark", "off", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, off: bool):
-        self.name, self.parent, self.off = name, parent, off
+    def __init__(self, name: str, parent: Node | None, mark: int):
+        self.name, self.parent, self.mark, self.off = name, parent, mark, mark == NEVER
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_aside(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is page furniture.  ``inside``: within an article or main part, where headers are its own."""
-    if name in ASIDE or (name in PAGE_HEADS and not inside):
+def marked(token: str, marks: frozenset[str]) -> bool:
+    """Whether a class token names one of ``marks``: as a whole, or as a part beside no neutral one."""
+    if token in marks:
         return True
-    if not attributes:
-        return False
+    parts = WORD.findall(token)
+    return len(parts) > 1 and not marks.isdisjoint(parts) and NEUTRAL.isdisjoint(parts)
+
+
+def mark_of(name: str, attributes: str, inside: bool) -> int:
+    """How sure it is that an element is no article text.  ``inside``: within an article or main part, where headers are its own."""
+    if name in HARD:
+        return NEVER
+    mark = LENIENT if name in FURNITURE or (name == "header" and not inside) else PLAIN
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "style":
-            if re.search(r"display\s*:\s*none", value):
-                return True
-        elif key == "role":
-            if value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"):
-                return True
-        elif name not in ("body", "html", "article", "main"):
-            words = WORD.findall(value)
-            if not MARKS.isdisjoint(words) or (not inside and "header" in words):
-                return True
-    return False
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value) or key == "role" and value in ROLES:
+            mark = max(mark, LENIENT)
+        elif key in ("class", "id") and name not in ("body", "html", "article", "main"):
+            tokens = value.split()
+            if any(marked(t, COMMENTS) for t in tokens):
+                mark = STRICT
+            elif any(marked(t, MARKS) or not inside and t in HEADERS for t in tokens):
+                mark = max(mark, LENIENT)
+    return mark
 
 
 def parse(page: str) -> Node:
     """The tree of a page; elements that are left open end where a browser would end them."""
-    root = Node("html", None, False)
+    root = Node("html", None, PLAIN)
     stack, at, inside = [root], 0, 0
     open_ = root
     end = len(page)
     while at < end:
         m = TAG.search(page, at)
         if m is None:
-            if not open_.off:
-                open_.parts.append(page[at:])
+            open_.parts.append(page[at:])
             break
-        if m.start() > at and not open_.off:
+        if m.start() > at:
             open_.parts.append(page[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
@@ -124,13 +134,12 @@ def parse(page: str) -> Node:
             if name == "body" and all(x.name != "body" for x in stack):
                 inside -= sum(x.name in ("article", "main") for x in stack[1:])
                 del stack[1:]
-                open_ = Node("body", root, False)
+                open_ = Node("body", root, PLAIN)
                 root.parts.append(open_)
                 stack.append(open_)
             continue
         if name == "br":
-            if not open_.off:
-                open_.parts.append(" ")
+            open_.parts.append(" ")
             open_.tags += 1
             continue
         cut = None
@@ -152,7 +161,7 @@ def parse(page: str) -> Node:
             inside -= sum(x.name in ("article", "main") for x in stack[cut:])
             del stack[cut:]
             open_ = stack[-1]
-        node = Node(name, open_, open_.off or _is_aside(name, m[3] or m[6] or "", inside > 0))
+        node = Node(name, open_, mark_of(name, m[3] or m[6] or "", inside > 0))
         open_.parts.append(node)
         if name in RAW and not (m[3] or m[6] or "").endswith("/"):
             close = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(page, at)
@@ -165,6 +174,34 @@ def parse(page: str) -> Node:
     return root
 
 
+def switch_off(root: Node) -> None:
+    """Switch off the marked nodes that are page furniture.
+
+    A comment section always is, unless there is no other text; any other marked
+    node is, unless it holds more than half of the text outside of comments and
+    links, as a form or a header around the whole page does.
+    """
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(x for x in node.parts if isinstance(x, Node) and not x.off)
+
+    def texts(most: int) -> dict[int, int]:
+        size: dict[int, int] = {}
+        for node in reversed(order):
+            own = 0 if node.name == "a" else sum(len(x.strip()) for x in node.parts if isinstance(x, str))
+            size[id(node)] = own + sum(size[id(x)] for x in node.parts if isinstance(x, Node) and not x.off and x.mark <= most and x.name != "a")
+        return size
+
+    strict = STRICT
+    size = texts(LENIENT)
+    if not size[id(root)]:
+        strict, size = NEVER, texts(STRICT)
+    for node in order:
+        node.off = node.mark >= strict or node.mark != PLAIN and 2 * size[id(node)] <= size[id(root)]
+
+
 def measure(root: Node) -> list[Node]:
     """Densities of all nodes that may hold text, children before parents."""
     order, todo = [], [root]
@@ -196,6 +233,7 @@ def measure(root: Node) -> list[Node]:
 
 def article(root: Node) -> Node | None:
     """The node that holds the main text."""
+    switch_off(root)
     order = [n for n in measure(root) if n.chars]
     if not order:
         return None
@@ -260,20 +298,20 @@ def extract(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     Reads the whole ``html``; null, empty and pages without text give the empty
     string.  ``keep`` names the columns to carry along (all, if not given);
-    columns named like the results are replaced.  Each row stands for itself, so
-    repeated rows are repeated and empty tables give empty results.  A worker
-    holds a batch of rows and one page's tree; nothing is shuffled.
+    columns named like the results are replaced, any other name is the user's.
+    Each row stands for itself, so repeated rows are repeated and empty tables
+    give empty results.  A worker holds a batch of rows and one page's tree;
+    nothing is shuffled.
     """
-    keep = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars", "page_html")]
+    carried = Carried(pages, keep, ["text", "n_chars"])
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column("page_html")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])
+            texts = [main_text(x.as_py()) for x in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([batch.column("carried"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["carried", "text", "n_chars"])
 
-    rows = pages.select(*keep, F.col("html").cast("string").alias("page_html"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema), "text string", "n_chars long"])
-    return rows.mapInArrow(run, schema)
+    rows = pages.select(carried.column, F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(run, carried.schema("text string, n_chars long")).select(*carried.fields(), "text", "n_chars")
 
 
 def op8_query(spark, sf_dir):

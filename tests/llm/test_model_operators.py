@@ -237,6 +237,60 @@ PAGES = [
 ]
 
 
+BODY = f"<h1>Title</h1><p>{FILL * 3}</p><p>{FILL * 2}</p>"
+WHOLE = "Title\n\n" + (FILL * 3).strip() + "\n\n" + (FILL * 2).strip()
+NAV = "<ul><li><a href=/a>Start page</a><li><a href=/b>About us</a></ul>"
+#: Pages whose article stands in an element that looks like furniture, or beside some.
+PAGES += [
+    (f"<body><form id=aspnetForm><div>{NAV}</div><div id=main>{BODY}</div></form></body>", WHOLE),
+    (f"<body><div class='content has-sidebar'>{BODY}</div><div class=sidebar>{FILL}</div></body>", WHOLE),
+    (f"<body><div class='elementor-widget-container'>{BODY}</div></body>", WHOLE),
+    (f"<body><div class='entry no-comments'>{BODY}</div><div class=post-comments><p>{FILL * 8}</p></div></body>", WHOLE),
+    (f"<body><article><div class=entry-header><h1>Title</h1></div><p>{FILL * 3}</p><p>{FILL * 2}</p></article></body>", WHOLE),
+    (f"<body><header><div>{BODY}</div></header></body>", WHOLE),
+    (f"<body><div id=page style='display: none'>{BODY}</div><div class=cookie-banner>We use cookies. {FILL}</div></body>", WHOLE),
+    (f"<body><div class=site-header><p>My site</p></div><div>{BODY}</div><div id=related-posts><p>{FILL}</p></div><footer><p>{FILL}</p></footer></body>", WHOLE),
+    (f"<body><article>{BODY}<aside>{FILL}</aside><form><label>Mail</label><input></form></article><section id=comments><p>{FILL * 9}</p></section></body>", WHOLE),
+    (f"<body><nav>{NAV}</nav><main>{BODY}</main><div role=complementary><p>{FILL}</p></div></body>", WHOLE),
+]
+
+
+def brute_density(node, root):
+    """A node's composite density from the definition, its text gathered anew."""
+    import math
+
+    def count(x, in_link):
+        c = t = lc = lt = 0
+        link = in_link or x.name == "a"
+        for y in x.parts:
+            if isinstance(y, str):
+                n = len(y) - y.count(" ") if y.isspace() else len(y)
+                c, lc = c + n, lc + n * link
+            elif not y.off:
+                a, b, d, e = count(y, link)
+                c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e
+        return c, t, lc, t + 1 if x.name == "a" else lt
+
+    c, t, lc, lt = count(node, False)
+    whole = count(root, False)
+    if not c:
+        return 0.0
+    text = max(c - lc, 1)
+    lc, lt, t = max(lc, 1), max(lt, 1), max(t, 1)
+    base = math.log(c / text * lc + whole[2] / max(whole[0], 1) * c + math.e)
+    return c / t * max(math.log(max(c / lc * t / lt, 1)), 0) / math.log(base) if base > 1 else 0.0
+
+
+@pytest.mark.parametrize("page", [p for p, t in PAGES if p and t and "<br" not in p])
+def test_densities(page):
+    root = html_text.parse(page)
+    html_text.switch_off(root)
+    order = html_text.measure(root)
+    for node in order:
+        assert node.density == pytest.approx(brute_density(node, root))
+        assert node.total == pytest.approx(sum(brute_density(x, root) for x in node.parts if not isinstance(x, str) and not x.off))
+
+
 @pytest.mark.parametrize("page,text", PAGES)
 def test_html(page, text):
     assert html_text.main_text(page) == text
