@@ -39,8 +39,9 @@ ENDS = {
 SCOPE = frozenset("article aside blockquote body button caption div footer form header html li main nav object section table td th".split())
 #: Elements whose content is never read as text.
 HARD = frozenset("audio button canvas datalist head iframe input map math noscript option script select style svg template textarea title video".split())
-#: Page furniture by element, role and class or id: not article text, unless it holds most of the page.
-FURNITURE = frozenset("aside dialog footer form label menu nav object".split())
+#: Page furniture by element, role and class or id: not article text, unless it holds the page.
+FURNITURE = frozenset("aside dialog form label menu object".split())
+EDGES = frozenset("nav footer".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related share sharing sidebar signup skip social sponsor sponsored subscribe toolbar".split()
@@ -86,7 +87,7 @@ def mark_of(name: str, attributes: str, inside: bool) -> int:
     """How sure it is that an element is no article text.  ``inside``: within an article or main part, where headers are its own."""
     if name in HARD:
         return NEVER
-    mark = LENIENT if name in FURNITURE or (name == "header" and not inside) else PLAIN
+    mark = STRICT if name in EDGES else LENIENT if name in FURNITURE or (name == "header" and not inside) else PLAIN
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value) or key == "role" and value in ROLES:
@@ -175,11 +176,13 @@ def parse(page: str) -> Node:
 
 
 def switch_off(root: Node) -> None:
-    """Switch off the marked nodes that are page furniture.
+    """Switch off the marked nodes that are page furniture, which most of them are.
 
-    A comment section always is, unless there is no other text; any other marked
-    node is, unless it holds more than half of the text outside of comments and
-    links, as a form or a header around the whole page does.
+    Where all unmarked text of a page is little beside one leniently marked
+    node, as with a form around the whole page, that node is no furniture; what
+    is marked inside it is judged again.  Articles and main parts with text of
+    their own settle the matter.  Navigation, footers and comments come in only
+    where there is no other text.
     """
     order, todo = [], [root]
     while todo:
@@ -187,19 +190,29 @@ def switch_off(root: Node) -> None:
         order.append(node)
         todo.extend(x for x in node.parts if isinstance(x, Node) and not x.off)
 
-    def texts(most: int) -> dict[int, int]:
-        size: dict[int, int] = {}
-        for node in reversed(order):
-            own = 0 if node.name == "a" else sum(len(x.strip()) for x in node.parts if isinstance(x, str))
-            size[id(node)] = own + sum(size[id(x)] for x in node.parts if isinstance(x, Node) and not x.off and x.mark <= most and x.name != "a")
-        return size
-
-    strict = STRICT
-    size = texts(LENIENT)
-    if not size[id(root)]:
-        strict, size = NEVER, texts(STRICT)
+    plain, whole, inner = {}, {}, {}  # text outside of marked nodes, all but strictly marked text, and the topmost marked nodes
+    for node in reversed(order):
+        below = [x for x in node.parts if isinstance(x, Node) and not x.off]
+        own = 0 if node.name == "a" else sum(len(x.strip()) for x in node.parts if isinstance(x, str))
+        free = own + sum(plain[x] for x in below if x.mark == PLAIN and x.name != "a")
+        plain[node] = math.inf if free and node.name in ("article", "main") else free
+        whole[node] = own + sum(whole[x] for x in below if x.mark != STRICT and x.name != "a")
+        inner[node] = [x for x in below if x.mark != PLAIN] + [y for x in below if x.mark == PLAIN for y in inner.pop(x)]
+
+    def admit(kind: int, least: int) -> None:
+        nonlocal base, shut
+        while ripe := [x for x in shut if x.mark == kind and least * base < whole[x]]:
+            node = max(ripe, key=whole.get)
+            node.mark = PLAIN
+            base += plain[node]
+            shut = [x for x in shut if x is not node] + inner[node]
+
+    base, shut = plain[root], inner[root]
+    admit(LENIENT, 10)
+    if not base:
+        admit(STRICT, 1)
     for node in order:
-        node.off = node.mark >= strict or node.mark != PLAIN and 2 * size[id(node)] <= size[id(root)]
+        node.off = node.mark != PLAIN
 
 
 def measure(root: Node) -> list[Node]:

@@ -251,6 +251,8 @@ PAGES += [
     (f"<body><div id=page style='display: none'>{BODY}</div><div class=cookie-banner>We use cookies. {FILL}</div></body>", WHOLE),
     (f"<body><div class=site-header><p>My site</p></div><div>{BODY}</div><div id=related-posts><p>{FILL}</p></div><footer><p>{FILL}</p></footer></body>", WHOLE),
     (f"<body><article>{BODY}<aside>{FILL}</aside><form><label>Mail</label><input></form></article><section id=comments><p>{FILL * 9}</p></section></body>", WHOLE),
+    (f"<body><article><p>Brief.</p></article><div class=sidebar>{FILL * 3}</div><footer>{FILL * 3}</footer></body>", "Brief."),
+    (f"<body><form><div class=sidebar>{FILL}</div>{BODY}<div class=comments>{FILL * 9}</div></form><footer>{FILL}</footer></body>", WHOLE),
     (f"<body><nav>{NAV}</nav><main>{BODY}</main><div role=complementary><p>{FILL}</p></div></body>", WHOLE),
 ]
 
