@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, small_or_shuffled, stage, text_or_empty
-from .spans import SPAN, as_spans, bind, count_kind, joined, matches, replaced
+from .common import Carried, read_table, small_or_shuffled, stage, text_or_empty
+from .spans import SPAN, as_spans, bind, count_kind, joined, matches, moved, replaced, segments
 
 KINDS = ("email", "ip", "card", "phone")
 #: The seeds' patterns, written so that none backtracks.
@@ -26,6 +26,8 @@ TOKEN = r"(?<![^\s])[^\s]*[0-9@][^\s]*"
 MENTION = "array<struct<s:int,e:int,token:string,near:string,far:string,kind:string>>"
 
 ROUNDS = 3
+#: Digits that a token without an at sign needs to be an instance.
+LEAST_DIGITS = 3
 LEAST_SUPPORT = 3.0
 LEAST_SCORE = 0.6
 #: Documents with learned spans that may be broadcast; beyond that they meet their rows by shuffle.
@@ -52,7 +54,7 @@ def small_parts(m: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """The seeds' spans of a non-null text, as ``SPAN`` in order."""
+    """The seeds' spans of a segment, as ``SPAN`` in order."""
     email = matches(text, EMAIL, text.contains("@"))
     ip = F.filter(matches(text, IP, text.rlike(r"[0-9]\.[0-9]")), lambda x: small_parts(x["m"]))
     card = F.filter(matches(text, CARD, text.rlike(CARD)), lambda x: passes_luhn(x["m"]))
@@ -60,27 +62,58 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*(as_spans(x, k, i) for i, (k, x) in enumerate(zip(KINDS, (email, ip, card, phone), strict=True)))))
 
 
-def mentions(text: Column, spans: Column) -> Column:
-    """Identifier-like tokens with the word and the two words before them, and the kind of a seed that starts there.
+def mentions(text: Column, before: Column, spans: Column, least_digits: int) -> Column:
+    """Identifier-like tokens of a segment with the word and the two words before them, and the kind of a seed that starts there.
 
-    Tokens within a seed, but not at its start, are left out.
+    Words before the segment's first token may come from the one before it; a
+    token right after another one has ``#`` for that.  Tokens within a seed, but
+    not at its start, are left out.
     """
-
-    def one(x: Column) -> Column:
-        lead = F.length(x["m"]) - F.length(F.regexp_replace(x["m"], r"^[\"'(\[<{]+", ""))
-        token = F.regexp_replace(F.regexp_replace(x["m"], r"^[\"'(\[<{]+", ""), r"[\"')\]>}.,;:!?]+\z", "")
-        start = x["s"] + lead
-        words = F.split(F.lower(F.rtrim(F.regexp_replace(x["left"], r"\s+", " "))), " ")
-        near = F.when(F.rtrim(x["left"]) == "", "").otherwise(F.element_at(words, -1))
-        far = F.when(F.size(words) >= 3, F.concat_ws(" ", F.element_at(words, -2), F.element_at(words, -1))).otherwise("")
-        kind = F.get(F.transform(F.filter(spans, lambda s: (s["s"] >= x["s"]) & (s["s"] < x["e"])), lambda s: s["kind"]), 0)
-        return F.struct(start.alias("s"), (start + F.length(token)).alias("e"), token.alias("token"), near.alias("near"), far.alias("far"), kind.alias("kind"))
+    words = lambda x: F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != "")
+    last = lambda x: F.when(F.size(x) > 2, F.slice(x, -2, 2)).otherwise(x)
+
+    def all_of(found: Column) -> Column:
+        def lead(x: Column, i: Column) -> Column:
+            far = F.concat(F.when(i == 0, last(words(before))).otherwise(F.concat(last(words(F.get(found, i - 1)["left"])), F.array(F.lit("#")))))
+            return bind(last(words(x["left"])), lambda own: F.when(F.size(own) == 2, own).otherwise(last(F.concat(far, own))))
+
+        def one(x: Column, i: Column) -> Column:
+            skip = F.length(x["m"]) - F.length(F.regexp_replace(x["m"], r"^[\"'(\[<{]+", ""))
+            token = F.regexp_replace(F.regexp_replace(x["m"], r"^[\"'(\[<{]+", ""), r"[\"')\]>}.,;:!?]+\z", "")
+            kind = F.get(F.transform(F.filter(spans, lambda s: (s["s"] >= x["s"]) & (s["s"] < x["e"])), lambda s: s["kind"]), 0)
+            made = lambda b: F.struct(
+                (x["s"] + b["skip"]).alias("s"),
+                (x["s"] + b["skip"] + F.length(b["token"])).alias("e"),
+                b["token"].alias("token"),
+                F.coalesce(F.element_at(F.when(F.size(b["lead"]) > 0, b["lead"]), -1), F.lit("")).alias("near"),
+                F.when(F.size(b["lead"]) == 2, F.array_join(b["lead"], " ")).otherwise("").alias("far"),
+                b["kind"].alias("kind"),
+            )
+            return bind(F.struct(skip.alias("skip"), token.alias("token"), lead(x, i).alias("lead"), kind.alias("kind")), made)
+
+        return F.transform(found, one)
 
     def outside(x: Column) -> Column:
         inner = F.exists(spans, lambda s: (x["s"] > s["s"]) & (x["s"] < s["e"]))
-        return ~inner & (F.length(digits(x["token"])) >= 4) | x["kind"].isNotNull()
+        shaped = x["token"].contains("@") | (F.length(digits(x["token"])) >= least_digits)
+        return ~inner & shaped & (x["token"] != "@") | x["kind"].isNotNull()
+
+    return F.filter(bind(matches(text, TOKEN, text.rlike("[0-9@]")), all_of), outside).cast(MENTION)
+
+
+def searched(text: Column, least_digits: int) -> Column:
+    """``base`` (``SPAN``) and ``mentions`` (``MENTION``) of a whole non-null text."""
+
+    def one(x: Column) -> Column:
+        found = lambda spans: F.struct(moved(spans, x["at"]).cast(SPAN).alias("base"), moved(mentions(x["t"], x["before"], spans, least_digits), x["at"]).alias("mentions"))
+        return F.when(x["t"].rlike("[0-9@]"), bind(base_spans(x["t"]), found))
+
+    def both(found: Column) -> Column:
+        some = lambda name, kind: F.flatten(F.transform(found, lambda x: x[name])).cast(kind).alias(name)
+        return F.struct(some("base", SPAN), some("mentions", MENTION))
 
-    return F.filter(F.transform(matches(text, TOKEN, text.rlike("[0-9@]"), left=True), one), outside).cast(MENTION)
+    empty = F.struct(F.array().cast(SPAN).alias("base"), F.array().cast(MENTION).alias("mentions"))
+    return F.when(text.rlike("[0-9@]"), bind(F.filter(F.transform(segments(text), one), lambda x: x.isNotNull()), both)).otherwise(empty)
 
 
 def score_patterns(rows: DataFrame, rounds: int, least_support: float, least_score: float) -> DataFrame:
@@ -93,10 +126,10 @@ def score_patterns(rows: DataFrame, rounds: int, least_support: float, least_sco
     a row of each task.
     """
     m = rows.select(F.explode("mentions").alias("x")).select("x.*")
-    patterns = F.explode(F.filter(F.array(F.concat(F.lit("1 "), "near"), F.when(F.col("far") != "", F.concat(F.lit("2 "), "far"))), lambda p: p.isNotNull() & (p != "1 "))).alias("pattern")
+    patterns = F.explode(F.filter(F.array(F.concat(F.lit("1 "), "near"), F.when(F.col("far") != "", F.concat(F.lit("2 "), "far"))), lambda p: p.isNotNull() & (p != "1 ") & (p != "1 #"))).alias("pattern")
     edges = stage(m.select(patterns, F.lower("token").alias("token"), "kind").groupBy("pattern", "token").agg(F.max("kind").alias("kind")), "pii-edges")
     known = edges.where("kind is not null").groupBy("token", "kind").agg(F.lit(1.0).alias("confidence"))
-    kept = None
+    kept = edges.where("false").select("pattern", F.col("kind"), F.lit(0.0).alias("score"))
     for _ in range(rounds):
         size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
         support = edges.select("pattern", "token").join(known, "token").groupBy("pattern", "kind").agg(F.sum("confidence").alias("f"))
@@ -108,37 +141,39 @@ def score_patterns(rows: DataFrame, rounds: int, least_support: float, least_sco
     return kept
 
 
-def find_pii(docs: DataFrame, rounds: int = ROUNDS, least_support: float = LEAST_SUPPORT, least_score: float = LEAST_SCORE, keep: list[str] | None = None) -> DataFrame:
+def find_pii(docs: DataFrame, rounds: int = ROUNDS, least_support: float = LEAST_SUPPORT, least_score: float = LEAST_SCORE, least_digits: int = LEAST_DIGITS, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``pii_base`` and ``pii_spans`` (arrays of ``SPAN``).
 
     Reads ``text`` in full; a null text counts as empty.  ``keep`` names the
-    columns to carry along (all, if not given); columns named like the results
-    are replaced.  Spans of ``pii_spans`` hold those of ``pii_base`` and, as kind
-    ``ctx_<kind>``, tokens that only a learned pattern found.  Repeated rows are
-    treated alike; empty tables give empty results.
+    columns to carry along (all, if not given); columns named like the two
+    results are replaced, any other name is the user's.  Spans of ``pii_spans``
+    hold those of ``pii_base`` and, as kind ``ctx_<kind>``, tokens that only a
+    learned pattern found: those with an at sign, and those with at least
+    ``least_digits`` digits.  With no ``rounds`` nothing is learned.  Repeated
+    rows are treated alike; empty tables give empty results.
 
     One pass over the texts finds seeds and mentions and is written to the
     shared folder; all else works on these few bytes a document.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("pii_base", "pii_spans", "pii_row", "mentions")]
-    text = text_or_empty()
-    rows = docs.select(*keep, F.monotonically_increasing_id().alias("pii_row"), base_spans(text).alias("pii_base"), text.alias("pii_text"))
-    rows = stage(rows.withColumn("mentions", mentions(F.col("pii_text"), F.col("pii_base"))).drop("pii_text"), "pii-rows")
-    kept = score_patterns(rows, rounds, least_support, least_score).groupBy("pattern").agg(F.max(F.struct("score", "kind")).alias("best"))
+    carried = Carried(docs, keep, ["pii_base", "pii_spans"])
+    rows = docs.select(carried.column, F.monotonically_increasing_id().alias("pii_row"), searched(text_or_empty(), least_digits).alias("found"))
+    rows = stage(rows.select("carried", "pii_row", F.col("found.base").alias("pii_base"), F.col("found.mentions").alias("mentions")), "pii-rows")
+    kept = score_patterns(rows.select("mentions"), rounds, least_support, least_score).groupBy("pattern").agg(F.max(F.struct("score", "kind")).alias("best"))
     open_ = rows.select("pii_row", F.explode("mentions").alias("x")).where("x.kind is null").select("pii_row", "x.s", "x.e", F.explode(F.array(F.concat(F.lit("1 "), "x.near"), F.concat(F.lit("2 "), "x.far"))).alias("pattern"))
     named = open_.join(kept, "pattern").groupBy("pii_row", "s", "e").agg(F.max("best").alias("best"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("best.kind")).cast("int") + len(KINDS) - 1
     found = named.groupBy("pii_row").agg(F.collect_list(F.struct("s", order.alias("ord"), "e", F.concat(F.lit("ctx_"), "best.kind").alias("kind"))).alias("more"))
     none = F.array().cast(SPAN)
     out = rows.drop("mentions").join(small_or_shuffled(stage(found, "pii-found"), MOST_FOUND), "pii_row", "left")
-    return out.withColumn("pii_spans", F.concat("pii_base", F.coalesce(F.col("more").cast(SPAN), none))).drop("more", "pii_row")
+    return out.select(*carried.fields(), "pii_base", F.concat("pii_base", F.coalesce(F.col("more").cast(SPAN), none)).alias("pii_spans"))
 
 
 def redacted(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each span of the text replaced by its kind, columns as before."""
-    columns = docs.columns
-    out = find_pii(docs, **options)
-    return out.withColumn("text", F.when(F.col("text").isNotNull(), replaced(F.col("text"), F.col("pii_spans")))).select(*columns)
+    """``docs`` with each span of the text replaced by its kind, columns as before; further columns may have any names."""
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    out = find_pii(whole, **options)
+    text = F.when(F.col("text").isNotNull(), replaced(F.col("text"), F.col("pii_spans"))).alias("text")
+    return out.select(*(text if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def op1_query(spark, sf_dir):
