@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import heapq
 import json
 import mmap
 import os
@@ -24,24 +25,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, stage, text_or_empty
+from .common import Carried, read_table, stage, text_or_empty
 
 #: Words are compiled if they make at least this share of all; so there are at most as many as its inverse.
 LEAST_SHARE = 1 / (1 << 20)
-#: Distinct words that a worker counts before it hands them on, and that it remembers before it forgets them all.
-HELD = 200_000
-REMEMBERED = 600_000
+#: Distinct words that a worker counts before it hands them on, or their bytes if those are many.
+HELD, HELD_BYTES = 200_000, 32 << 20
+#: Bytes of words that a worker remembers, with what each costs, before it forgets them all.
+REMEMBERED, COST = 240 << 20, 400
 #: Characters of text that are encoded together.
 GROUP = 2_000_000
 
 COUNTED = "word binary, n long"
-#: What keeps words from being cut at single spaces and line ends: runs of white space, other kinds of it, the mark of cuts.
+#: What is surely white space, what one of two definitions alone takes for it, and what single spaces and line ends are not.
+SURE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNSURE = "\x1c-\x1f\u180e\u200b\ufeff"
 ODD = ("  ", " \n", "\n ", "\n\n", "\0", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+BORDER = re.compile(f"(?<=[^{SURE}{UNSURE}])(?=[{SURE}])")
 #: Words whose pieces are plain: Latin letters, maybe after a space, and full stops or commas after them.
 PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]*)")
 HEADER = 4
-#: Rows that merge together, and the rank of pairs that never do.
-ROWS = 2048
+#: Cells of pieces that merge together; bytes beyond which a piece merges alone; the rank of pairs that never do.
+CELLS = 1 << 17
+LONG = 64
 NEVER = np.int32(2**31 - 1)
 
 
@@ -63,6 +69,7 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         data = json.loads(spec)
+        self._check(data)
         letters = byte_letters()
         byte = {c: b for b, c in enumerate(letters)}
         raw = lambda token: bytes(map(byte.__getitem__, token))
@@ -70,6 +77,7 @@ class Vocabulary:
         self.id = {raw(t): i for t, i in data["model"]["vocab"].items()}
         merges = sorted((self.id[raw(a)] << 32 | self.id[raw(b)], r) for r, (a, b) in enumerate(pairs))
         self.pair, self.rank = np.array([k for k, _ in merges], np.int64), np.array([r for _, r in merges], np.int32)
+        self.rank_of = dict(merges)
         self.merged = np.array([self.id[raw(a + b)] for a, b in pairs], np.int32)
         self.of_byte = np.array([self.id[bytes([b])] for b in range(256)], np.int32)
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
@@ -84,6 +92,17 @@ class Vocabulary:
         self.cut = Tokenizer.from_str(spec).pre_tokenizer
         self.byte = byte
 
+    @staticmethod
+    def _check(data: dict) -> None:
+        """Raise on what is not done here: other models, normalizers, cutting or options."""
+        model, cut = data["model"], data.get("pre_tokenizer") or {}
+        odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        odd += [k for k in ("lstrip", "rstrip", "single_word") if any(t.get(k) for t in data["added_tokens"])]
+        if model.get("type", "BPE") != "BPE" or data.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            odd.append("model, normalizer or pre-tokenizer")
+        if odd:
+            raise ValueError(f"this tokenizer needs what is not supported: {', '.join(odd)}")
+
     def pieces(self, word: str) -> list[bytes]:
         """The pieces within which bytes may merge, cut as the tokenizer does.
 
@@ -105,13 +124,19 @@ class Vocabulary:
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Exact byte-pair merges of many pieces: in each, the pair of lowest rank first, the leftmost of equals.
 
-        Pieces of like length go together; in each step every row that still has
-        a pair merges one.
+        Pieces of like length go together, so many that their cells are bounded;
+        in each step every row that still has a pair merges one.  Long pieces
+        merge alone.
         """
         out: list[list[int]] = [[]] * len(pieces)
         order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-        for low in range(0, len(order), ROWS):
-            own = order[low : low + ROWS]
+        while order and len(pieces[order[-1]]) > LONG:
+            i = order.pop()
+            out[i] = self.merge_long(pieces[i])
+        low = 0
+        while low < len(order):
+            own = order[low : low + CELLS // LONG]
+            low += len(own)
             size = np.array([len(pieces[i]) for i in own])
             if not size[-1]:
                 continue
@@ -144,6 +169,33 @@ class Vocabulary:
                 rank[before, j[before] - 1] = self.ranks(ids[before, j[before] - 1], ids[before, j[before]])
         return out
 
+    def merge_long(self, piece: bytes) -> list[int]:
+        """The merges of one piece, by a heap of pairs and links between its tokens."""
+        first = self.of_byte[np.frombuffer(piece, np.uint8)]
+        rank = self.ranks(first[:-1], first[1:]).astype(np.int64)
+        at = np.flatnonzero(rank < NEVER)
+        heap = ((rank[at] << 32) | at).tolist()
+        heapq.heapify(heap)
+        ids, n = first.tolist(), len(piece)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank_of, merged = self.rank_of, self.merged
+        while heap:
+            x = heapq.heappop(heap)
+            i, r = x & 0xFFFFFFFF, x >> 32
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank_of.get(ids[i] << 32 | ids[j]) != r:
+                continue  # one of the two has merged since
+            ids[i], ids[j] = int(merged[r]), -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (s := rank_of.get(ids[i] << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, s << 32 | i)
+            h = before[i]
+            if h >= 0 and (s := rank_of.get(ids[h] << 32 | ids[i])) is not None:
+                heapq.heappush(heap, s << 32 | h)
+        return [x for x in ids if x >= 0]
+
     def word_ids(self, words: list[str]) -> list[list[int]]:
         """Ids of words (or whole texts)."""
         cut = [self.pieces(w) for w in words]
@@ -151,15 +203,15 @@ class Vocabulary:
         return [next(merged) if len(pieces) == 1 else [i for _ in pieces for i in next(merged)] for pieces in cut]
 
 
-def cut_words(text: str) -> list[str] | None:
-    """Words that never share a token: a single space or line end opens the next one.
+def cut_words(text: str) -> list[str]:
+    """Words that never share a token: white space opens the next one.
 
     A pre-token holds white space only at its start, so a boundary between a
-    character that is no white space and a following space is always one
-    between tokens.  None where other white space makes that unsure.
+    character that is surely none and a following one that surely is always lies
+    between tokens.
     """
     if any(map(text.__contains__, ODD)):
-        return None
+        return BORDER.split(text)
     words = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
     return words if words[0] else words[1:]
 
@@ -254,6 +306,8 @@ class Lexicon:
             for w in done[self.final[state[done]] == 1]:
                 out[w] = self.ids[self.offset[number[w]] : self.offset[number[w] + 1]].tolist()
             alive = alive[size[alive] > i]
+            if not len(alive):
+                break
             key = state[alive] << 8 | raw[start[alive] + i]
             at = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
             hit = self.arc[at] == key
@@ -276,17 +330,22 @@ class Encoder:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
+        self.held = 0
 
     def forget(self) -> None:
+        self.held = 0
         self.ids.clear()
         self.decoded.clear()
 
     def learn(self, words: set[str]) -> None:
         """Make room if need be, and look up what is not remembered: the lexicon first, exact merges for the rest."""
         new = list(words - self.ids.keys())
-        if len(self.ids) + len(new) > REMEMBERED:
+        more = sum(map(len, new)) * 6 + len(new) * COST
+        if self.held and self.held + more > REMEMBERED:
             self.forget()
             new = list(words)
+            more = sum(map(len, new)) * 6 + len(new) * COST
+        self.held += more
         found = self.lexicon.get([w.encode() for w in new])
         unseen = [i for i, ids in enumerate(found) if ids is None]
         for i, ids in zip(unseen, self.vocabulary.word_ids([new[i] for i in unseen]), strict=True):
@@ -297,7 +356,7 @@ class Encoder:
             self.decoded[w] = b"".join(map(raw, ids))
 
     def parts(self, text: str) -> list[str]:
-        """Words of a text, special tokens, and whole stretches that can't be cut into words."""
+        """Words of a text, and special tokens."""
         v = self.vocabulary
         special = v.special_cut is not None and any(s in text for s in v.special)
         out: list[str] = []
@@ -305,7 +364,7 @@ class Encoder:
             if part in v.special:
                 out.append(part)
             elif part:
-                out += cut_words(part) or [part]
+                out += cut_words(part)
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
@@ -338,17 +397,24 @@ def count_corpus_words(texts: DataFrame) -> DataFrame:
 
     def count(batches):
         held: Counter = Counter()
+        size = 0
 
         def flush():
+            nonlocal size
+            size = 0
             out = pa.RecordBatch.from_arrays([pa.array([w.encode() for w in held], pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
             held.clear()
             return out
 
         for batch in batches:
             for text in batch.column("text"):
-                held.update(cut_words(text.as_py() or "") or ())
-                if len(held) > HELD:
+                text = text.as_py() or ""
+                held.update(cut_words(text) if text else ())
+                size += len(text)
+                if len(held) > HELD or size > HELD_BYTES and sum(map(len, held)) > HELD_BYTES:
                     yield flush()
+                elif size > HELD_BYTES:
+                    size = 0
         if held:
             yield flush()
 
@@ -388,15 +454,16 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, with_
     and workers get its content.  Special tokens' strings in a text are those
     tokens; none are added.  A null or empty text has no ids and decodes to the
     empty string.  ``keep`` names the columns to carry along (all, if not given);
-    columns named like the results are replaced.  Repeated rows are encoded
-    alike; empty tables give empty results.  A worker holds a batch of rows, the
-    ids of one text and a bounded number of words.
+    columns named like the results are replaced, any other name is the user's.
+    Repeated rows are encoded alike; empty tables give empty results.  A worker
+    holds a batch of rows, the ids of a group of texts and a bounded number of
+    bytes of words.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    carried = Carried(docs, keep, names)
     lexicon = spark.sparkContext.broadcast(compile_lexicon(docs, Vocabulary(spec), least_share))
     shared = spark.sparkContext.broadcast(spec)
 
@@ -416,14 +483,13 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, with_
                 rows = batch.slice(start, len(group))
                 start += len(group)
                 more = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else [])]
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *more], [*keep, *names])
+                yield pa.RecordBatch.from_arrays([rows.column("carried"), *more], ["carried", *names])
         enc.forget()
         gc.enable()
 
     kinds = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>"] if with_ids else [])]
-    rows = docs.select(*keep, text_or_empty().cast("string").alias("bpe_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), *kinds])
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(carried.column, text_or_empty().cast("string").alias("bpe_text"))
+    return rows.mapInArrow(run, carried.schema(", ".join(kinds))).select(*carried.fields(), *names)
 
 
 def op6_query(spark, sf_dir):

@@ -57,6 +57,42 @@ def test_encoder_equals_library(vocabulary, tokenizer):
         assert decoded.decode("utf-8", "replace") == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_odd_white_space_and_long_pieces(vocabulary, tokenizer):
+    """Texts with any white space are cut, and cut exactly; pieces of any length merge as the library does."""
+    rng = random.Random(5)
+    space = ["  ", "\n\n", "\t", "\xa0", "\r\n", "\u3000", " \n ", "\x1c", "\u200b", "\ufeff", "\x85", "\0", " "]
+    words = ["the", "don't", "1234", "été", "😀", "...", "x", "<|endoftext|>", "漢字"]
+    texts = ["".join(rng.choice(rng.choice([space, words])) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    texts += ["".join(rng.choice("ACGT") for _ in range(20_000)), "a" * 30_000, "漢字仮名" * 4000, "ab " * 40 + "\n\n" + "z" * 5000, "\n" * 5000]
+    enc = bpe.Encoder(vocabulary, bpe.Lexicon(bpe.build_lexicon([])))
+    for text, (ids, _) in zip(texts, enc.encode(texts), strict=True):
+        assert ids == ",".join(map(str, tokenizer.encode(text, add_special_tokens=False).ids)), text[:80]
+    assert all(len(bpe.cut_words(t)) == 3 for t in ("a\n\nb\tc", "a  b\xa0c"))
+    for piece in [bytes(rng.choice(b"etaoinshr") for _ in range(rng.randint(65, 300))) for _ in range(50)]:
+        assert vocabulary.merge_long(piece) == tokenizer.encode(piece.decode(), add_special_tokens=False).ids
+
+
+def test_a_million_letters(vocabulary, tokenizer):
+    piece = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    enc = bpe.Encoder(vocabulary, bpe.Lexicon(bpe.build_lexicon([])))
+    (ids, decoded), _ = enc.encode([piece, "short"])
+    assert ids == ",".join(map(str, tokenizer.encode(piece, add_special_tokens=False).ids)) and decoded == piece.encode()
+    enc.encode(["next"])
+    enc.held = bpe.REMEMBERED
+    enc.encode(["one more"])
+    assert len(enc.ids) == 3 and enc.held < 10_000  # all else is forgotten; the special token stays known
+
+
+def test_unsupported_tokenizers():
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(json.dumps(spec | change))
+
+
 def test_encode(spark, tokenizer):
     texts = [None, "", "The cat.\nThe dog", "  odd\tspace ", "naïve café <|endoftext|> x"] * 3
     got = {r["doc_id"]: r for r in bpe.encode(documents(spark, texts), PATH, with_ids=True, least_share=0.01).collect()}
