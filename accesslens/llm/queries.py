@@ -10,7 +10,7 @@ from .bpe import op6_query
 from .ctw import op2_query
 from .embeddings import op10_query
 from .html_text import op8_query
-from .mixing import op5_query
+from .mixing import OP5_SQL, op5_query
 from .neardup import op9_query
 from .pii import op1_query
 from .quality import op7_query
@@ -36,4 +36,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc": OP3_SQL,
+        "op5_mixing": OP5_SQL,
     }

@@ -127,11 +127,29 @@ def test_distance(spark):
     assert row[0] == 0 and row[1] == 1 and row[2] is None
 
 
-def test_targets():
-    assert mixing.source_targets([("a", 10), ("b", 10), (None, 10)], [3, 1, 2], 1.5, 2) == {"a": 20.0, None: pytest.approx(50 / 3), "b": pytest.approx(25 / 3)}
-    assert mixing.source_targets([], [3, 1, 2], 1.5, 2) == {}
-    got = mixing.source_targets([("é", 5), ("z", 0), ("a", 100)], [3, 1, 2], 1.5, 2)
-    assert sum(got.values()) == pytest.approx(157.5) and got["z"] == 0 and got["é"] <= 10
+def targets_by_rounds(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    """The shares dealt out in rounds, as the task words it."""
+    order = sorted(sizes, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, left, open_ = {}, share * sum(sizes.values()), list(order)
+    while open_:
+        unit = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if unit * weight[s] > most * sizes[s]]
+        if not full:
+            return target | {s: unit * weight[s] for s in open_}
+        target |= {s: most * sizes[s] for s in full}
+        left -= sum(most * sizes[s] for s in full)
+        open_ = [s for s in open_ if s not in target]
+    return target
+
+
+def test_targets(spark):
+    rng = random.Random(4)
+    cases = [{"a": 10, "b": 10, None: 10}, {"é": 5, "z": 0, "a": 100}, {"x": 0}, {None: 3}, {"a": 0, "b": 0}]
+    cases += [{f"s{i}": rng.choice([0, 1, 10, 100, 1000]) for i in range(rng.randint(1, 30))} for _ in range(4)]
+    for sizes in cases:
+        got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, n long"), (3, 1, 2), 1.5, 2.0)
+        assert {r["source"]: r["target"] for r in got.collect()} == pytest.approx(targets_by_rounds(sizes))
 
 
 def test_mix(spark):
@@ -149,7 +167,7 @@ def test_mix(spark):
         t[1] += r["mix_taken"]
         t[3] += r["mix_size"]
     assert all(abs(taken - target) <= 30 and size == total for target, taken, size, total in by.values())
-    want = mixing.source_targets([(s, v[2]) for s, v in by.items()], [3, 1, 2], 1.5, 2)
+    want = targets_by_rounds({s: v[2] for s, v in by.items()})
     assert {s: v[0] for s, v in by.items()} == pytest.approx(want)
     assert mixing.mixed_documents(docs).count() == sum(r["mix_copies"] for r in rows)
     assert mixing.mix(docs.limit(0)).count() == 0
