@@ -36,8 +36,8 @@ MOST_GRAMS = 1 << 21
 #: Words sent to each worker: those with at least this share of all training tokens.
 WORD_SHARE = 1 / (1 << 20)
 #: Bytes of text and distinct keys that a worker gathers before it hands on.
-BLOCK = 8 << 20
-HELD = 6 << 20
+BLOCK = 3 << 20
+HELD = 4 << 20
 #: Counts and places of counts in the base score.
 ALPHA = 0.1
 
