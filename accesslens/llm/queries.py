@@ -13,7 +13,7 @@ from .html_text import op8_query
 from .mixing import OP5_SQL, op5_query
 from .neardup import op9_query
 from .pii import op1_query
-from .quality import op7_query
+from .quality import OP7_SQL, op7_query
 from .secret_scan import op4_query
 from .warc import OP3_SQL, op3_query
 
@@ -37,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc": OP3_SQL,
         "op5_mixing": OP5_SQL,
+        "op7_quality": OP7_SQL,
     }
