@@ -32,7 +32,7 @@ TOP = 3
 #: The end mark, a byte that UTF-8 has no use for.
 END = 255
 #: Grams whose scores are sent to each worker, at most: those with the most occurrences.
-MOST_GRAMS = 1 << 21
+MOST_GRAMS = 1 << 20
 #: Words sent to each worker: those with at least this share of all training tokens.
 WORD_SHARE = 1 / (1 << 20)
 #: Bytes of text and distinct keys that a worker gathers before it hands on.
@@ -46,6 +46,9 @@ GRAMS = "part int, grams binary"
 NODES = "kind int, key long, a double, b double"
 UPPER = "head int, " + NODES
 WORDS = "word long, n long"
+BLOCKS = "block long, sums binary"
+#: Bits of the number of a document within its block.
+DOC_BITS = 10
 SCORES = "held_out boolean, doc_row long, n_tokens long, known long, base double, score double, rare array<struct<word:long,n:long>>, open array<struct<gram:long,n:long>>"
 
 
@@ -453,11 +456,12 @@ def frequent_logs(grams: DataFrame, parts: int, above, least: int) -> dict:
 
 
 def open_scores(scored: DataFrame, grams: DataFrame, parts: int, above) -> DataFrame:
-    """``doc_row, more_score``: sums of log10 of the ``open`` grams of documents, by part of the tree.
+    """``doc_row, more_score``: sums of log10 of the ``open`` grams of documents.
 
     Grams are sent packed to the part of the tree that has all their contexts.
     A part's distinct grams are scored once; of its packed rows one at a time is
-    open.
+    open.  A part's sums go back packed, a row for each block of documents, and
+    are added up block by block.
     """
 
     def sent(batches):
@@ -475,21 +479,37 @@ def open_scores(scored: DataFrame, grams: DataFrame, parts: int, above) -> DataF
     def run(table: pa.Table) -> pa.Table:
         rows, asking = table.column("grams"), table.column("asked").to_numpy()
         waiting = np.flatnonzero(asking)
-        docs, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        blocks, packed = [], []
         if len(waiting):
             asked = np.unique(np.concatenate([np.unique(unpack(rows[i].as_py(), 2)[0]) for i in waiting]))
             keys, counts = gathered([rows[i].as_py() for i in np.flatnonzero(~asking)])
             logs = log10_of(part_model(keys, counts, above.value, asked), asked)
             for i in waiting:
                 k, doc, n = unpack(rows[i].as_py(), 2)
-                doc, back = np.unique(doc.view(np.int64), return_inverse=True)
-                docs.append(doc)
-                sums.append(np.bincount(back, logs[np.searchsorted(asked, k)] * n, len(doc)))
-        return pa.table({"doc_row": np.concatenate(docs), "more_score": np.concatenate(sums)})
+                doc, back = np.unique(doc, return_inverse=True)
+                sums = np.bincount(back, logs[np.searchsorted(asked, k)] * n, len(doc))
+                block = doc >> U(DOC_BITS)
+                start = np.flatnonzero(np.diff(block, prepend=~block[:1]))
+                blocks.append(block[start].view(np.int64))
+                packed += [pack(d, x.view(np.uint64)) for d, x in zip(np.split(doc, start[1:]), np.split(sums, start[1:]))]
+        return pa.table({"block": np.concatenate([np.zeros(0, np.int64), *blocks]), "sums": pa.array(packed, pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        sums = np.zeros(1 << DOC_BITS)
+        seen = np.zeros(1 << DOC_BITS, bool)
+        first = np.uint64(table.column("block")[0].as_py() << DOC_BITS)
+        for x in table.column("sums"):
+            doc, more = unpack(x.as_py())
+            at = (doc - first).astype(np.int64)
+            sums[at] += more.view(np.float64)
+            seen[at] = True
+        at = np.flatnonzero(seen)
+        return pa.table({"doc_row": at + int(first), "more_score": sums[at]})
 
     asked = scored.where(F.size("open") > 0).select("doc_row", "open").mapInArrow(sent, GRAMS).withColumn("asked", F.lit(True))
     met = grams.withColumn("asked", F.lit(False)).unionByName(asked).select("part", "grams", "asked")
-    return met.repartition(parts, "part").groupBy("part").applyInArrow(run, "doc_row long, more_score double")
+    blocks = stage(met.repartition(parts, "part").groupBy("part").applyInArrow(run, BLOCKS), "ctw-open")
+    return stage(blocks.groupBy("block").applyInArrow(add, "doc_row long, more_score double"), "ctw-open")
 
 
 # --- words of the base score -------------------------------------------------
@@ -603,6 +623,8 @@ def score(docs: DataFrame, keep: list[str] | None = None, most_grams: int = MOST
     numbered = docs.select(carried.column, held_out.alias("held_out"), F.monotonically_increasing_id().alias("doc_row"), text.alias("ctw_text"))
     schema = carried.schema(SCORES)
     scored = stage(numbered.mapInArrow(run, schema), "ctw-scores")
+    model.destroy()
+    words.destroy()
     rest = scored.select("doc_row", F.explode("rare").alias("x")).select("doc_row", "x.word", F.col("x.n").alias("times"))
     met = rest.join(counts.where(F.col("n") < max(train_tokens * WORD_SHARE, 1e-9)), "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
