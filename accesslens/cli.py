@@ -1,25 +1,34 @@
 """Command line: ``show`` answers the nine questions, ``ingest`` takes in logs.
 
     python -m accesslens.cli --root DIR ingest --server HOST [LOG ...]
-    python -m accesslens.cli --root DIR show SITE {request,ip,error} [distribution [X] | detail X] [-f -t -l -s -g]
+    python -m accesslens.cli --root DIR show SITE {request,ip,error} [distribution [X] | detail X] [-f -t -l -s -g -a]
+
+``ingest`` takes in what the logs have got since its last run for that server,
+through rotations too, drops days beyond the retention and reports lines that it
+could not read.  Servers share a root; each keeps a checkpoint of its own there.
 """
 
 from __future__ import annotations
 
 import argparse
 import fcntl
+import hashlib
 import os
 import sys
 import tempfile
+from dataclasses import replace
+from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import render
 from .config import Settings
 from .operators.rollup import IP_TYPES
 from .plans import cells
-from .plans.store import apply_retention, read_tables
-from .streaming.ingest import ingest
+from .plans.store import read_tables
+from .streaming.ingest import follow_logs, rejected
 
 LOCKED, USAGE = 11, 12
 SECTIONS = {"last_cdn_ip": ("From_cdn/Proxy", "from_cdn"), "user_ip_via_cdn": (None, None), "user_ip_via_proxy": ("From_reverse_proxy", "from_reverse_proxy"), "remote_addr": ("From_client_directly", "from_client_directly")}
@@ -31,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
     sub = out.add_subparsers(dest="command", required=True)
     take = sub.add_parser("ingest")
     take.add_argument("--server", default=os.uname().nodename)
-    take.add_argument("--keep-days-before", metavar="yyyyMMdd", help="drop days older than the retention before this day")
+    take.add_argument("--keep-days", type=int, default=Settings.keep_days, help="days that are kept, the last stored one included; 0 keeps all")
     take.add_argument("logs", nargs="*")
     show = sub.add_parser("show")
     show.add_argument("site")
@@ -43,7 +52,8 @@ def parser() -> argparse.ArgumentParser:
     show.add_argument("-l", "--limit", type=int, default=5, help="0 means no limit")
     show.add_argument("-s", "--server")
     show.add_argument("-g", "--group_by", default="hour", choices=("minute", "ten_min", "hour", "day"))
-    show.add_argument("--today", help="yyyyMMdd; the day shown where no bound is given")
+    show.add_argument("--today", help="yyyyMMdd; the day shown where no bound is given, today if not named")
+    show.add_argument("-a", "--all", action="store_true", help="all days where no bound is given")
     return out
 
 
@@ -52,7 +62,8 @@ def show(spark: SparkSession, root: str, args: argparse.Namespace, settings: Set
     tables = read_tables(spark, root)
     site = args.site.replace(".", "_")
     cells.require_site(tables, site)
-    scope = cells.Scope(site, args.start, args.end, args.server, args.today)
+    today = None if args.all else args.today or date.today().strftime("%Y%m%d")
+    scope = cells.Scope(site, args.start, args.end, args.server, today)
     total = cells.totals(tables, scope).first()
     part = lambda rows: cells.part_totals(rows).first()
     of = lambda name, **eq: scope.of(tables[name]).where(" and ".join(f"{k} = {v!r}" for k, v in eq.items()))
@@ -98,18 +109,30 @@ def main(argv: list[str] | None = None) -> int:
             print(f"no such site: {e}", file=sys.stderr)
             return 1
         return 0
-    with open(os.path.join(tempfile.gettempdir(), "accesslens.lock"), "w") as lock:
+    # a lock for each root and server on this machine; runs of other servers write other partitions
+    own = hashlib.sha1(f"{args.root} {args.server}".encode()).hexdigest()[:16]
+    with open(os.path.join(tempfile.gettempdir(), f"accesslens-{own}.lock"), "w") as lock:
         try:
             fcntl.flock(lock, fcntl.LOCK_EX | fcntl.LOCK_NB)
         except OSError:
             print("another ingest is running", file=sys.stderr)
             return LOCKED
-        settings = Settings()
-        ingest(spark, settings, args.server, args.root, [os.path.abspath(p) for p in args.logs] or None)
-        if args.keep_days_before:
-            apply_retention(spark, args.root, args.keep_days_before, settings.keep_days)
+        take(spark, args.root, args.server, replace(Settings(), keep_days=args.keep_days or None), [os.path.abspath(p) for p in args.logs] or None)
     return 0
 
 
+def take(spark: SparkSession, root: str, server: str, settings: Settings, logs: list[str] | None = None) -> None:
+    """Take in what is new, and report the lines that could not be read."""
+    query = follow_logs(spark, settings, server, root, f"{root}/_checkpoints/{server}", logs)
+    query.awaitTermination()
+    loads = [f"{query.id}-{p['batchId']}" for p in query.recentProgress]
+    try:
+        bad = rejected(spark, root).where(F.col("load").isin(loads)).groupBy("site", "invalid_reason").agg(F.sum("lines").alias("lines")).orderBy("site", "invalid_reason").collect()
+    except AnalysisException:  # nothing has been taken in yet
+        bad = []
+    for r in bad:
+        print(f"{r['site']}: {r['lines']} lines rejected ({r['invalid_reason']})", file=sys.stderr)
+
+
 if __name__ == "__main__":
     sys.exit(main())

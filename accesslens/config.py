@@ -49,12 +49,13 @@ class UriRule:
 class Settings:
     log_type: str = "plaintext"
     log_format: str | dict[str, str] = PLAIN_FORMAT
-    log_path: str = "/data/nginx_log/*access.log"
-    exclude: tuple[str, ...] = ("www.access.log", "m_access.log")
+    log_path: str = "/var/log/web/*.log"
+    exclude: tuple[str, ...] = ()
     #: Requests and, of each kind of address, addresses kept per minute; None keeps all.
     top_uris: int | None = 80
     top_ips: int | None = 30
-    keep_days: int = 10
+    #: Days that are kept, the last one included; None keeps all.
+    keep_days: int | None = 10
     #: Rules by site (the log's base name with ``.`` as ``_``).
     rules: dict[str, tuple[UriRule, ...]] = field(default_factory=dict)
     methods: tuple[str, ...] = ("GET", "POST", "HEAD", "DELETE", "PUT", "OPTIONS", "CONNECT")

@@ -30,13 +30,15 @@ def _plain_fields(line: Column, form: PlainFormat) -> dict[str, Column]:
 
 
 def parse_lines(lines: DataFrame, settings: Settings) -> DataFrame:
-    """Records of ``lines`` (``value, site, server, seq``): one row a line, bad ones marked.
+    """Records of ``lines`` (``value, site, server, seq`` and maybe ``file``): one row a line, bad ones marked.
 
-    Columns: ``site, server, seq, minute_key, uri_abs, args_abs, method, status,
+    ``seq`` orders the lines of one file.  Columns: ``site, server, file, seq, minute_key, uri_abs, args_abs, method, status,
     bytes, time_ms, remote_addr, user_ip, last_cdn_ip, source, is_valid,
     invalid_reason``.  A line is valid if it fits the format, its request can be
     read, and its time and numbers are what they claim to be.
     """
+    if "file" not in lines.columns:
+        lines = lines.withColumn("file", F.lit(""))
     if settings.log_type == "json":
         form: JsonFormat | PlainFormat = compile_json(settings.log_format)
         rows = once(lines, cells=F.from_json("value", "map<string,string>"))
@@ -87,4 +89,4 @@ def parse_lines(lines: DataFrame, settings: Settings) -> DataFrame:
     rows = once(rows, invalid_reason=reason)
     rows = rows.withColumn("is_valid", F.col("invalid_reason").isNull())
     rows = rows.withColumn("source", F.when(F.col("is_valid"), source_class(F.col("user_ip"), F.col("last_cdn_ip"))))
-    return rows.select("site", "server", "seq", "minute_key", "uri_abs", "args_abs", "method", "status", "bytes", "time_ms", "remote_addr", "user_ip", "last_cdn_ip", "source", "is_valid", "invalid_reason")
+    return rows.select("site", "server", "file", "seq", "minute_key", "uri_abs", "args_abs", "method", "status", "bytes", "time_ms", "remote_addr", "user_ip", "last_cdn_ip", "source", "is_valid", "invalid_reason")

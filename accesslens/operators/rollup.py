@@ -6,6 +6,8 @@ the order of rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,21 +25,26 @@ BLOCK = 1 << 20
 
 
 def placed(records: DataFrame) -> DataFrame:
-    """Lines without a time get that of the last line before them that has one (of the first one after, at the start).
+    """Lines without a time get that of the last line before them in their file that has one (of the first one after, at the start).
 
     Lines are ordered within blocks of line numbers; what a block takes over
     from those before it comes from one row a block, so no task orders a whole
     file.
     """
-    file = ["site", "server"]
+    if "file" not in records.columns:
+        return placed(records.withColumn("file", F.lit(""))).drop("file")
+    file = ["site", "server", "file"]
     blocked = records.withColumn("block", F.floor(F.col("seq") / BLOCK))
-    ends = blocked.where("minute_key is not null").groupBy(*file, "block").agg(F.max_by("minute_key", "seq").alias("last"), F.min_by("minute_key", "seq").alias("first"))
-    blocks = blocked.select(*file, "block").distinct().join(ends, [*file, "block"], "left")
+    has, minute = F.col("minute_key").isNotNull(), F.col("minute_key").cast("long")
+    seq = F.when(has, F.col("seq"))
+    ends = blocked.groupBy(*file, "block").agg(F.max_by(minute, seq).alias("last"), F.min_by(minute, seq).alias("first"), F.max((~has).cast("int")).alias("lacks"))
     order = Window.partitionBy(*file).orderBy("block")
-    carried = blocks.select(*file, "block", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"), F.first("first", True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("coming"))
+    text = lambda c: F.lpad(c.cast("string"), 12, "0")
+    before, after = F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.first("first", True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    carried = ends.select(*file, "block", "lacks", text(before).alias("carried"), text(after).alias("coming")).where("lacks = 1").drop("lacks")
     within = F.last("minute_key", True).over(Window.partitionBy(*file, "block").orderBy("seq"))
-    lost = blocked.join(blocked.where("minute_key is null").select(*file, "block").distinct(), [*file, "block"], "left_semi").withColumn("within", within).where("minute_key is null")
-    found = lost.join(carried, [*file, "block"]).withColumn("minute_key", F.coalesce("within", "carried", "coming"))
+    lost = blocked.join(carried, [*file, "block"]).withColumn("within", within).where("minute_key is null")
+    found = lost.withColumn("minute_key", F.coalesce("within", "carried", "coming"))
     return records.where("minute_key is not null").unionByName(found.select(*records.columns))
 
 
@@ -60,22 +67,31 @@ def minute_totals(records: DataFrame) -> DataFrame:
     return records.groupBy(*KEY).agg(*sums)
 
 
-def measures(records: DataFrame, keys: list[str], method: bool = False) -> DataFrame:
-    """Hits, sums, quartiles and maxima by ``keys``; the method of the first line.
+def grains(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Hits, sums, the method of the first line and all times and sizes by ``keys``.
 
     A group is one request class in one minute of one server.
     """
-    values = lambda name: F.sort_array(F.collect_list(name))
-    firsts = [F.min_by("method", "seq").alias("method")] if method else []
-    grouped = records.groupBy(*keys).agg(F.count("*").alias("hits"), F.sum("time_ms").alias("time_ms"), F.sum("bytes").alias("bytes"), F.min("seq").alias("first_seq"), values("time_ms").alias("times"), values("bytes").alias("sizes"), *firsts)
-    q = grouped.withColumn("qt", quartiles(F.col("times"))).withColumn("qb", quartiles(F.col("sizes")))
+    first = F.struct("seq", "file") if "file" in records.columns else F.col("seq")
+    return records.groupBy(*keys).agg(F.count("*").alias("hits"), F.sum("time_ms").alias("time_ms"), F.sum("bytes").alias("bytes"), F.min("seq").alias("first_seq"), F.min_by("method", first).alias("method"), F.collect_list("time_ms").alias("times"), F.collect_list("bytes").alias("sizes"))
+
+
+def regrouped(grain: DataFrame, keys: list[str]) -> DataFrame:
+    """Grains by fewer ``keys``, without the method."""
+    sums = [F.sum(c).alias(c) for c in ("hits", "time_ms", "bytes")]
+    return grain.groupBy(*keys).agg(*sums, F.min("first_seq").alias("first_seq"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("times", "sizes")))
+
+
+def measured(grain: DataFrame, keys: list[str], method: bool = False) -> DataFrame:
+    """Grains with quartiles and maxima instead of all values."""
+    q = grain.withColumn("qt", quartiles(F.sort_array("times"))).withColumn("qb", quartiles(F.sort_array("sizes")))
     stats = [F.col(f"{c}.{f}").cast("double").alias(n) for c, kind in (("qt", "time_ms"), ("qb", "bytes")) for f, n in (("q2", f"q2_{kind}"), ("q3", f"q3_{kind}"), ("max", f"max_{kind}"))]
     return q.select(*keys, "hits", "time_ms", "bytes", *stats, "first_seq", *(["method"] if method else []))
 
 
-def top(rows: DataFrame, keys: list[str], n: int | None, tie: Column | str) -> DataFrame:
+def top(rows: DataFrame, keys: list[str], n: int | None, *ties: Column | str) -> DataFrame:
     """The ``n`` rows with the most hits of each group, with their ``rank``."""
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("hits"), tie)))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("hits"), *ties)))
     return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
@@ -87,24 +103,28 @@ def address_rows(records: DataFrame) -> DataFrame:
     return records.select(*KEY, "uri_abs", "seq", "bytes", "time_ms", F.explode(pairs).alias("x")).select(*KEY, "uri_abs", "seq", "bytes", "time_ms", "x.type", "x.ip")
 
 
-def roll_up(records: DataFrame, settings: Settings) -> dict[str, DataFrame]:
+def roll_up(records: DataFrame, settings: Settings, stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, ordered: bool = False) -> dict[str, DataFrame]:
     """The five tables of parsed records.
 
     Only a minute's ``top_uris`` requests with the most hits are kept, and what
-    belongs to them; of their addresses, ``top_ips`` of each type.  Each table is
-    a query of its own over ``records``, which had better be a written table.
+    belongs to them; of their addresses, ``top_ips`` of each type.  ``stage``
+    may write what several tables share, the values by request and arguments and
+    the requests that are kept, and read it again.  ``ordered`` says that lines
+    without a time have got one already.
     """
     valid = records.where("is_valid")
-    uri = top(measures(valid, [*KEY, "uri_abs"]), KEY, settings.top_uris, "first_seq")
-    args = measures(valid, [*KEY, "uri_abs", "args_abs"], method=True)
-    error = measures(valid.where("status >= 400").withColumnRenamed("status", "error_code"), [*KEY, "uri_abs", "error_code"], method=True)
-    ips = address_rows(valid).groupBy(*KEY, "uri_abs", "type", "ip").agg(F.count("*").alias("hits"), F.sum("time_ms").alias("time_ms"), F.sum("bytes").alias("bytes"), F.min("seq").alias("first_seq"))
-    ip = top(ips, [*KEY, "uri_abs", "type"], settings.top_ips, "first_seq")
+    at = [*KEY, "uri_abs"]
+    grain = stage(grains(valid, [*at, "args_abs"]), "grains")
+    uri = stage(top(measured(regrouped(grain, at), at), KEY, settings.top_uris, "first_seq", "uri_abs"), "uris")
+    args = measured(grain, [*at, "args_abs"], method=True)
+    failed = grains(valid.where("status >= 400").withColumnRenamed("status", "error_code"), [*at, "error_code"])
+    error = measured(failed, [*at, "error_code"], method=True)
+    ips = address_rows(valid).groupBy(*at, "type", "ip").agg(F.count("*").alias("hits"), F.sum("time_ms").alias("time_ms"), F.sum("bytes").alias("bytes"), F.min("seq").alias("first_seq"))
     if settings.top_uris is not None:
-        counted = valid.groupBy(*KEY, "uri_abs").agg(F.count("*").alias("hits"), F.min("seq").alias("first_seq"))
-        kept = top(counted, KEY, settings.top_uris, "first_seq").select(*KEY, "uri_abs")
-        args, error, ip = (t.join(kept, [*KEY, "uri_abs"], "left_semi") for t in (args, error, ip))
-    tables = {"minute_totals": minute_totals(placed(records)), "minute_uri": uri, "minute_args": args, "minute_error": error, "minute_ip": ip}
+        kept = uri.select(*at)
+        args, error, ips = (t.join(kept, at, "left_semi") for t in (args, error, ips))
+    ip = top(ips, [*at, "type"], settings.top_ips, "first_seq", "ip")
+    tables = {"minute_totals": minute_totals(records if ordered else placed(records)), "minute_uri": uri, "minute_args": args, "minute_error": error, "minute_ip": ip}
     return {name: t.drop("first_seq") for name, t in tables.items()}
 
 

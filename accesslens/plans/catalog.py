@@ -14,6 +14,7 @@ from ..operators.parse import parse_lines
 from ..operators.rollup import IP_TYPES, KEY, flatten_requests, minute_totals, nested, placed, roll_up, top
 from . import cells
 from .cells import Scope
+from .store import read_tables, work_root
 
 SITE = "shop_access_log"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,31 @@ def _cell(function, *args, scope: Scope = Scope(SITE), **options) -> Query:
     return lambda spark, d: function(tables(spark, d), scope, *args, **options)
 
 
+def ingested(spark: SparkSession, d: str) -> str:
+    """The root of a store that has taken in the fixture's lines: a load for each server, one of them repeated as after a failure."""
+    from ..streaming.ingest import take_in
+
+    root, settings = work_root(spark), Settings(keep_days=None)
+    lines = plain_lines(event_rows(spark.read.parquet(f"{d}/events.parquet")))
+    for server in ("web1", "web2", "web2", "web3"):
+        take_in(lines.where(F.col("server") == server), settings, root, f"{server}-0")
+    return root
+
+
+def _stored(name: str) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        t = read_tables(spark, ingested(spark, d))[name].drop("day", "hour")
+        return t.select(*(F.col(c).cast("long") if c == "rank" else F.col(c) for c in t.columns))
+
+    return query
+
+
+def rejected_lines(spark: SparkSession, d: str) -> DataFrame:
+    from ..streaming.ingest import rejected
+
+    return rejected(spark, ingested(spark, d)).groupBy("site", "server", "invalid_reason").agg(F.sum("lines").alias("lines"))
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     path = F.regexp_replace("url", "^[a-z]+://[^/?#]*", "")
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_replace(path, "#.*$", "").alias("request"))
@@ -146,6 +172,9 @@ def queries() -> dict[str, Query]:
         "topn_ip": _truncated("minute_ip", top_ips=2),
         "nested_roundtrip": nested_roundtrip,
         "nested_documents": nested_documents,
+        "stored_minute_totals": _stored("minute_totals"),
+        "stored_minute_uri": _stored("minute_uri"),
+        "rejected_lines": rejected_lines,
         "sites": lambda s, d: cells.sites(tables(s, d)),
         "total_all": _cell(cells.totals),
         "time_range_filter": _cell(cells.totals, scope=Scope(SITE, "240102", "2024010309")),
@@ -262,6 +291,7 @@ SELECT site, uri_abs, args_abs, count(*) AS hits FROM x GROUP BY ALL""",
         "nested_documents": f"""{placed_sql} SELECT {', '.join('t.' + k for k in KEY)}, t.total_hits, coalesce(u.n, 0) AS n_requests, coalesce(a.n, 0) AS n_args, coalesce(x.n, 0) AS n_errors FROM {_TOTALS} t
 LEFT JOIN (SELECT {_MINUTE}, count(*) AS n FROM {uri} GROUP BY {_MINUTE}) u USING ({_MINUTE}) LEFT JOIN (SELECT {_MINUTE}, count(*) AS n FROM {args} GROUP BY {_MINUTE}) a USING ({_MINUTE})
 LEFT JOIN (SELECT {_MINUTE}, count(*) AS n FROM {error} GROUP BY {_MINUTE}) x USING ({_MINUTE})""",
+        "rejected_lines": f"{base} SELECT site, server, CASE WHEN garbage THEN 'format' ELSE 'request' END AS invalid_reason, count(*) AS lines FROM r WHERE garbage OR method = 'PATCH' GROUP BY ALL",
         "sites": f"{base} SELECT DISTINCT site FROM r",
         "total_all": f"{placed_sql} SELECT * FROM {_all(at)}",
         "time_range_filter": f"{placed_sql} SELECT * FROM {_all(at + chr(32) + 'AND minute_key >= ' + repr('20240102') + ' AND minute_key < ' + repr('2024010309'))}",
@@ -274,6 +304,8 @@ LEFT JOIN (SELECT {_MINUTE}, count(*) AS n FROM {error} GROUP BY {_MINUTE}) x US
         "ip_detail": f"{base} {_shares(_grouped(_IPS, 'uri_abs', hbt, False, at + ' AND ip = ' + repr('10.0.1.7')), 'uri_abs', _part(_IPS, at + ' AND ip = ' + repr('10.0.1.7')), hbt, 'hits DESC, uri_abs')}",
         "request_detail": f"{base} {_shares(_grouped(args, 'args_abs', hbt, True, f'{at} AND {one}'), 'args_abs', _part(uri, f'{at} AND {one}'), hbt, 'hits DESC, args_abs')}",
     }
+    for name in ("minute_totals", "minute_uri"):
+        out[f"stored_{name}"] = out[name]
     for by in hbt:
         out[f"request_summary_{by}"] = f"{placed_sql} {_shares(_grouped(uri, 'uri_abs', (by,), True, at), 'uri_abs', _all(at), (by,), f'{by} DESC, uri_abs')}"
     other = "site = 'api_access_log'"

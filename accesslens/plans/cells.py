@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.requests import abstract_request, percent_decode, period, share, split_request, time_bound
 from ..operators.rollup import IP_TYPES, SOURCES
+from .store import day_bounds
 
 STATS = ("q2_time_ms", "q3_time_ms", "max_time_ms", "q2_bytes", "q3_bytes", "max_bytes")
 
@@ -43,7 +44,9 @@ class Scope:
         if end:
             rows = rows.where(F.col("minute_key") < end)
         if not start and not end and self.today:
+            start = end = self.today
             rows = rows.where(F.col("minute_key").startswith(self.today))
+        rows = day_bounds(rows, start, end)
         return rows.where(F.col("server") == self.server) if self.server else rows
 
 

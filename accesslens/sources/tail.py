@@ -16,10 +16,10 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 
 class Span(InputPartition):
-    """Bytes of a file to read, and the number of the first line's byte."""
+    """Bytes of a file to read, and the name and inode that its lines go by."""
 
-    def __init__(self, path: str, name: str, start: int, end: int):
-        self.path, self.name, self.start, self.end = path, name, start, end
+    def __init__(self, path: str, name: str, inode: int, start: int, end: int):
+        self.path, self.name, self.inode, self.start, self.end = path, name, inode, start, end
 
 
 def complete_end(path: str, start: int, size: int) -> int:
@@ -37,15 +37,19 @@ def complete_end(path: str, start: int, size: int) -> int:
 
 
 class LogTailReader(DataSourceStreamReader):
-    def __init__(self, pattern: str):
-        self.pattern = pattern
+    def __init__(self, patterns: list[str], exclude: list[str]):
+        self.patterns, self.exclude = patterns, exclude
+
+    def _paths(self) -> list[str]:
+        found = {p for x in self.patterns for p in glob.glob(x)}
+        return sorted(p for p in found if os.path.basename(p) not in self.exclude)
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:  # noqa: N802
         now = {}
-        for path in sorted(glob.glob(self.pattern)):
+        for path in self._paths():
             stat = os.stat(path)
             now[path] = [stat.st_ino, complete_end(path, 0, stat.st_size)]
         return {"files": json.dumps(now, sort_keys=True)}
@@ -60,10 +64,10 @@ class LogTailReader(DataSourceStreamReader):
                 if rotated:
                     rest = complete_end(rotated, seen, os.path.getsize(rotated))
                     if rest > seen:
-                        out.append(Span(rotated, os.path.basename(path), seen, rest))
+                        out.append(Span(rotated, os.path.basename(path), old_inode, seen, rest))
                 seen = 0
             if upto > seen:
-                out.append(Span(path, os.path.basename(path), seen, upto))
+                out.append(Span(path, os.path.basename(path), inode, seen, upto))
         return out
 
     @staticmethod
@@ -77,7 +81,7 @@ class LogTailReader(DataSourceStreamReader):
             at = partition.start
             while at < partition.end:
                 line = f.readline()
-                yield line.decode("utf-8", "replace").rstrip("\r\n"), partition.name, at
+                yield line.decode("utf-8", "replace").rstrip("\r\n"), f"{partition.name}#{partition.inode}", at
                 at += len(line)
 
     def commit(self, end: dict) -> None:
@@ -85,7 +89,13 @@ class LogTailReader(DataSourceStreamReader):
 
 
 class LogTail(DataSource):
-    """``spark.dataSource.register(LogTail)``, then ``readStream.format("logtail").load(glob)``."""
+    """``spark.dataSource.register(LogTail)``, then ``readStream.format("logtail").load(glob)``.
+
+    The path may be a JSON list of globs; the option ``exclude`` is one of base
+    names.  A line's ``file`` is its log's name and inode, its ``seq`` the number
+    of its first byte.  Files are read where the logs are: by executors on the
+    server itself, or on machines that mount its folder.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -95,4 +105,4 @@ class LogTail(DataSource):
         return "value string, file string, seq long"
 
     def streamReader(self, schema) -> LogTailReader:  # noqa: N802
-        return LogTailReader(self.options["path"])
+        return LogTailReader(json.loads(self.options["path"]) if self.options["path"].startswith("[") else [self.options["path"]], json.loads(self.options.get("exclude", "[]")))

@@ -18,10 +18,10 @@ from pyspark.sql import SparkSession
 from accesslens.config import Settings
 from accesslens.fixtures import event_rows, plain_lines
 from accesslens.operators.parse import parse_lines
-from accesslens.operators.rollup import TABLES, roll_up
+from accesslens.operators.rollup import TABLES
 from accesslens.plans import cells
 from accesslens.plans.cells import Scope
-from accesslens.plans.store import read_tables, write_tables
+from accesslens.plans.store import read_tables, write_roll_up
 
 #: Copies of the events' lines under other line numbers, so that start-up does not dominate.
 COPIES = int(os.environ.get("BENCH_COPIES", "10"))
@@ -52,7 +52,7 @@ def main() -> None:
         timed(times, "warm_up", lambda: records.groupBy("is_valid").count().collect())
         timed(times, "parse", lambda: records.write.parquet(f"{work}/records"))
         parsed = spark.read.parquet(f"{work}/records")
-        timed(times, "roll_up", lambda: write_tables(roll_up(parsed, Settings()), f"{work}/tables"))
+        timed(times, "roll_up", lambda: write_roll_up(parsed, Settings(), f"{work}/tables"))
         tables, scope = read_tables(spark, f"{work}/tables"), Scope("shop_access_log")
         for name in TABLES:
             tables[name].count()
