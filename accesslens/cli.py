@@ -24,7 +24,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import render
-from .config import Settings
+from .config import SESSION, Settings
 from .operators.rollup import IP_TYPES
 from .plans import cells
 from .plans.store import read_tables
@@ -101,7 +101,7 @@ def show(spark: SparkSession, root: str, args: argparse.Namespace, settings: Set
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName("accesslens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.appName("accesslens").config("spark.sql.session.timeZone", "UTC").config(map=SESSION).getOrCreate()
     if args.command == "show":
         try:
             print(show(spark, args.root, args))

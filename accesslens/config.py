@@ -24,6 +24,10 @@ JSON_FORMAT = {
 }
 
 
+#: For sessions that roll up: groups that gather values are hashed, not sorted, up to this number a task.
+SESSION = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000"}
+
+
 @dataclass(frozen=True)
 class ArgsRule:
     """Where ``pattern`` is found in the arguments, all its matches become ``template``."""

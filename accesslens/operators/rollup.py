@@ -34,18 +34,18 @@ def placed(records: DataFrame) -> DataFrame:
     if "file" not in records.columns:
         return placed(records.withColumn("file", F.lit(""))).drop("file")
     file = ["site", "server", "file"]
-    blocked = records.withColumn("block", F.floor(F.col("seq") / BLOCK))
     has, minute = F.col("minute_key").isNotNull(), F.col("minute_key").cast("long")
-    seq = F.when(has, F.col("seq"))
-    ends = blocked.groupBy(*file, "block").agg(F.max_by(minute, seq).alias("last"), F.min_by(minute, seq).alias("first"), F.max((~has).cast("int")).alias("lacks"))
+    slim = records.select(*file, "seq", minute.alias("minute"), F.floor(F.col("seq") / BLOCK).alias("block"))
+    seq = F.when(F.col("minute").isNotNull(), F.col("seq"))
+    ends = slim.groupBy(*file, "block").agg(F.max_by("minute", seq).alias("last"), F.min_by("minute", seq).alias("first"), F.max(F.col("minute").isNull().cast("int")).alias("lacks"))
     order = Window.partitionBy(*file).orderBy("block")
-    text = lambda c: F.lpad(c.cast("string"), 12, "0")
     before, after = F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.first("first", True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    carried = ends.select(*file, "block", "lacks", text(before).alias("carried"), text(after).alias("coming")).where("lacks = 1").drop("lacks")
-    within = F.last("minute_key", True).over(Window.partitionBy(*file, "block").orderBy("seq"))
-    lost = blocked.join(carried, [*file, "block"]).withColumn("within", within).where("minute_key is null")
-    found = lost.withColumn("minute_key", F.coalesce("within", "carried", "coming"))
-    return records.where("minute_key is not null").unionByName(found.select(*records.columns))
+    carried = ends.select(*file, "block", "lacks", before.alias("carried"), after.alias("coming")).where("lacks = 1").drop("lacks")
+    within = F.last("minute", True).over(Window.partitionBy(*file, "block").orderBy("seq"))
+    lost = slim.join(carried, [*file, "block"]).withColumn("within", within).where("minute is null")
+    found = lost.groupBy(*file, "seq").agg(F.max(F.coalesce("within", "carried", "coming")).alias("found"))
+    named = records.where(~has).join(found, [*file, "seq"], "left").withColumn("minute_key", F.lpad(F.col("found").cast("string"), 12, "0"))
+    return records.where(has).unionByName(named.select(*records.columns))
 
 
 def minute_totals(records: DataFrame) -> DataFrame:

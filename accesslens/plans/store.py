@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,6 @@ SCHEMAS = {
 
 #: What the stored tables are partitioned by: a server's hour is written anew as a whole.
 PLACE = ["site", "day", "hour", "server"]
-#: Files, at most, that the minutes of one such partition are dealt to.
-FILES = 8
 
 
 def with_place(rows: DataFrame) -> DataFrame:
@@ -38,10 +37,13 @@ def with_place(rows: DataFrame) -> DataFrame:
 
 
 def write_tables(tables: dict[str, DataFrame], root: str) -> None:
-    """Write tables, replacing just the partitions (a site's hour on a server) that they hold."""
-    for name, table in tables.items():
-        dealt = with_place(table).repartition(*PLACE, F.pmod(F.hash("minute_key"), F.lit(FILES)))
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(f"{root}/{name}")
+    """Write tables side by side, replacing just the partitions (a site's hour on a server) that they hold."""
+
+    def write(name: str) -> None:
+        with_place(tables[name]).repartition(*PLACE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(f"{root}/{name}")
+
+    with ThreadPoolExecutor(len(tables)) as pool:
+        list(pool.map(write, tables))
 
 
 def write_roll_up(records: DataFrame, settings: Settings, root: str, ordered: bool = False) -> None:

@@ -15,7 +15,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from accesslens.config import Settings
+from accesslens.config import SESSION, Settings
 from accesslens.fixtures import event_rows, plain_lines
 from accesslens.operators.parse import parse_lines
 from accesslens.operators.rollup import TABLES
@@ -37,7 +37,7 @@ def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").config(map=SESSION).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     work = tempfile.mkdtemp(prefix="bench-")
