@@ -32,7 +32,7 @@ LEAST_SHARE = 1 / (1 << 20)
 #: Distinct words that a worker counts before it hands them on, or their bytes if those are many.
 HELD, HELD_BYTES = 200_000, 32 << 20
 #: Bytes of words that a worker remembers, with what each costs, before it forgets them all.
-REMEMBERED, COST = 240 << 20, 400
+REMEMBERED, COST = 160 << 20, 400
 #: Characters of text that are encoded together.
 GROUP = 2_000_000
 
