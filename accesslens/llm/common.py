@@ -68,6 +68,15 @@ def drop_staged(*frames: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame, name: str) -> Column:
+    """All columns of ``docs``, whatever their names, as one struct."""
+    return F.struct(*(quoted(c).alias(c) for c in docs.columns)).alias(name)
+
+
 class Carried:
     """A user's columns on their way through an operator: one struct, whose fields meet no internal name.
 
@@ -77,8 +86,8 @@ class Carried:
     def __init__(self, docs: DataFrame, keep: list[str] | None, results: list[str]):
         taken = {r.lower() for r in results}
         self.names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
-        quoted = [F.col("`" + n.replace("`", "``") + "`").alias(n) for n in self.names]
-        self.column = F.struct(*(quoted or [F.lit(True).alias("none")])).alias("carried")
+        cells = [quoted(n).alias(n) for n in self.names]
+        self.column = F.struct(*(cells or [F.lit(True).alias("none")])).alias("carried")
         self.type = docs.select(self.column).schema["carried"].dataType
 
     def fields(self) -> list[Column]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Carried, count_words, read_table, small_or_shuffled, stage, text_or_empty
+from .common import Carried, count_words, read_table, small_or_shuffled, stage, text_or_empty, whole_row
 
 HASH_BITS = 60
 LEVEL_BITS = 12
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``, whatever their names."""
-    chosen = mix(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row")), keep=["row"], **options).where("mix_copies > 0")
+    chosen = mix(docs.select("doc_id", "source", "text", whole_row(docs, "row")), keep=["row"], **options).where("mix_copies > 0")
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy")
     return chosen.select("row", copies).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 

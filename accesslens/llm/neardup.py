@@ -10,8 +10,11 @@ others.  Only sets that consist of them for the most part are listed under
 frequent values; a pair of others that reaches the similarity shares much of its
 rest, and meets there.  So a passage that many documents share pairs only those
 which it may link.  Each list is first compared with its most
-central member; only members that this leaves open are compared with others, in
-blocks.
+central member.  Members of long lists that this leaves open are compared by a
+prefix filter over whole sets: with values in order of their frequency, the
+rarest first, two sets can only reach the similarity if they share one of the
+first values, fewer of the smaller set than of the larger.  So documents around
+one template meet only if the template makes six sevenths of one of them.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, small_or_shuffled, stage, text_or_empty
+from .common import read_table, small_or_shuffled, stage, text_or_empty, whole_row
 from .graph import components
 
 WIDTH = 5
@@ -40,6 +43,8 @@ BLOCK = 1024
 #: Values of the wider sketches that blocks compare, and of those compared at a time.
 WIDE = 1024
 PIECE = 4096
+#: Pairs of a set that are verified together; with more, the set is copied.
+HUB = 256
 #: An estimate is at fault by less than this many standard deviations.
 DEVIATIONS = 4.0
 #: Rows of a table of keys that may be broadcast; beyond that it is joined by shuffle.
@@ -192,11 +197,12 @@ def shared_counts(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_pairs(value: int, side: np.ndarray, row: np.ndarray, n: np.ndarray, part: np.ndarray, done: np.ndarray, sketch: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def block_pairs(value: int, side: np.ndarray, row: np.ndarray, n: np.ndarray, part: np.ndarray, once: np.ndarray, sketch: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Possible pairs of a block of open members (``side``) with another block of the list of ``value``.
 
-    A pair is compared in the list of the smallest value under which it is
-    listed, and nowhere else.
+    A pair is compared in the list of the smallest value under which both are
+    ``listed``, and nowhere else; where both come on either side, with the
+    smaller row on the left, unless the right one says that it comes ``once``.
     """
     one, two = np.flatnonzero(side), np.flatnonzero(~side)
     if not len(one) or not len(two):
@@ -206,7 +212,7 @@ def block_pairs(value: int, side: np.ndarray, row: np.ndarray, n: np.ndarray, pa
     common = shared_counts(sketch[one], sketch[two])
     a, b = [], []
     for k, i in enumerate(one):
-        fit = (earlier[k] == 0) & (part[two] != part[i]) & (done[two] | (row[two] > row[i]))
+        fit = (earlier[k] == 0) & (part[two] != part[i]) & (once[two] | (row[two] > row[i]))
         fit &= np.minimum(n[two], n[i]) * 100 >= np.maximum(n[two], n[i]) * LEAST_PERCENT
         at = np.flatnonzero(fit)
         if len(at):
@@ -217,88 +223,125 @@ def block_pairs(value: int, side: np.ndarray, row: np.ndarray, n: np.ndarray, pa
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``row, nd_text`` of the classes whose ``row`` is in ``ids``; other texts are not shuffled while the ids are few."""
-    wanted = stage(classes.select("row", "key1", "key2").join(ids, "row"), "nd-wanted")
-    texts = keyed_texts(docs).drop("doc_id").join(small_or_shuffled(wanted, MOST_BROADCAST), ["key1", "key2"])
-    return stage(texts.groupBy("row").agg(F.first("nd_text").alias("nd_text")), "nd-texts")
-
-
-def wide_sketches(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``row, wide``: the ``WIDE`` smallest hashes of some classes."""
+def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``row, set``: the whole sets of the classes whose ``row`` is in ``ids``; texts are not shuffled while the ids are few."""
 
     def run(batches):
         for batch in batches:
-            wide = [shingle_set(x.as_py())[:WIDE] for x in batch.column("nd_text")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(wide, pa.list_(pa.int64()))], ["row", "wide"])
+            sets = [shingle_set(x.as_py()) for x in batch.column("nd_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["row", "set"])
 
-    return stage(texts_of(ids, classes, docs).mapInArrow(run, "row long, wide array<long>"), "nd-wide")
+    wanted = stage(classes.select("row", "key1", "key2").join(ids, "row"), "nd-wanted")
+    texts = keyed_texts(docs).drop("doc_id").join(small_or_shuffled(wanted, MOST_BROADCAST), ["key1", "key2"])
+    return stage(texts.select("row", "nd_text").mapInArrow(run, "row long, set array<long>").dropDuplicates(["row"]), "nd-sets")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of distinct pairs ``a, b`` whose whole sets reach the similarity.
+    """Those of distinct pairs ``a, b`` (a written table) whose whole sets reach the similarity.
 
-    Only texts of the classes in question are fetched; a class in very many
-    pairs is a key of joins of written tables, which Spark can split.
+    Each set in question is made once.  Of a pair the set in more pairs is the
+    hub; hubs come in copies, one for each ``HUB`` of their pairs, so that the
+    pairs of a very frequent one are dealt to many tasks.
     """
 
     def run(batches):
-        last, s = None, None
         for batch in batches:
             keep = []
-            a = batch.column("a").to_pylist()
             for i, (x, y) in enumerate(zip(batch.column("s"), batch.column("t"), strict=True)):
-                if a[i] != last:
-                    last, s = a[i], shingle_set(x.as_py())
-                t = shingle_set(y.as_py())
-                both = len(np.intersect1d(s, t, assume_unique=True))
+                s, t = x.values.to_numpy(), y.values.to_numpy()
+                at = np.searchsorted(s, t)
+                both = int((s[np.minimum(at, len(s) - 1)] == t).sum())
                 if 100 * both >= LEAST_PERCENT * (len(s) + len(t) - both):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), classes, docs)
-    s = texts.select(F.col("row").alias("a"), F.col("nd_text").alias("s"))
-    t = texts.select(F.col("row").alias("b"), F.col("nd_text").alias("t"))
-    return stage(pairs.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "nd-links")
+    ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("f")), "nd-ends")
+    sets = sets_of(ends.select("row"), classes, docs)
+    copies = lambda f: F.ceil(F.col(f) / HUB).cast("int")
+    end = lambda name: ends.select(F.col("row").alias(name), F.col("f").alias(f"{name}_f"))
+    dealt = pairs.join(end("a"), "a").join(end("b"), "b")
+    first = F.col("a_f") >= F.col("b_f")
+    dealt = dealt.select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("a_f", "b_f").alias("f"))
+    dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("other"), copies("f")).cast("int"))
+    s = sets.join(ends, "row").select(F.col("row").alias("hub"), F.explode(F.sequence(F.lit(0), copies("f") - 1)).alias("copy"), F.col("set").alias("s"))
+    t = sets.select(F.col("row").alias("other"), F.col("set").alias("t"))
+    return stage(dealt.join(s, ["hub", "copy"]).join(t, "other").select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "nd-links")
 
 
 def open_pairs(members: DataFrame, linked: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Likely pairs of list members that no links found so far connect, but for those with the list's centre.
-
-    Short lists are joined with themselves.  Long ones meet block by block: a
-    block of members that are not connected with the centre with each block of
-    the list, so that a task holds two blocks however long a list is.
-    """
+    """Likely pairs of list members that no links found so far connect, but for those with the list's centre."""
     label = stage(components(linked), "nd-labels")
     named = members.where("row <> centre").join(label.select(F.col("node").alias("row"), F.col("root").alias("part")), "row", "left").withColumn("part", F.coalesce("part", "row"))
     core = label.select(F.col("node").alias("centre"), F.col("root").alias("core"))
     state = named.join(core, "centre", "left").withColumn("done", F.coalesce(F.col("part") == F.col("core"), F.lit(False)))
     state = stage(state.select("value", "f", "row", "n", "part", "done"), "nd-open")
-    open_lists = stage(state.where("not done").groupBy("value").agg(F.count("*").alias("open")), "nd-open-lists")
+    open_lists = stage(state.where("not done").select("value").distinct(), "nd-open-lists")
     state = state.join(open_lists, "value")
-    short, long = state.where(F.col("f") <= LONG), state.where(F.col("f") > LONG)
+    short = state.where(F.col("f") <= LONG)
     p = short.where("not done").select("value", F.col("row").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xp"))
     q = short.select("value", F.col("row").alias("y"), F.col("n").alias("yn"), F.col("part").alias("yp"), "done")
     close = p.join(q, "value").where("xp <> yp and (done or x < y)").where(enough("xn", "yn"))
     pairs = likely(stage(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "nd-short"), classes)
+    rows = state.where(F.col("f") > LONG).groupBy("row").agg(F.first("n").alias("n"), F.first("part").alias("part"), F.max(~F.col("done")).alias("open"))
+    return stage(pairs.unionByName(prefix_pairs(stage(rows, "nd-long"), classes, docs)).distinct(), "nd-open-pairs")
 
-    salt = F.pmod(F.xxhash64("row"), F.lit(1 << 20))
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    listed = stage(long.groupBy("row").agg(F.sort_array(F.collect_list("value")).alias("listed")), "nd-listed")
-    sized = long.join(listed, "row").join(wide_sketches(listed.select("row"), classes, docs), "row").withColumn("rows", blocks("open")).withColumn("columns", blocks("f"))
-    columns = ["done", "row", "n", "part", "wide", "listed"]
-    left = sized.where("not done").select("value", F.pmod(salt, "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), F.lit(True).alias("left"), *columns)
-    right = sized.select("value", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(salt, "columns").cast("int").alias("j"), F.lit(False).alias("left"), *columns)
+
+def prefixes(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``value, row, n, part, open, index``: of each set its rarest values, those that may be shared.
+
+    A set of n values that reaches the similarity with one of at least its size
+    shares with it one of the ``index`` values of the smaller and of all that are
+    listed of the larger; of equal sizes this is exact.
+    """
+    values = sets.select("row", F.explode("set").alias("value"))
+    frequency = values.groupBy("value").agg(F.count("*").alias("f"))
+    ordered = values.join(frequency, "value").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("order"))
+    n, p = F.col("n"), LEAST_PERCENT
+    probe, index = n - F.ceil(n * p / 100) + 1, n - F.ceil(n * 2 * p / (100 + p)) + 1
+    cut = ordered.join(rows, "row").withColumn("index_to", index.cast("int")).withColumn("order", F.slice("order", 1, probe.cast("int")))
+    placed = cut.select("row", "n", "part", "open", "index_to", F.posexplode("order").alias("at", "x"))
+    return placed.where("x.f > 1").select("x.value", "row", "n", "part", "open", (F.col("at") < F.col("index_to")).alias("index"))
+
+
+def prefix_pairs(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Likely pairs of ``rows`` (``row, n, part, open``) of different parts, one of them open, by a prefix filter over whole sets.
+
+    Short lists are joined with themselves, long ones meet block by block, so
+    that a task holds two blocks however long a list is: open index members with
+    all, and open members with the other index members.
+    """
+    sets = sets_of(rows.select("row"), classes, docs)
+    listed = stage(prefixes(rows, sets), "nd-prefixes")
+    lists_ = stage(listed.groupBy("value").agg(F.count("*").alias("f"), F.max("open").alias("any"), F.max("index").alias("some"), *(F.sum(F.when(F.expr(c), 1).otherwise(0)).alias(name) for name, c in (("open_index", "open and index"), ("opens", "open"), ("done_index", "not open and index")))).where("f > 1 and any and some"), "nd-prefix-lists")
+    placed = listed.join(lists_, "value")
+    x = placed.where(F.col("f") <= LONG).select("value", "row", "n", "part", "open", "index")
+    y = x.select("value", *(F.col(c).alias(f"{c}_") for c in ("row", "n", "part", "open", "index")))
+    short = x.where("index").join(y, "value").where("row <> row_ and part <> part_ and (open or open_) and n <= n_").where(enough("n", "n_"))
+    short = likely(stage(short.select(F.least("row", "row_").alias("a"), F.greatest("row", "row_").alias("b")).distinct(), "nd-short"), classes)
+
+    long = placed.where(F.col("f") > LONG)
+    names = long.groupBy("row").agg(F.sort_array(F.collect_list("value")).alias("probes"), F.sort_array(F.collect_list(F.when(F.col("index"), F.col("value")))).alias("indexes"))
+    sized = long.join(stage(names, "nd-listed"), "row").join(sets.select("row", F.slice("set", 1, WIDE).alias("wide")), "row")
+    salt, blocks = F.pmod(F.xxhash64("row"), F.lit(1 << 20)), lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+
+    def side(task: int, left: bool, which: str, own: str, others: str, once, listed_: str) -> DataFrame:
+        mine, theirs = F.pmod(salt, blocks(own)).cast("int"), F.explode(F.sequence(F.lit(0), blocks(others) - 1))
+        i, j = (mine, theirs) if left else (theirs, mine)
+        chosen = sized.where(which).where((F.col(own) > 0) & (F.col(others) > 0))
+        return chosen.select("value", F.lit(task).alias("task"), i.alias("i"), j.alias("j"), F.lit(left).alias("left"), "row", "n", "part", once.alias("once"), "wide", F.col(listed_).alias("listed"))
+
+    done, yes = ~F.col("open"), F.lit(True)
+    met = side(0, True, "open and index", "open_index", "f", yes, "indexes").unionByName(side(0, False, "true", "f", "open_index", done | ~F.col("index"), "probes"))
+    met = met.unionByName(side(1, True, "open", "opens", "done_index", yes, "probes")).unionByName(side(1, False, "not open and index", "done_index", "opens", yes, "indexes"))
 
     def run(table: pa.Table) -> pa.Table:
-        arrays = [table.column(c).to_numpy() for c in ("left", "row", "n", "part", "done")]
+        arrays = [table.column(c).to_numpy() for c in ("left", "row", "n", "part", "once")]
         sketch = padded([x.values.to_numpy() for x in table.column("wide")], WIDE)
-        lists_ = padded([x.values.to_numpy() for x in table.column("listed")], 2 * LISTED)
-        a, b = block_pairs(table.column("value")[0].as_py(), *arrays, sketch, lists_)
+        many = max(len(x.values) for x in table.column("listed"))
+        a, b = block_pairs(table.column("value")[0].as_py(), *arrays, sketch, padded([x.values.to_numpy() for x in table.column("listed")], many))
         return pa.table({"a": a, "b": b})
 
-    met = left.unionByName(right).groupBy("value", "i", "j").applyInArrow(run, "a long, b long")
-    return stage(pairs.unionByName(met).distinct(), "nd-open-pairs")
+    return short.unionByName(met.groupBy("value", "task", "i", "j").applyInArrow(run, "a long, b long"))
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -345,7 +388,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each component, columns as before.
+    """One row of each component, columns as before, whatever their names.
 
     It is the row with the smallest doc_id, a null one coming last; of several
     texts with that doc_id the one with the smallest hashes; of rows with equal
@@ -357,16 +400,32 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     marked = full.withColumn("nd_best", best).where("not nd_best or copies > 1").groupBy(F.col("key1").alias("nd_key1"), F.col("key2").alias("nd_key2"))
     marked = stage(marked.agg(F.min("nd_best").alias("nd_best"), F.count("*").alias("n")).where("not nd_best or n > 1").drop("n"), "nd-marked")
     keys, text = ["nd_key1", "nd_key2"], text_or_empty().cast("string")
-    keyed = docs.withColumn("nd_key1", F.xxhash64("doc_id", text)).withColumn("nd_key2", F.xxhash64(F.lit(7), text, "doc_id"))
-    kept = keyed.join(small_or_shuffled(marked.select(*keys), MOST_BROADCAST), keys, "left_anti").select(*docs.columns)
+    keyed = docs.select(whole_row(docs, "nd_row"), F.xxhash64("doc_id", text).alias("nd_key1"), F.xxhash64(F.lit(7), text, "doc_id").alias("nd_key2"))
+    kept = keyed.join(small_or_shuffled(marked.select(*keys), MOST_BROADCAST), keys, "left_anti").select("nd_row")
     repeated = marked.where("nd_best").select(*keys)
-    if not repeated.count():
-        return kept
-    row = F.struct(*docs.columns)
-    once = keyed.join(small_or_shuffled(repeated, MOST_BROADCAST), keys).groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("nd_row"))
-    return kept.unionByName(once.select("nd_row.*"))
+    if repeated.count():
+        once = keyed.join(small_or_shuffled(repeated, MOST_BROADCAST), keys).groupBy(*keys).agg(F.min_by("nd_row", F.to_json("nd_row")).alias("nd_row"))
+        kept = kept.unionByName(once.select("nd_row"))
+    return kept.select(*(F.col("nd_row").getField(c).alias(c) for c in docs.columns))
 
 
 def op9_query(spark, sf_dir):
     found = near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: All pairs that share a shingle, counted, and everything that can be reached by links.
+OP9_SQL = f"""
+WITH RECURSIVE a AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT id, w, unnest(range(1, greatest(len(w) - {WIDTH - 2}, 2))) AS i FROM a WHERE len(w) > 0),
+s AS (SELECT DISTINCT id, CASE WHEN len(w) < {WIDTH} THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + {WIDTH - 1}], ' ') END AS shingle FROM p),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.id < y.id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n m ON c.a = m.id JOIN n o ON c.b = o.id WHERE 100 * c >= {LEAST_PERCENT} * (m.n + o.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+k AS (SELECT r.a AS id, min(a.doc_id) AS least FROM r JOIN a ON r.b = a.id GROUP BY r.a)
+SELECT a.doc_id, coalesce(n.n, 0) AS n_shingles, least(a.doc_id, k.least) AS component_id, coalesce(a.doc_id = least(a.doc_id, k.least), false) AS kept
+FROM a LEFT JOIN n ON a.id = n.id LEFT JOIN k ON a.id = k.id
+"""

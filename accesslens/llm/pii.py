@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carried, read_table, small_or_shuffled, stage, text_or_empty
+from .common import Carried, read_table, small_or_shuffled, stage, text_or_empty, whole_row
 from .spans import SPAN, as_spans, bind, count_kind, joined, matches, moved, replaced, segments
 
 KINDS = ("email", "ip", "card", "phone")
@@ -170,7 +170,7 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS, least_support: float = LEAST
 
 def redacted(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each span of the text replaced by its kind, columns as before; further columns may have any names."""
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    whole = docs.select(whole_row(docs, "doc"), "text")
     out = find_pii(whole, **options)
     text = F.when(F.col("text").isNotNull(), replaced(F.col("text"), F.col("pii_spans"))).alias("text")
     return out.select(*(text if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Carried, read_table, small_or_shuffled, stage, text_or_empty, words_of
+from .common import SPACE, Carried, read_table, small_or_shuffled, stage, text_or_empty, words_of, whole_row
 from .spans import bind
 
 #: Common words of languages; any other language has none.
@@ -161,7 +161,7 @@ def judge(docs: DataFrame, most_char_distance: float = MOST_CHAR_DISTANCE, most_
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that pass, columns as before, whatever their names."""
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang")
+    whole = docs.select(whole_row(docs, "row"), "text", "lang")
     return judge(whole, keep=["row"], **options).where("kept").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 

@@ -11,7 +11,7 @@ from .ctw import op2_query
 from .embeddings import op10_query
 from .html_text import op8_query
 from .mixing import OP5_SQL, op5_query
-from .neardup import op9_query
+from .neardup import OP9_SQL, op9_query
 from .pii import op1_query
 from .quality import OP7_SQL, op7_query
 from .secret_scan import op4_query
@@ -38,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc": OP3_SQL,
         "op5_mixing": OP5_SQL,
         "op7_quality": OP7_SQL,
+        "op9_neardup": OP9_SQL,
     }

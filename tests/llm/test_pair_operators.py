@@ -83,6 +83,47 @@ def test_near_duplicates(spark, seed, monkeypatch):
     assert sorted(r["doc_id"] for r in neardup.deduplicated(docs).collect()) == sorted(set(want))
 
 
+def test_pages_around_a_template(spark, monkeypatch):
+    """Texts that share a template of three, five, six or seven eighths: linked as by brute force, and compared only where the template may link."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    texts = []
+    for eighths in (5, 6, 7):
+        template = [word() for _ in range(20 * eighths)]
+        texts += [" ".join([*template, *(word() for _ in range(160 - 20 * eighths + rng.randint(0, 3)))]) for _ in range(40)]
+    texts += [" ".join(template)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    _, want = brute(texts)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == dict(enumerate(want))
+    rows = spark.createDataFrame([(i, len(s), i, True) for i, s in enumerate(sets(texts)[:40])], "row long, n long, part long, open boolean")
+    held = spark.createDataFrame([(i, sorted(hash(x) for x in s)) for i, s in enumerate(sets(texts)[:40])], "row long, set array<long>")
+    assert not neardup.prefixes(rows, held).where("index").count()  # five eighths link nothing: no list has an index member
+
+
+def test_prefixes_are_exact(spark):
+    """Every pair of sets that reaches the similarity shares one of the smaller's index values among the larger's listed ones."""
+    rng = random.Random(3)
+    base = rng.sample(range(10_000), 90)
+    made = []
+    for _ in range(60):
+        s = set(rng.sample(base, rng.randint(50, 90))) | set(rng.sample(range(10_000), rng.randint(0, 12)))
+        made.append(sorted(s))
+    frame = spark.createDataFrame(list(enumerate(made)), "row long, set array<long>")
+    rows = spark.createDataFrame([(i, len(s), i, True) for i, s in enumerate(made)], "row long, n long, part long, open boolean")
+    listed: dict[int, dict[int, bool]] = {}
+    for r in neardup.prefixes(rows, frame).collect():
+        listed.setdefault(r["row"], {})[r["value"]] = r["index"]
+    linked = 0
+    for i, x in enumerate(made):
+        for j, y in enumerate(made):
+            both = len(set(x) & set(y))
+            if i != j and len(x) <= len(y) and 100 * both >= 75 * (len(x) + len(y) - both):
+                linked += 1
+                assert any(index and v in listed[j] for v, index in listed[i].items())
+    assert linked > 50
+
+
 def test_near_duplicate_edges(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, "q r s t u v"), (7, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
