@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,7 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
         base = _OWN.setdefault(spark.sparkContext.applicationId, "")
         if not base:
             base = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="accesslens-")
-    return base.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()  # a folder without a scheme is one of the default file system
+    return re.sub("^file:/(?!/)", "file:///", whole).rstrip("/")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:

@@ -160,16 +160,17 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def decide(written: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """``written`` with ``refers_to``: of equal payloads of at least ``least_bytes``, the largest page_id.
+    """``written`` with ``refers_to``: of equal payloads of at least ``least_bytes``, the largest page_id; and ``refers_id``, its record's.
 
-    It is null for that page itself, for smaller payloads and where no page of
+    Both are null for that page itself, for smaller payloads and where no page of
     a group has an id.  Groups are combined before the shuffle and hold one
     number each, however many copies there are.
     """
     big = written.where(F.col("payload_bytes") >= least_bytes)
-    owners = big.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("owner"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    owners = big.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "archive", "position")).alias("own"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     joined = written.join(owners, ["payload_digest", "payload_bytes"], "left")
-    return joined.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("owner")), F.col("owner"))).drop("owner")
+    refers = joined.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("own.page_id")), F.col("own.page_id")))
+    return refers.withColumn("refers_id", F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("<urn:page:"), "own.page_id", F.lit(":"), F.substring("own.archive", 1, 8), F.lit("-"), "own.position", F.lit(">")))).drop("own")
 
 
 def normalise(decided: DataFrame, folder: str, to: str) -> DataFrame:
@@ -185,7 +186,7 @@ def normalise(decided: DataFrame, folder: str, to: str) -> DataFrame:
 
     def rewrite(table: pa.Table) -> pa.Table:
         name = table.column("archive")[0].as_py()
-        refers = dict(zip(table.column("position").to_pylist(), table.column("refers_to").to_pylist(), strict=True))
+        refers = dict(zip(table.column("position").to_pylist(), zip(table.column("refers_to").to_pylist(), table.column("refers_id").to_pylist(), strict=True), strict=True))
         fs, root = _open(folder)
         fs_to, root_to = _open(to)
         fs_to.create_dir(root_to, recursive=True)
@@ -193,12 +194,12 @@ def normalise(decided: DataFrame, folder: str, to: str) -> DataFrame:
         offset, n, index = 0, 0, []
         with fs.open_input_stream(f"{root}/{name}", compression=None) as raw, fs_to.open_output_stream(f"{root_to}/{new}", compression=None) as out:
             for head, block in Records(raw):
-                target = refers[n]
+                target, target_id = refers[n]
                 kept = [(k, v) for k, v in head.items() if k not in ("WARC-Type", "Content-Length")]
                 if target is None:
                     data = record([("WARC-Type", "response"), *kept], block)
                 else:
-                    data = record([("WARC-Type", "revisit"), *kept, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{target}>"), ("X-Payload-Length", str(len(block)))], b"")
+                    data = record([("WARC-Type", "revisit"), *kept, ("WARC-Profile", PROFILE), ("WARC-Refers-To", target_id), ("X-Refers-To-Page", str(target)), ("X-Payload-Length", str(len(block)))], b"")
                 gz = zlib.compressobj(3, zlib.DEFLATED, GZIP)
                 member = gz.compress(data) + gz.flush()
                 out.write(member)
@@ -210,7 +211,7 @@ def normalise(decided: DataFrame, folder: str, to: str) -> DataFrame:
             out.write(b"".join(index))
         return pa.table({"archive": pa.array([new]), "records": pa.array([n], pa.int64())})
 
-    small = decided.select("archive", "position", "refers_to")
+    small = decided.select("archive", "position", "refers_to", "refers_id")
     small = small.repartition(max(1, small.select("archive").distinct().count()), "archive")  # rows are few, their files large
     return stage(small.groupBy("archive").applyInArrow(rewrite, PLACED), "warc-placed")
 
@@ -234,7 +235,7 @@ def read_records(placed: DataFrame, folder: str) -> DataFrame:
                         [(head, block)] = Records(pa.BufferReader(f.read(length)))
                         page, url = _page_of(head)
                         if head["WARC-Type"] == "revisit":
-                            size, digest, target = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["WARC-Refers-To"][len("<urn:page:") : -1])
+                            size, digest, target = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Refers-To-Page"])
                         else:
                             size, digest, target = len(block), hashlib.sha1(block).hexdigest(), None
                         rows.append((page, url, size, digest, head["WARC-Type"], target, name, offset))

@@ -247,7 +247,8 @@ def test_warc(spark):
 
 
 def test_warc_files(spark):
-    _, folder = warc.archive_pages(pages(spark, [(i, f"http://a/{i}", f"page {i} " * 50) for i in range(20)]).coalesce(1))
+    rows = [(i, f"http://a/{i}", f"page {i} " * 50) for i in range(18)]
+    _, folder = warc.archive_pages(pages(spark, [*rows, (30, "http://a/30", "page x " * 300), (31, "http://a/31", "page x " * 300)]).coalesce(1))
     fs, root = warc._open(folder)
     import struct
 
@@ -259,8 +260,10 @@ def test_warc_files(spark):
     assert len(index) == 20 and sum(n for _, n in index) == len(data)
     for offset, n in index:  # each member stands alone
         [(head, block)] = warc.Records(pa.BufferReader(data[offset : offset + n]))
-        assert head["WARC-Type"] == "response" and block.decode().startswith("page ")
-    assert len(list(warc.Records(pa.BufferReader(data)))) == 20  # and all are one stream
+        assert (head["WARC-Type"], block.decode()[:5]) == (("revisit", "") if head["X-Page-Id"] == "30" else ("response", "page "))
+    heads = [head for head, _ in warc.Records(pa.BufferReader(data))]  # and all are one stream
+    ids = {head["WARC-Record-ID"]: head["X-Page-Id"] for head in heads}
+    assert len(heads) == len(ids) == 20 and [ids[head["WARC-Refers-To"]] for head in heads if "WARC-Refers-To" in head] == ["31"]
 
 
 FILL = "The quick brown fox jumps over the lazy dog again and again in this long sentence. "
