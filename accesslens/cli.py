@@ -28,6 +28,7 @@ from .config import SESSION, Settings
 from .operators.rollup import IP_TYPES
 from .plans import cells
 from .plans.store import read_tables
+from .sources.logs import file_stats
 from .streaming.ingest import follow_logs, rejected
 
 LOCKED, USAGE = 11, 12
@@ -42,6 +43,8 @@ def parser() -> argparse.ArgumentParser:
     take.add_argument("--server", default=os.uname().nodename)
     take.add_argument("--keep-days", type=int, default=Settings.keep_days, help="days that are kept, the last stored one included; 0 keeps all")
     take.add_argument("logs", nargs="*")
+    files = sub.add_parser("files", help="sizes and times of logs")
+    files.add_argument("logs", nargs="*")
     show = sub.add_parser("show")
     show.add_argument("site")
     show.add_argument("subject", choices=("request", "ip", "error"))
@@ -65,6 +68,8 @@ def show(spark: SparkSession, root: str, args: argparse.Namespace, settings: Set
     today = None if args.all else args.today or date.today().strftime("%Y%m%d")
     scope = cells.Scope(site, args.start, args.end, args.server, today)
     total = cells.totals(tables, scope).first()
+    if not total["total_hits"] + total["invalid_hits"]:
+        raise cells.NothingFound(args.site)
     part = lambda rows: cells.part_totals(rows).first()
     of = lambda name, **eq: scope.of(tables[name]).where(" and ".join(f"{k} = {v!r}" for k, v in eq.items()))
     if args.view is None:
@@ -108,6 +113,13 @@ def main(argv: list[str] | None = None) -> int:
         except cells.UnknownSite as e:
             print(f"no such site: {e}", file=sys.stderr)
             return 1
+        except cells.NothingFound as e:
+            print(f"nothing is stored of {e} in that range", file=sys.stderr)
+            return 1
+        return 0
+    if args.command == "files":
+        for r in file_stats(spark, args.logs or Settings().log_path).orderBy("path").collect():
+            print(f"{r['modified']:%Y-%m-%d %H:%M:%S}  {r['size']:>14}  {r['path']}")
         return 0
     # a lock for each root and server on this machine; runs of other servers write other partitions
     own = hashlib.sha1(f"{args.root} {args.server}".encode()).hexdigest()[:16]

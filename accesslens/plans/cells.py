@@ -25,6 +25,10 @@ class UnknownSite(LookupError):
     """No minute of that site is stored."""
 
 
+class NothingFound(LookupError):
+    """No line of a site is stored in that range or of that server."""
+
+
 @dataclass(frozen=True)
 class Scope:
     """Which minutes count: one site, from ``start`` up to before ``end``, of one server or all."""

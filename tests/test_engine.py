@@ -243,6 +243,13 @@ def test_line_numbers(spark, tmp_path):
     assert [v for _, v in rows] == [f"{i:07d}" for i in range(60_000)] and len({s for s, _ in rows}) == 60_000
 
 
+def test_command_line(spark, stored, tmp_path, capsys):
+    (tmp_path / "a.log").write_text("x" * 70)
+    assert cli.main(["--root", stored, "files", str(tmp_path / "a.log")]) == 0 and " 70 " in capsys.readouterr().out
+    assert cli.main(["--root", stored, "show", catalog.SITE, "request", "-f", "19990101", "-t", "19990102"]) == 1 and "nothing is stored" in capsys.readouterr().err
+    assert cli.main(["--root", stored, "show", "nowhere", "request"]) == 1 and "no such site" in capsys.readouterr().err
+
+
 def test_today_is_shown(spark, tmp_path):
     from datetime import date
 
