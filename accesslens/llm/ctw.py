@@ -38,6 +38,8 @@ WORD_SHARE = 1 / (1 << 20)
 #: Bytes of text and distinct keys that a worker gathers before it hands on.
 BLOCK = 3 << 20
 HELD = 4 << 20
+#: Grams whose nodes are held together, and grams scored together.
+STRETCH = 1 << 15
 #: Counts and places of counts in the base score.
 ALPHA = 0.1
 
@@ -263,6 +265,41 @@ def build_nodes(grams: np.ndarray, counts: np.ndarray, depth: int, least: int, b
     return out, *child
 
 
+def stretches(keys: np.ndarray, depth: int, most: int) -> np.ndarray:
+    """Bounds of stretches of sorted keys that hold whole contexts of ``depth`` bytes: ``most`` keys at most, or one context."""
+    head = keys >> U(8 * (DEPTH + 1 - depth))
+    cuts = np.append(np.flatnonzero(np.diff(head, prepend=~head[:1])), len(keys))
+    bounds = [0]
+    while bounds[-1] < len(keys):
+        at = np.searchsorted(cuts, bounds[-1] + most, "right") - 1
+        bounds.append(int(cuts[at] if cuts[at] > bounds[-1] else cuts[at + 1]))
+    return np.array(bounds if len(keys) else [0, 0])
+
+
+def shortened(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of ``depth`` bytes of context, in order, and their counts."""
+    return merged([((keys >> U(8)) >> U(8 * (DEPTH - depth))) << U(8) | (keys & U(255))], [counts])
+
+
+def handed_up(keys: np.ndarray, counts: np.ndarray, least: int, most: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
+    """What ``build_nodes`` hands up from contexts of ``DEPTH`` to ``least`` bytes, of which a stretch at a time is built.
+
+    A context with more grams than a stretch holds is built from those that are
+    one byte longer, which are divided alike.
+    """
+    up, logs = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    bounds = stretches(keys, least, most)
+    for a, b in zip(bounds, bounds[1:]):
+        k, c = keys[a:b], counts[a:b]
+        if b - a <= most or least == DEPTH:
+            _, u, x = build_nodes(k, c, DEPTH, least)
+        else:
+            _, u, x = build_nodes(*shortened(k, c, least), least, least, handed_up(k, c, least + 1, most))
+        up.append(u)
+        logs.append(x)
+    return merged(up, logs)
+
+
 def _node_table(kind: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.Table:
     zeros = np.zeros(len(keys))
     values = [zeros if x is None else x.astype(np.float64) for x in (a, b)]
@@ -285,7 +322,7 @@ def build_tree(texts: DataFrame, parts: int, most_grams: int = MOST_GRAMS) -> tu
 
     Returns the counted grams of each of ``parts``, a written table; the nodes
     above them, of contexts shorter than ``TOP`` bytes (at most 256 to the power
-    ``TOP`` at any size of the corpus), as keys, estimates and weights; and the
+    ``TOP`` at any size of the corpus), as keys in order, estimates and weights; and the
     step of counts from which on a gram is one of the ``most_grams`` most
     frequent, all of the last step or none.  Subtrees below ``TOP`` bytes are
     built apart, in as many tasks as ``parts``; what is above them by their last
@@ -295,10 +332,9 @@ def build_tree(texts: DataFrame, parts: int, most_grams: int = MOST_GRAMS) -> tu
 
     def subtrees(table: pa.Table) -> pa.Table:
         keys, counts = gathered([x.as_py() for x in table.column("grams")])
-        _, up, logs = build_nodes(keys, counts, DEPTH, TOP)
+        up, logs = handed_up(keys, counts, TOP)
         # nodes of TOP bytes hand their logs on; the counts of shorter contexts too
-        short = ((keys >> U(8)) >> U(8 * (DEPTH - TOP + 1))) << U(8) | (keys & U(255))
-        k, c = merged([short], [counts])
+        k, c = shortened(keys, counts, TOP - 1)
         step, n = np.unique(steps_of(counts), return_counts=True)
         return pa.concat_tables([_node_table(1, up, logs), _node_table(2, k, c), _node_table(3, step.view(np.uint64), n)])
 
@@ -323,7 +359,9 @@ def build_tree(texts: DataFrame, parts: int, most_grams: int = MOST_GRAMS) -> tu
     key = key.view(np.uint64)
     nodes, _, _ = build_nodes(key[kind == 2], a[kind == 2], 0, 0, (key[kind == 1], a[kind == 1]))
     shorter = pa.concat_tables([middle.where("kind = 0").select("key", "a", "b").toArrow(), *(_node_table(0, *x[:3]).select(["key", "a", "b"]) for x in nodes)])
-    above = shorter.column("key").to_numpy().view(np.uint64), shorter.column("a").to_numpy(), shorter.column("b").to_numpy()
+    key, odds, w = (shorter.column(x).to_numpy() for x in ("key", "a", "b"))
+    order = np.argsort(key.view(np.uint64))
+    above = key.view(np.uint64)[order], odds[order], w[order]
     taken, least = 0, 1 << 40
     for r in sums.where("kind = 3").orderBy(F.desc("key")).collect():
         taken += r["a"]
@@ -387,20 +425,52 @@ def hash_table(keys: np.ndarray, values: np.ndarray) -> dict:
     return {"bits": bits, "keys": table, "value": value}
 
 
-def part_model(keys: np.ndarray, counts: np.ndarray, above: tuple[np.ndarray, ...], asked: np.ndarray, least: float = 0.0) -> dict:
+def part_model(keys: np.ndarray, counts: np.ndarray, above: tuple[np.ndarray, ...], asked: np.ndarray, least: float = 0.0, depth: int = TOP) -> dict:
     """A hash table of the nodes of a part and of their ancestors: key and mixed log-odds of a one.
 
-    ``keys`` and ``counts`` are all grams of the part, ``above`` the nodes of
-    contexts shorter than ``TOP`` bytes; of those just above the part only the
-    ancestors of ``keys`` and of the grams ``asked`` are taken.
+    ``keys`` and ``counts`` are all grams of whole contexts of ``depth`` bytes,
+    ``above`` the nodes of shorter contexts in order; of those the ones between
+    the first and the last ancestors of ``keys`` and of the grams ``asked`` are
+    taken.
     """
-    heads = np.unique(np.concatenate([keys, asked]) >> U(8 * (DEPTH + 2 - TOP)))
-    near = ((above[0] >> U(56)) < U(TOP - 1)) | np.isin((above[0] >> U(8)) & U((1 << 48) - 1), heads)
-    nodes, _, _ = build_nodes(keys, counts, DEPTH, TOP)
+    ends = np.concatenate([x[[0, -1]] for x in (keys, asked) if len(x)] or [keys])
+    near = [np.zeros(0, np.int64)]
+    for d in range(depth):
+        context = ends >> U(8 * (DEPTH + 1 - d))
+        if len(context):
+            near.append(np.arange(*np.searchsorted(above[0], [node_key(d, context.min(), U(0)), node_key(d, context.max() + U(1), U(0))])))
+    near = np.concatenate(near)
+    nodes, _, _ = build_nodes(keys, counts, DEPTH, depth)
     key, odds, w = (np.concatenate(x) for x in zip([x[near] for x in above], *([x[n >= least] for x in (k, o, w)] for k, o, w, n in nodes), strict=True))
     return hash_table(key, mixtures(key, odds, w))
 
 
+def part_logs(keys: np.ndarray, counts: np.ndarray, above: tuple[np.ndarray, ...], asked: np.ndarray, depth: int = TOP, most: int = STRETCH) -> np.ndarray:
+    """log10 of the grams ``asked`` (sorted) from the grams of a part, of whose nodes a stretch at a time is held.
+
+    A context with more grams than a stretch holds is divided by those that are
+    one byte longer, its own nodes then being ``above`` them.
+    """
+    logs = np.empty(len(asked))
+    bounds = stretches(keys, depth, most)
+    first = keys[bounds[1:-1]] >> U(8 * (DEPTH + 1 - depth)) << U(8 * (DEPTH + 1 - depth))
+    own = np.concatenate([[0], np.searchsorted(asked, first), [len(asked)]])
+    for a, b, low, high in zip(bounds, [*bounds[1:-1], len(keys)], own, own[1:]):
+        k, c, these = keys[a:b], counts[a:b], asked[low:high]
+        if not len(these):
+            continue
+        if b - a <= most or depth == DEPTH:
+            model = part_model(k, c, above, these, depth=depth)
+            for i in range(low, high, STRETCH):
+                logs[i : min(i + STRETCH, high)] = log10_of(model, asked[i : min(i + STRETCH, high)])
+        else:
+            nodes, _, _ = build_nodes(*shortened(k, c, depth), depth, depth, handed_up(k, c, depth + 1, most))
+            more = [np.concatenate(x) for x in zip(above, *(x[:3] for x in nodes), strict=True)]
+            order = np.argsort(more[0])
+            logs[low:high] = part_logs(k, c, tuple(x[order] for x in more), these, depth + 1, most)
+    return logs
+
+
 def find(model: dict, keys: np.ndarray) -> np.ndarray:
     """Slot of each key, or -1."""
     table, size = model["keys"], 1 << model["bits"]
@@ -448,7 +518,7 @@ def frequent_logs(grams: DataFrame, parts: int, above, least: int) -> dict:
     def run(table: pa.Table) -> pa.Table:
         keys, counts = gathered([x.as_py() for x in table.column("grams")])
         asked = keys[steps_of(counts) >= least]
-        logs = log10_of(part_model(keys, counts, above.value, asked), asked)
+        logs = part_logs(keys, counts, above.value, asked)
         return pa.table({"gram": asked.view(np.int64), "log": logs})
 
     got = grams.repartition(parts, "part").groupBy("part").applyInArrow(run, "gram long, log double").toArrow()
@@ -483,7 +553,7 @@ def open_scores(scored: DataFrame, grams: DataFrame, parts: int, above) -> DataF
         if len(waiting):
             asked = np.unique(np.concatenate([np.unique(unpack(rows[i].as_py(), 2)[0]) for i in waiting]))
             keys, counts = gathered([rows[i].as_py() for i in np.flatnonzero(~asking)])
-            logs = log10_of(part_model(keys, counts, above.value, asked), asked)
+            logs = part_logs(keys, counts, above.value, asked)
             for i in waiting:
                 k, doc, n = unpack(rows[i].as_py(), 2)
                 doc, back = np.unique(doc, return_inverse=True)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -169,6 +170,41 @@ def test_ctw_equals_brute_force(spark):
     assert ctw.log10_of(model, probe) == pytest.approx([log10(int(g)) for g in probe], rel=1e-6)
 
 
+def test_ctw_holds_a_stretch_of_nodes_at_a_time():
+    """A part's scores and what it hands up are those of its whole tree, with a fraction of its memory, also where one context has most of the grams."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) + "the" for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, 300)).encode() for _ in range(40)]
+    keys = np.sort(ctw.stream(texts)[0])
+    start = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    keys, counts = keys[start], np.diff(start, append=len(keys)).astype(np.uint64)
+    nodes, _, _ = ctw.build_nodes(*ctw.shortened(keys, counts, ctw.TOP - 1), ctw.TOP - 1, 0, ctw.handed_up(keys, counts, ctw.TOP))
+    above = [np.concatenate(x) for x in zip(*(n[:3] for n in nodes))]
+    order = np.argsort(above[0])
+    above = tuple(x[order] for x in above)
+    asked = np.unique(np.concatenate([keys, keys[::5] ^ ctw.U(5), keys[::5] ^ ctw.U(1 << 8), keys[::5] ^ ctw.U(1 << 20)]))
+
+    def peak(f):
+        tracemalloc.start()
+        got = f()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got, most
+
+    whole, large = peak(lambda: ctw.log10_of(ctw.part_model(keys, counts, above, asked), asked))
+    _, up, logs = ctw.build_nodes(keys, counts, ctw.DEPTH, ctw.TOP)
+    for most in (200, 1000):
+        got, small = peak(lambda: ctw.part_logs(keys, counts, above, asked, most=most))
+        assert got == pytest.approx(whole, rel=1e-9)
+        assert small < large / 2
+        k, x = ctw.handed_up(keys, counts, ctw.TOP, most)
+        assert np.array_equal(k, up) and x == pytest.approx(logs, rel=1e-9)
+    assert max(np.unique(keys >> ctw.U(32), return_counts=True)[1]) > 200
+    none = keys[:0]
+    assert len(ctw.part_logs(keys, counts, above, none)) == 0
+    assert ctw.part_logs(none, counts[:0], above, asked) == pytest.approx(ctw.log10_of(ctw.part_model(none, counts[:0], above, asked), asked))
+
+
 def test_ctw_stays_finite():
     """Contexts with very many equal visits: what never came after them stays possible."""
     grams = np.array([ctw.stream([b"aaaaaa"])[0][-2], ctw.stream([b"bbbbbb"])[0][-2]])
