@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, small_or_shuffled, stage, text_or_empty, whole_row
+from .common import drop_staged, read_table, small_or_shuffled, stage, text_or_empty, whole_row
 from .graph import components
 
 WIDTH = 5
@@ -116,7 +116,9 @@ def lists(classes: DataFrame) -> DataFrame:
     listed = F.concat(F.when(F.col("pure") >= PURE, F.slice("held", 1, LISTED)).otherwise(none), F.slice(F.array_except("near", "held"), 1, LISTED))
     rows = stage(both.select("row", "n", "pure", F.explode(listed).alias("value")), "nd-values")
     shared = stage(rows.groupBy("value").agg(F.count("*").alias("f"), F.max(F.struct("pure", -F.col("n"), "row"))["row"].alias("centre")).where("f > 1"), "nd-lists")
-    return stage(rows.join(shared, "value").drop("pure"), "nd-members")
+    members = stage(rows.join(shared, "value").drop("pure"), "nd-members")
+    drop_staged(frequent, held, rows, shared)
+    return members
 
 
 def enough(n: str, m: str) -> F.Column:
@@ -233,7 +235,9 @@ def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
     wanted = stage(classes.select("row", "key1", "key2").join(ids, "row"), "nd-wanted")
     texts = keyed_texts(docs).drop("doc_id").join(small_or_shuffled(wanted, MOST_BROADCAST), ["key1", "key2"])
-    return stage(texts.select("row", "nd_text").mapInArrow(run, "row long, set array<long>").dropDuplicates(["row"]), "nd-sets")
+    sets = stage(texts.select("row", "nd_text").mapInArrow(run, "row long, set array<long>").dropDuplicates(["row"]), "nd-sets")
+    drop_staged(wanted)
+    return sets
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -265,25 +269,33 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("other"), copies("f")).cast("int"))
     s = sets.join(ends, "row").select(F.col("row").alias("hub"), F.explode(F.sequence(F.lit(0), copies("f") - 1)).alias("copy"), F.col("set").alias("s"))
     t = sets.select(F.col("row").alias("other"), F.col("set").alias("t"))
-    return stage(dealt.join(s, ["hub", "copy"]).join(t, "other").select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "nd-links")
+    links = stage(dealt.join(s, ["hub", "copy"]).join(t, "other").select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "nd-links")
+    drop_staged(ends, sets)
+    return links
 
 
 def open_pairs(members: DataFrame, linked: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Likely pairs of list members that no links found so far connect, but for those with the list's centre."""
-    label = stage(components(linked), "nd-labels")
+    stars = components(linked)
+    label = stage(stars, "nd-labels")
+    drop_staged(stars)
     named = members.where("row <> centre").join(label.select(F.col("node").alias("row"), F.col("root").alias("part")), "row", "left").withColumn("part", F.coalesce("part", "row"))
     core = label.select(F.col("node").alias("centre"), F.col("root").alias("core"))
     state = named.join(core, "centre", "left").withColumn("done", F.coalesce(F.col("part") == F.col("core"), F.lit(False)))
-    state = stage(state.select("value", "f", "row", "n", "part", "done"), "nd-open")
-    open_lists = stage(state.where("not done").select("value").distinct(), "nd-open-lists")
-    state = state.join(open_lists, "value")
+    every = stage(state.select("value", "f", "row", "n", "part", "done"), "nd-open")
+    open_lists = stage(every.where("not done").select("value").distinct(), "nd-open-lists")
+    state = every.join(open_lists, "value")
     short = state.where(F.col("f") <= LONG)
     p = short.where("not done").select("value", F.col("row").alias("x"), F.col("n").alias("xn"), F.col("part").alias("xp"))
     q = short.select("value", F.col("row").alias("y"), F.col("n").alias("yn"), F.col("part").alias("yp"), "done")
     close = p.join(q, "value").where("xp <> yp and (done or x < y)").where(enough("xn", "yn"))
-    pairs = likely(stage(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "nd-short"), classes)
+    short = stage(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "nd-short")
     rows = state.where(F.col("f") > LONG).groupBy("row").agg(F.first("n").alias("n"), F.first("part").alias("part"), F.max(~F.col("done")).alias("open"))
-    return stage(pairs.unionByName(prefix_pairs(stage(rows, "nd-long"), classes, docs)).distinct(), "nd-open-pairs")
+    long = stage(rows, "nd-long")
+    by_prefix = prefix_pairs(long, classes, docs)
+    pairs = stage(likely(short, classes).unionByName(by_prefix).distinct(), "nd-open-pairs")
+    drop_staged(label, every, open_lists, short, long, by_prefix)
+    return pairs
 
 
 def prefixes(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -317,11 +329,12 @@ def prefix_pairs(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
     x = placed.where(F.col("f") <= LONG).select("value", "row", "n", "part", "open", "index")
     y = x.select("value", *(F.col(c).alias(f"{c}_") for c in ("row", "n", "part", "open", "index")))
     short = x.where("index").join(y, "value").where("row <> row_ and part <> part_ and (open or open_) and n <= n_").where(enough("n", "n_"))
-    short = likely(stage(short.select(F.least("row", "row_").alias("a"), F.greatest("row", "row_").alias("b")).distinct(), "nd-short"), classes)
+    short = stage(short.select(F.least("row", "row_").alias("a"), F.greatest("row", "row_").alias("b")).distinct(), "nd-short")
 
     long = placed.where(F.col("f") > LONG)
     names = long.groupBy("row").agg(F.sort_array(F.collect_list("value")).alias("probes"), F.sort_array(F.collect_list(F.when(F.col("index"), F.col("value")))).alias("indexes"))
-    sized = long.join(stage(names, "nd-listed"), "row").join(sets.select("row", F.slice("set", 1, WIDE).alias("wide")), "row")
+    named = stage(names, "nd-listed")
+    sized = long.join(named, "row").join(sets.select("row", F.slice("set", 1, WIDE).alias("wide")), "row")
     salt, blocks = F.pmod(F.xxhash64("row"), F.lit(1 << 20)), lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
 
     def side(task: int, left: bool, which: str, own: str, others: str, once, listed_: str) -> DataFrame:
@@ -341,7 +354,9 @@ def prefix_pairs(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
         a, b = block_pairs(table.column("value")[0].as_py(), *arrays, sketch, padded([x.values.to_numpy() for x in table.column("listed")], many))
         return pa.table({"a": a, "b": b})
 
-    return short.unionByName(met.groupBy("value", "task", "i", "j").applyInArrow(run, "a long, b long"))
+    pairs = stage(likely(short, classes).unionByName(met.groupBy("value", "task", "i", "j").applyInArrow(run, "a long, b long")), "nd-prefix-pairs")
+    drop_staged(sets, listed, lists_, short, named)
+    return pairs
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -360,15 +375,20 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pair = [F.least("row", "centre").alias("a"), F.greatest("row", "centre").alias("b")]
     centres = members.select(F.col("centre")).distinct().join(classes.select(F.col("row").alias("centre"), F.col("n").alias("cn")), "centre")
     star = stage(members.where("row <> centre").select(*pair, "n", "centre").distinct().join(centres, "centre").where(enough("n", "cn")).select("a", "b").distinct(), "nd-star")
-    linked = verified(stage(likely(star, classes), "nd-likely"), classes, docs)
-    rest = open_pairs(members, linked, classes, docs).join(star, ["a", "b"], "left_anti")
-    more = verified(stage(rest, "nd-rest"), classes, docs)
-    root = components(linked.unionByName(more)).select(F.col("node").alias("class"), "root")
-    rooted = groups.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    close = stage(likely(star, classes), "nd-likely")
+    linked = verified(close, classes, docs)
+    opened = open_pairs(members, linked, classes, docs)
+    rest = stage(opened.join(star, ["a", "b"], "left_anti"), "nd-rest")
+    drop_staged(members, star, close, opened)
+    more = verified(rest, classes, docs)
+    drop_staged(classes, rest)
+    stars = components(linked.unionByName(more))
+    rooted = groups.join(stars.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     rooted = stage(rooted.select(*sig, "root", "least", "best", "copies"), "nd-rooted")
     least = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("best").alias("best")), "nd-least")
     named = stage(rooted.drop("best").join(least, "root").select(*sig, "component_id", "best", "copies"), "nd-named")
-    plain = rows.select("doc_id", "key1", "key2", F.col("n").alias("n_shingles"), *sig)
+    plain = stage(rows.select("doc_id", "key1", "key2", F.col("n").alias("n_shingles"), *sig), "nd-plain")
+    drop_staged(rows, groups, linked, more, stars, rooted, least)
     return plain.where("n_shingles > 0").join(named, sig).drop(*sig), plain.where("n_shingles = 0").drop(*sig)
 
 
@@ -399,6 +419,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     best = (F.col("key1") == F.col("best.key1")) & (F.col("key2") == F.col("best.key2"))
     marked = full.withColumn("nd_best", best).where("not nd_best or copies > 1").groupBy(F.col("key1").alias("nd_key1"), F.col("key2").alias("nd_key2"))
     marked = stage(marked.agg(F.min("nd_best").alias("nd_best"), F.count("*").alias("n")).where("not nd_best or n > 1").drop("n"), "nd-marked")
+    drop_staged(full)
     keys, text = ["nd_key1", "nd_key2"], text_or_empty().cast("string")
     keyed = docs.select(whole_row(docs, "nd_row"), F.xxhash64("doc_id", text).alias("nd_key1"), F.xxhash64(F.lit(7), text, "doc_id").alias("nd_key2"))
     kept = keyed.join(small_or_shuffled(marked.select(*keys), MOST_BROADCAST), keys, "left_anti").select("nd_row")

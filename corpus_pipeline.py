@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accesslens.llm.bpe import encode
-from accesslens.llm.common import read_table, stage
+from accesslens.llm.common import drop_staged, read_table, stage
 from accesslens.llm.mixing import mixed_documents
 from accesslens.llm.neardup import deduplicated
 from accesslens.llm.pii import redacted
@@ -64,8 +64,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read by the next."""
     docs = read_table(spark, sf_dir, "documents")
-    for i, (name, function) in enumerate(STAGES):
-        docs = function(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stage(docs, f"pipeline-{name}")
-    return docs
+    for i, (name, function) in enumerate(STAGES[:-1]):
+        done = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        if i:
+            drop_staged(docs)
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,7 @@
 """Near duplicates of texts and vectors, components, and the pipeline: against brute force."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -141,6 +142,20 @@ def test_deduplicated_keeps_one_row(spark):
     assert sorted(got, key=str) == sorted([(3, ["a"]), (None, ["q"]), (7, []), (7, []), (4, ["w0"]), (None, ["g"])], key=str)
 
 
+def test_near_duplicates_leave_only_what_results_read(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    rng = random.Random(4)
+    words = [[f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(12)]
+    texts = [" ".join(w[: 60 - i]) for w in words for i in (0, 1, 2)] + [None, "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = {p.name for p in shared.iterdir()}
+    for function, rows in ((neardup.near_duplicates, 38), (neardup.deduplicated, 14)):
+        found = function(docs)
+        left = {p.name for p in shared.iterdir()} - before
+        assert left == {Path(f).parent.name for f in found.inputFiles()} and found.count() == rows
+        before |= left
+
+
 def test_estimates():
     rng = np.random.default_rng(0)
     pool = rng.choice(1 << 40, 5000, replace=False)
