@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carried, read_table, stage, text_or_empty
+from .common import Carried, give_back, read_table, stage, text_or_empty
 
 #: Words are compiled if they make at least this share of all; so there are at most as many as its inverse.
 LEAST_SHARE = 1 / (1 << 20)
@@ -34,7 +34,7 @@ HELD, HELD_BYTES = 200_000, 32 << 20
 #: Bytes of words that a worker remembers, with what each costs, before it forgets them all.
 REMEMBERED, COST = 160 << 20, 400
 #: Characters of text that are encoded together.
-GROUP = 2_000_000
+GROUP = 1_000_000
 
 COUNTED = "word binary, n long"
 #: What is surely white space, what one of two definitions alone takes for it, and what single spaces and line ends are not.
@@ -89,7 +89,7 @@ class Vocabulary:
         for t, i in self.special.items():
             self.bytes[i] = t.encode()
         self.name = [str(i) for i in range(size)]
-        self.cut = Tokenizer.from_str(spec).pre_tokenizer
+        self.cut = Tokenizer.from_str(json.dumps(data | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None})).pre_tokenizer  # its own vocabulary is not needed
         self.byte = byte
 
     @staticmethod
@@ -323,13 +323,14 @@ class Lexicon:
 class Encoder:
     """Encodes and decodes words, through the lexicon or exact merges; remembers a bounded number of them.
 
-    Of each remembered word it holds the ids, as text, and what they decode to.
+    Of each remembered word it holds the ids, as text, and what they decode to,
+    which is the word itself if it is equal.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        self.vocabulary, self.lexicon = vocabulary, lexicon
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, remembered: int = REMEMBERED):
+        self.vocabulary, self.lexicon, self.remembered = vocabulary, lexicon, remembered
         self.ids: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
+        self.decoded: dict[str, str] = {}
         self.held = 0
 
     def forget(self) -> None:
@@ -341,7 +342,7 @@ class Encoder:
         """Make room if need be, and look up what is not remembered: the lexicon first, exact merges for the rest."""
         new = list(words - self.ids.keys())
         more = sum(map(len, new)) * 6 + len(new) * COST
-        if self.held and self.held + more > REMEMBERED:
+        if self.held and self.held + more > self.remembered:
             self.forget()
             new = list(words)
             more = sum(map(len, new)) * 6 + len(new) * COST
@@ -353,7 +354,8 @@ class Encoder:
         name, raw = self.vocabulary.name.__getitem__, self.vocabulary.bytes.__getitem__
         for w, ids in zip(new, found, strict=True):
             self.ids[w] = ",".join(map(name, ids))
-            self.decoded[w] = b"".join(map(raw, ids))
+            text = b"".join(map(raw, ids)).decode("utf-8", "replace")
+            self.decoded[w] = w if text == w else text
 
     def parts(self, text: str) -> list[str]:
         """Words of a text, and special tokens."""
@@ -374,9 +376,9 @@ class Encoder:
         special = self.vocabulary.special
         self.learn({w for w in words if w not in special} if any(s in words for s in special) else words)
         for s in special:
-            self.ids[s], self.decoded[s] = self.vocabulary.name[special[s]], s.encode()
+            self.ids[s], self.decoded[s] = self.vocabulary.name[special[s]], s
         ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
-        return [(",".join(map(ids, x)), b"".join(map(decoded, x))) for x in cut]
+        return [(",".join(map(ids, x)), "".join(map(decoded, x)).encode()) for x in cut]
 
 
 def groups(texts) -> Iterator[list[str]]:
@@ -417,6 +419,7 @@ def count_corpus_words(texts: DataFrame) -> DataFrame:
                     size = 0
         if held:
             yield flush()
+        give_back()
 
     return texts.mapInArrow(count, COUNTED).groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -424,12 +427,13 @@ def count_corpus_words(texts: DataFrame) -> DataFrame:
 _WORKERS: dict[bytes, Encoder] = {}
 
 
-def _encoder(spec: str, lexicon: bytes) -> Encoder:
-    """One encoder a worker process, for as long as vocabulary and lexicon are the same."""
-    key = hashlib.sha256(spec.encode() + lexicon).digest()
+def _encoder(spec: str, lexicon: bytes, remembered: int = REMEMBERED) -> Encoder:
+    """One encoder a worker process, for as long as vocabulary, lexicon and bound are the same."""
+    key = hashlib.sha256(b"%d " % remembered + spec.encode() + lexicon).digest()
     if key not in _WORKERS:
         _WORKERS.clear()
-        _WORKERS[key] = Encoder(Vocabulary(spec), Lexicon(lexicon))
+        _WORKERS[key] = Encoder(Vocabulary(spec), Lexicon(lexicon), remembered)
+        give_back()  # what reading the vocabulary took
     return _WORKERS[key]
 
 
@@ -447,7 +451,7 @@ def compile_lexicon(docs: DataFrame, vocabulary: Vocabulary, least_share: float
     return build_lexicon([(w.encode(), ids) for w, ids in zip(words, vocabulary.word_ids(words), strict=True)])
 
 
-def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, with_ids: bool = False, least_share: float = LEAST_SHARE) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, with_ids: bool = False, least_share: float = LEAST_SHARE, remembered: int = REMEMBERED) -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of the whole text (and ``ids``).
 
     ``tokenizer`` is the path of a byte-level tokenizer file; the driver reads it
@@ -456,8 +460,8 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, with_
     empty string.  ``keep`` names the columns to carry along (all, if not given);
     columns named like the results are replaced, any other name is the user's.
     Repeated rows are encoded alike; empty tables give empty results.  A worker
-    holds a batch of rows, the ids of a group of texts and a bounded number of
-    bytes of words.
+    holds a batch of rows, the ids of a group of texts and words up to
+    ``remembered`` bytes; with fewer, words are merged more often.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
@@ -468,7 +472,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, with_
     shared = spark.sparkContext.broadcast(spec)
 
     def run(batches):
-        enc = _encoder(shared.value, lexicon.value)
+        enc = _encoder(shared.value, lexicon.value, remembered)
         gc.disable()  # ids and words refer to nothing: there are no cycles to look for
         for batch in batches:
             texts, start = batch.column("bpe_text"), 0
@@ -486,6 +490,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, with_
                 yield pa.RecordBatch.from_arrays([rows.column("carried"), *more], ["carried", *names])
         enc.forget()
         gc.enable()
+        give_back()
 
     kinds = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>"] if with_ids else [])]
     rows = docs.select(carried.column, text_or_empty().cast("string").alias("bpe_text"))

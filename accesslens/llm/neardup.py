@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, read_table, small_or_shuffled, stage, text_or_empty, whole_row
+from .common import drop_staged, give_back, read_table, small_or_shuffled, stage, text_or_empty, whole_row
 from .graph import components
 
 WIDTH = 5
@@ -90,6 +90,7 @@ def sketches(keyed: DataFrame) -> DataFrame:
                 [*(batch.column(c) for c in ("row", "doc_id", "key1", "key2")), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 ["row", "doc_id", "key1", "key2", "n", "sig1", "sig2", "sketch"],
             )
+        give_back()
 
     return stage(keyed.mapInArrow(run, SKETCHES), "nd-sketches")
 
@@ -172,6 +173,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 if possible(x, sn[i], padded([y]), tn[i : i + 1], np.array([common]))[0]:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        give_back()
 
     s = classes.select(F.col("row").alias("a"), F.col("sketch").alias("s"), F.col("n").alias("sn"))
     t = classes.select(F.col("row").alias("b"), F.col("sketch").alias("t"), F.col("n").alias("tn"))
@@ -232,6 +234,7 @@ def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(x.as_py()) for x in batch.column("nd_text")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["row", "set"])
+        give_back()
 
     wanted = stage(classes.select("row", "key1", "key2").join(ids, "row"), "nd-wanted")
     texts = keyed_texts(docs).drop("doc_id").join(small_or_shuffled(wanted, MOST_BROADCAST), ["key1", "key2"])
@@ -258,6 +261,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
                 if 100 * both >= LEAST_PERCENT * (len(s) + len(t) - both):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        give_back()
 
     ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("f")), "nd-ends")
     sets = sets_of(ends.select("row"), classes, docs)

@@ -41,12 +41,16 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
+#: Bytes of words that a worker remembers while it encodes: memory is short after four stages, time is not.
+REMEMBERED = 48 << 20
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document of the mix with its token ids; of the text, digests of ids and of the decoded text stay."""
     import public_tokenizers
 
     keep = [c for c in docs.columns if c != "text"]
-    return encode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=keep, with_ids=True)
+    return encode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=keep, with_ids=True, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -1,7 +1,10 @@
 """BPE, language model, WARC, HTML: round trips, the tokenizers library, held-out texts, cases."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import tracemalloc
 import zlib
 
@@ -84,6 +87,35 @@ def test_a_million_letters(vocabulary, tokenizer):
     assert len(enc.ids) == 3 and enc.held < 10_000  # all else is forgotten; the special token stays known
 
 
+WORKER = """
+import random, re, sys
+import pyarrow as pa
+from accesslens.llm import bpe
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+rng = random.Random(3)
+texts = pa.array([" ".join("".join(rng.choices("etaoinshr", k=8)) for _ in range(1000)) for _ in range(330)])
+with open(sys.argv[1], encoding="utf-8") as f:
+    spec = f.read()
+start = held()
+enc = bpe._encoder(spec, bpe.build_lexicon([]))
+peak = held() - start
+for group in bpe.groups(texts):
+    enc.encode(group)
+    peak = max(peak, held() - start)
+print(peak)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read here")
+def test_memory_of_an_encoding_worker():
+    """Vocabulary, words and groups of a worker stay small over 330,000 distinct words; they took 130 MB, and take 75."""
+    code = subprocess.run([sys.executable, "-c", WORKER, PATH], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    assert float(code.stdout) < 100
+
+
 def test_unsupported_tokenizers():
     import json
 
