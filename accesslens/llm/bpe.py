@@ -33,8 +33,8 @@ LEAST_SHARE = 1 / (1 << 20)
 HELD, HELD_BYTES = 200_000, 32 << 20
 #: Bytes of words that a worker remembers, with what each costs, before it forgets them all.
 REMEMBERED, COST = 160 << 20, 400
-#: Characters of text that are encoded together.
-GROUP = 1_000_000
+#: Characters of text that are encoded together, and new words that are looked up together.
+GROUP, TOGETHER = 1_000_000, 1 << 13
 
 COUNTED = "word binary, n long"
 #: What is surely white space, what one of two definitions alone takes for it, and what single spaces and line ends are not.
@@ -42,13 +42,14 @@ SURE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 UNSURE = "\x1c-\x1f\u180e\u200b\ufeff"
 ODD = ("  ", " \n", "\n ", "\n\n", "\0", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 BORDER = re.compile(f"(?<=[^{SURE}{UNSURE}])(?=[{SURE}])")
-#: Words whose pieces are plain: Latin letters, maybe after a space, and full stops or commas after them.
-PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]*)")
+#: Letters and symbols (neither letters, numbers nor white space to the tokenizer) of plain words, and the pieces it cuts these into.
+LETTERS, SYMBOLS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-/:-@\\[-`{-~\u2010-\u2027"
+PLAIN = re.compile(f"[ \n][{LETTERS}0-9{SYMBOLS}]+")
+PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[{SYMBOLS}]+|\n")
 HEADER = 4
-#: Cells of pieces that merge together; bytes beyond which a piece merges alone; the rank of pairs that never do.
+#: Cells of pieces that merge together; bytes beyond which a piece merges alone, and bits of a place in one that does not.
 CELLS = 1 << 17
-LONG = 64
-NEVER = np.int32(2**31 - 1)
+LONG, PLACE = 64, 6
 
 
 def byte_letters() -> list[str]:
@@ -62,6 +63,50 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def take(flat: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The named rows of ragged rows, one after the other; row ``i`` has ``counts[i]`` of the flat values."""
+    own = counts[rows]
+    ends = np.cumsum(own)
+    shift = (np.cumsum(counts) - counts)[rows] - (ends - own)
+    return flat[np.repeat(shift, own) + np.arange(own.sum())]
+
+
+def sizes(rows: list) -> np.ndarray:
+    return np.fromiter(map(len, rows), np.int64, len(rows))
+
+
+class Table:
+    """Places of distinct keys, looked up many at a time: open addressing, a quarter full at most."""
+
+    def __init__(self, keys: np.ndarray):
+        self.size = len(keys)
+        self.keys = np.append(keys.astype(np.int64), np.iinfo(np.int64).min)  # the last one is no key: free slots name it
+        bits = max(4, (4 * self.size).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, self.size, np.int32)
+        at, left = self.slot(self.keys), np.arange(self.size)
+        while len(left):
+            free = left[self.slots[at[left]] == self.size]
+            self.slots[at[free]] = free
+            left = left[self.slots[at[left]] != left]
+            at[left] = (at[left] + 1) & self.mask
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key (64 bits); ``size`` for others."""
+        at = self.slot(keys)
+        found = self.slots[at]
+        open_ = np.flatnonzero((self.keys[found] != keys) & (found < self.size))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            next_ = self.slots[at[open_]]
+            found[open_] = next_
+            open_ = open_[(self.keys[next_] != keys[open_]) & (next_ < self.size)]
+        return found
+
+
 class Vocabulary:
     """Merges and ids of a byte-level tokenizer file."""
 
@@ -76,10 +121,15 @@ class Vocabulary:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in data["model"]["merges"]]
         self.id = {raw(t): i for t, i in data["model"]["vocab"].items()}
         merges = sorted((self.id[raw(a)] << 32 | self.id[raw(b)], r) for r, (a, b) in enumerate(pairs))
-        self.pair, self.rank = np.array([k for k, _ in merges], np.int64), np.array([r for _, r in merges], np.int32)
         self.rank_of = dict(merges)
+        self.pair = Table(np.array(list(self.rank_of), np.int64))
+        # ranks leave room for a place in a piece, and those of pairs that never merge have all bits
+        kind = np.int32 if len(pairs) < 1 << 31 - PLACE - 1 else np.int64
+        self.never = np.iinfo(kind).max
+        self.rank = np.array([r << PLACE for r in self.rank_of.values()] + [self.never], kind)
         self.merged = np.array([self.id[raw(a + b)] for a, b in pairs], np.int32)
         self.of_byte = np.array([self.id[bytes([b])] for b in range(256)], np.int32)
+        self.byte_rank = self.ranks(np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256))
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = max([*self.id.values(), *self.special.values()]) + 1
@@ -88,7 +138,9 @@ class Vocabulary:
             self.bytes[i] = t
         for t, i in self.special.items():
             self.bytes[i] = t.encode()
+        self.size = np.array(list(map(len, self.bytes)), np.int64)
         self.name = [str(i) for i in range(size)]
+        self.opening = self.name + [" " + n for n in self.name]
         self.cut = Tokenizer.from_str(json.dumps(data | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None})).pre_tokenizer  # its own vocabulary is not needed
         self.byte = byte
 
@@ -104,77 +156,88 @@ class Vocabulary:
             raise ValueError(f"this tokenizer needs what is not supported: {', '.join(odd)}")
 
     def pieces(self, word: str) -> list[bytes]:
-        """The pieces within which bytes may merge, cut as the tokenizer does.
-
-        Plain words are cut here: letters and marks are one piece each.
-        """
-        m = PLAIN.fullmatch(word)
-        if m:
-            return [m[1].encode(), m[2].encode()] if m[2] else [word.encode()]
+        """The pieces within which bytes may merge, cut as the tokenizer does."""
         return [bytes(map(self.byte.__getitem__, p)) for p, _ in self.cut.pre_tokenize_str(word)]
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Ranks of pairs of ids; ``NEVER``, if they don't merge."""
-        if not len(self.pair):
-            return np.full(left.shape, NEVER, np.int32)
-        key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where((self.pair[at] == key) & (left >= 0) & (right >= 0), self.rank[at], NEVER)
-
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ranks of pairs of ids, moved up by ``PLACE`` bits; ``never``, if they don't merge or one is negative."""
+        return self.rank[self.pair.find(left.astype(np.int64) << 32 | right)]
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Exact byte-pair merges of many pieces: in each, the pair of lowest rank first, the leftmost of equals.
 
-        Pieces of like length go together, so many that their cells are bounded;
-        in each step every row that still has a pair merges one.  Long pieces
-        merge alone.
+        Gives the ids of all pieces, one after the other, and each one's number
+        of ids.  Pieces of like length go together, so many that their cells are
+        bounded; in each step every piece that still has a pair merges one.  Long
+        pieces merge alone.
         """
-        out: list[list[int]] = [[]] * len(pieces)
-        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-        while order and len(pieces[order[-1]]) > LONG:
-            i = order.pop()
-            out[i] = self.merge_long(pieces[i])
-        low = 0
-        while low < len(order):
-            own = order[low : low + CELLS // LONG]
-            low += len(own)
-            size = np.array([len(pieces[i]) for i in own])
-            if not size[-1]:
-                continue
-            width = int(size[-1])
-            ids = np.full((len(own), width + 1), -1, np.int32)
-            ids[np.arange(width + 1) < size[:, None]] = self.of_byte[np.frombuffer(b"".join([pieces[i] for i in own]), np.uint8)]
-            rank = np.full((len(own), width + 1), NEVER, np.int32)
-            rank[:, :-1] = self.ranks(ids[:, :-1], ids[:, 1:])
-            rows = np.arange(len(own))
-            while len(rows):
-                j = rank.argmin(1)
-                best = rank[np.arange(len(rows)), j]
-                open_ = best < NEVER
-                for r in np.flatnonzero(~open_).tolist():
-                    out[own[rows[r]]] = ids[r, : size[rows[r]]].tolist()
-                rows, j, best, ids, rank = rows[open_], j[open_], best[open_], ids[open_], rank[open_]
-                if not len(rows):
-                    break
-                at = np.arange(len(rows))
-                ids[at, j] = self.merged[best]
-                size[rows] -= 1
-                # close the gap: from j + 1 on, cells come from their right; the last column stays a pad
-                last = ids.shape[1] - 1
-                columns = np.arange(last)
-                source = columns + (columns > j[:, None])
-                ids[:, :last], rank[:, :last] = np.take_along_axis(ids, source, 1), np.take_along_axis(rank, source, 1)
-                ids[:, last], rank[:, last] = -1, NEVER
-                rank[at, j] = self.ranks(ids[at, j], ids[at, np.minimum(j + 1, last)])
-                before = np.flatnonzero(j > 0)
-                rank[before, j[before] - 1] = self.ranks(ids[before, j[before] - 1], ids[before, j[before]])
-        return out
+        size = sizes(pieces)
+        order = np.argsort(size, kind="stable")
+        length = size[order]
+        counts, parts = np.zeros(len(pieces), np.int64), []
+        low, long = np.searchsorted(length, [1, LONG + 1]).tolist()
+        while low < long:
+            high = min(long, low + max(1, CELLS // (int(length[low]) + 1)))
+            high = min(high, low + max(1, CELLS // (int(length[high - 1]) + 1)))
+            own = order[low:high]
+            ids, counts[own] = self.merge_rows([pieces[i] for i in own.tolist()], length[low:high])
+            parts.append(ids)
+            low = high
+        for i in order[long:].tolist():
+            parts.append(np.array(self.merge_long(pieces[i]), np.int32))
+            counts[i] = len(parts[-1])
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return take(np.concatenate([np.zeros(0, np.int32), *parts]), counts[order], back), counts
+
+    def merge_rows(self, pieces: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of some pieces of at most ``LONG`` bytes, the longest last.
+
+        Cells lie by place and piece.  A cell has the id of the token that starts
+        there, or -1, the places of the tokens after and before it, and a key: the
+        rank of its pair with the next one, then its place.  The last row is never
+        used, so place -1 may stand for it.
+        """
+        n, width = len(pieces), int(size[-1])
+        inside = np.arange(width + 1) < size[:, None]
+        raw = np.zeros((n, width + 1), np.int32)
+        raw[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        place = np.arange(width + 1)[:, None]
+        ids = np.where(inside, self.of_byte[raw], np.int32(-1)).T.reshape(-1)
+        key = np.full((width + 1, n), self.never, self.rank.dtype)
+        key[:-1] = np.where(inside[:, 1:], self.byte_rank[raw[:, :-1] << 8 | raw[:, 1:]], self.never).T | place[:-1].astype(key.dtype)
+        after = np.repeat((place + 1).astype(np.int8), n)
+        before = np.repeat((place - 1).astype(np.int8), n)
+        cells = key.reshape(-1)
+        while True:
+            best = key.min(0)
+            column = np.flatnonzero(best != self.never)
+            if not len(column):
+                break
+            best = best[column]
+            i = (best & LONG - 1).astype(np.int64)
+            here = i * n + column
+            gone = after[here].astype(np.int64) * n + column
+            k = after[gone].astype(np.int64)
+            right = k * n + column
+            h = before[here].astype(np.int64)
+            left = h * n + column
+            new = self.merged[best >> PLACE]
+            ids[here], ids[gone], cells[gone] = new, -1, self.never
+            after[here], before[right] = k, i
+            rank = self.ranks(np.concatenate([new, ids[left]]), np.concatenate([ids[right], new]))
+            cells[here] = rank[: len(i)] | i
+            cells[left] = rank[len(i) :] | (h & LONG - 1)
+        ids = ids.reshape(width + 1, n).T
+        open_ = ids >= 0
+        return ids[open_], open_.sum(1)
 
     def merge_long(self, piece: bytes) -> list[int]:
         """The merges of one piece, by a heap of pairs and links between its tokens."""
         first = self.of_byte[np.frombuffer(piece, np.uint8)]
         rank = self.ranks(first[:-1], first[1:]).astype(np.int64)
-        at = np.flatnonzero(rank < NEVER)
-        heap = ((rank[at] << 32) | at).tolist()
+        at = np.flatnonzero(rank < self.never)
+        heap = ((rank[at] >> PLACE << 32) | at).tolist()
         heapq.heapify(heap)
         ids, n = first.tolist(), len(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -196,11 +259,33 @@ class Vocabulary:
                 heapq.heappush(heap, s << 32 | h)
         return [x for x in ids if x >= 0]
 
+    def word_tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (or whole texts), one after the other, and each one's number of ids.
+
+        Plain words are cut together, as white space opens each of them; equal
+        pieces merge once.
+        """
+        plain = np.fromiter((PLAIN.fullmatch(w) is not None for w in words), bool, len(words))
+        first, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        own = [words[i] for i in first.tolist()]
+        cut = PIECE.findall("".join(own))
+        ends = np.searchsorted(np.cumsum(sizes(cut)), np.cumsum(sizes(own)), "left") + 1
+        number = {p: i for i, p in enumerate(dict.fromkeys(cut))}
+        other = [self.pieces(words[i]) for i in rest.tolist()]
+        which = np.fromiter(chain(map(number.__getitem__, cut), range(len(number), len(number) + sum(map(len, other)))), np.int64)
+        ids, counts = self.merge([*(p.encode() for p in number), *chain.from_iterable(other)])
+        flat = take(ids, counts, which)
+        sums = np.concatenate([[0], np.cumsum(counts[which])])
+        of_word = np.diff(sums[np.concatenate([ends, len(cut) + np.cumsum(sizes(other))])], prepend=0)
+        back = np.empty(len(words), np.int64)
+        back[np.concatenate([first, rest])] = np.arange(len(words))
+        return take(flat, of_word, back), of_word[back]
+
     def word_ids(self, words: list[str]) -> list[list[int]]:
         """Ids of words (or whole texts)."""
-        cut = [self.pieces(w) for w in words]
-        merged = iter(self.merge([p for pieces in cut for p in pieces]))
-        return [next(merged) if len(pieces) == 1 else [i for _ in pieces for i in next(merged)] for pieces in cut]
+        flat, counts = self.word_tokens(words)
+        ids, ends = flat.tolist(), np.cumsum(counts).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def cut_words(text: str) -> list[str]:
@@ -288,43 +373,42 @@ class Lexicon:
         for size in (n + 1, n, arcs, arcs, arcs, words + 1):
             parts.append(data_[at : at + size])
             at += size
-        first, self.final, label, self.target, self.output, self.offset = parts
-        self.ids = data_[at:]
-        self.arc = np.repeat(np.arange(n, dtype=np.int64), np.diff(first)) << 8 | label  # in order, as states and labels are
+        first, self.final, label, self.target, self.output, offset = parts
+        self.ids, self.counts = data_[at:], np.diff(offset[: words + 1]).astype(np.int64)
+        self.arc = Table(np.repeat(np.arange(n, dtype=np.int64), np.diff(first)) << 8 | label)
 
-    def get(self, words: list[bytes]) -> list[list[int] | None]:
-        """Ids of each word, or None: all words follow their arcs together, a byte at a time."""
-        out: list[list[int] | None] = [None] * len(words)
-        if not len(self.arc) or not words:
-            return out
-        size = np.fromiter(map(len, words), np.int64, len(words))
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, or -1: all words follow their arcs together, a byte at a time."""
+        size = sizes(words)
         start = np.cumsum(size) - size
         raw = np.frombuffer(b"".join(words), np.uint8)
-        alive, state, number = np.flatnonzero(size), np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
-        for i in range(int(size.max())):
-            done = alive[size[alive] == i]
-            for w in done[self.final[state[done]] == 1]:
-                out[w] = self.ids[self.offset[number[w]] : self.offset[number[w] + 1]].tolist()
-            alive = alive[size[alive] > i]
-            if not len(alive):
-                break
-            key = state[alive] << 8 | raw[start[alive] + i]
-            at = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
-            hit = self.arc[at] == key
-            alive, at = alive[hit], at[hit]
-            number[alive] += self.output[at]
-            state[alive] = self.target[at]
-        done = alive[size[alive] == size.max()]
-        for w in done[self.final[state[done]] == 1]:
-            out[w] = self.ids[self.offset[number[w]] : self.offset[number[w] + 1]].tolist()
+        out = np.full(len(words), -1, np.int64)
+        alive = np.flatnonzero(size)
+        state, number, i = np.full(len(alive), self.root, np.int64), np.zeros(len(alive), np.int64), 0
+        while len(alive):
+            at = self.arc.find(state << 8 | raw[start[alive] + i])
+            hit = at < self.arc.size
+            alive, number, at = alive[hit], number[hit], at[hit]
+            number += self.output[at]
+            state = self.target[at].astype(np.int64)
+            i += 1
+            ends = size[alive] == i
+            done = ends & (self.final[state] == 1)
+            out[alive[done]] = number[done]
+            alive, state, number = alive[~ends], state[~ends], number[~ends]
         return out
 
+    def get(self, words: list[bytes]) -> list[list[int] | None]:
+        """Ids of each word, or None."""
+        ends = np.cumsum(self.counts)
+        return [self.ids[ends[i] - self.counts[i] : ends[i]].tolist() if i >= 0 else None for i in self.find(words)]
+
 
 class Encoder:
     """Encodes and decodes words, through the lexicon or exact merges; remembers a bounded number of them.
 
-    Of each remembered word it holds the ids, as text, and what they decode to,
-    which is the word itself if it is equal.
+    Of each remembered word it holds the ids, as text, and what they decode to
+    where that is not the word itself.
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, remembered: int = REMEMBERED):
@@ -340,22 +424,36 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Make room if need be, and look up what is not remembered: the lexicon first, exact merges for the rest."""
-        new = list(words - self.ids.keys())
+        new = list(words.difference(self.ids))
         more = sum(map(len, new)) * 6 + len(new) * COST
         if self.held and self.held + more > self.remembered:
             self.forget()
             new = list(words)
             more = sum(map(len, new)) * 6 + len(new) * COST
         self.held += more
-        found = self.lexicon.get([w.encode() for w in new])
-        unseen = [i for i, ids in enumerate(found) if ids is None]
-        for i, ids in zip(unseen, self.vocabulary.word_ids([new[i] for i in unseen]), strict=True):
-            found[i] = ids
-        name, raw = self.vocabulary.name.__getitem__, self.vocabulary.bytes.__getitem__
-        for w, ids in zip(new, found, strict=True):
-            self.ids[w] = ",".join(map(name, ids))
-            text = b"".join(map(raw, ids)).decode("utf-8", "replace")
-            self.decoded[w] = w if text == w else text
+        for low in range(0, len(new), TOGETHER):
+            self.look_up(new[low : low + TOGETHER])
+
+    def look_up(self, words: list[str]) -> None:
+        """Remember some distinct words."""
+        v, raw = self.vocabulary, [w.encode() for w in words]
+        number = self.lexicon.find(raw)
+        order = np.argsort(number < 0, kind="stable")  # those of the lexicon first
+        words, raw = [words[i] for i in order.tolist()], [raw[i] for i in order.tolist()]
+        known = number[number >= 0]
+        ids, counts = v.word_tokens(words[len(known) :])
+        flat = np.concatenate([take(self.lexicon.ids, self.lexicon.counts, known), ids]).astype(np.int64)
+        counts = np.concatenate([self.lexicon.counts[known], counts])
+        starts = np.cumsum(counts) - counts
+        opens = np.zeros(len(flat), np.int64)
+        opens[starts] = len(v.name)
+        self.ids.update(zip(words, ",".join(map(v.opening.__getitem__, (flat + opens).tolist()))[1:].split(", "), strict=True))
+        tokens = list(map(v.bytes.__getitem__, flat.tolist()))
+        if b"".join(tokens) != b"".join(raw) or (np.add.reduceat(v.size[flat], starts) != sizes(raw)).any():
+            for w, a, n in zip(words, starts.tolist(), counts.tolist(), strict=True):
+                text = b"".join(tokens[a : a + n]).decode("utf-8", "replace")
+                if text != w:
+                    self.decoded[w] = text
 
     def parts(self, text: str) -> list[str]:
         """Words of a text, and special tokens."""
@@ -376,9 +474,9 @@ class Encoder:
         special = self.vocabulary.special
         self.learn({w for w in words if w not in special} if any(s in words for s in special) else words)
         for s in special:
-            self.ids[s], self.decoded[s] = self.vocabulary.name[special[s]], s
-        ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
-        return [(",".join(map(ids, x)), "".join(map(decoded, x)).encode()) for x in cut]
+            self.ids[s] = self.vocabulary.name[special[s]]
+        ids, decoded = self.ids.__getitem__, self.decoded.get
+        return [(",".join(map(ids, x)), "".join(map(decoded, x, x) if self.decoded else x).encode()) for x in cut]
 
 
 def groups(texts) -> Iterator[list[str]]:
@@ -481,7 +579,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, with_
                 for ids, decoded in enc.encode(group):
                     n.append(ids.count(",") + 1 if ids else 0)
                     a.append(hashlib.sha256(ids.encode()).hexdigest())
-                    b.append(hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest())
+                    b.append(hashlib.sha256(decoded).hexdigest())
                     if with_ids:
                         all_ids.append(np.array(ids.split(",") if ids else [], np.int32))
                 rows = batch.slice(start, len(group))

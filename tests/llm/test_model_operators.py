@@ -76,6 +76,36 @@ def test_odd_white_space_and_long_pieces(vocabulary, tokenizer):
         assert vocabulary.merge_long(piece) == tokenizer.encode(piece.decode(), add_special_tokens=False).ids
 
 
+def test_plain_words_are_cut_together(vocabulary, tokenizer, monkeypatch):
+    """Words of letters, digits and symbols don't go to the tokenizer's cutter one by one, and equal pieces merge once."""
+    rng = random.Random(6)
+    letters = [*"abstmdrevlABé'0123456789!#%&*-.,?_|~\u2019\u2026", "'ll", "'s", "the"]
+    words = list({rng.choice(" \n") + "".join(rng.choices(letters, k=rng.randint(1, 8))) for _ in range(20_000)})
+    assert all(bpe.PLAIN.fullmatch(w) and [p.encode() for p in bpe.PIECE.findall(w)] == vocabulary.pieces(w) for w in words)
+    words += [" zqthe" + "#" * i for i in range(9)] + [" zqthe" + "%" * i for i in range(1, 9)] + ["odd", " \u6f22\u5b57", " \xb2"]
+    merge, pieces, merged, cut = bpe.Vocabulary.merge, bpe.Vocabulary.pieces, [], []
+    monkeypatch.setattr(bpe.Vocabulary, "merge", lambda self, x: merged.extend(x) or merge(self, x))
+    monkeypatch.setattr(bpe.Vocabulary, "pieces", lambda self, w: cut.append(w) or pieces(self, w))
+    assert vocabulary.word_ids(words) == [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert len(merged) == len(set(merged)) and cut == words[-3:]
+    assert vocabulary.word_ids([]) == []
+
+
+def test_table():
+    """Every key is found at its place, others are not; also with one or no key."""
+    keys = np.random.default_rng(1).permutation(np.unique(np.random.default_rng(2).integers(0, 1 << 40, 50_000)))
+    for n in (0, 1, len(keys)):
+        table = bpe.Table(keys[:n])
+        assert (table.find(keys[:n]) == np.arange(n)).all()
+        assert (table.find(np.array([-1, -(1 << 32), 1 << 41, (7 << 32) - 1 | 1 << 50])) == n).all()
+
+
+def test_words_that_decode_differently(vocabulary):
+    """What ids decode to comes from the ids: a wrong entry of the lexicon shows, in its words alone."""
+    enc = bpe.Encoder(vocabulary, bpe.Lexicon(bpe.build_lexicon([(b" cat", vocabulary.word_ids([" dog"])[0]), (b" xy", vocabulary.word_ids([" yxz"])[0])])))
+    assert [d for _, d in enc.encode(["a cat is xy", "dog"])] == [b"a dog is yxz", b"dog"]
+
+
 def test_a_million_letters(vocabulary, tokenizer):
     piece = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
     enc = bpe.Encoder(vocabulary, bpe.Lexicon(bpe.build_lexicon([])))
