@@ -18,6 +18,7 @@ import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -35,6 +36,8 @@ HELD, HELD_BYTES = 200_000, 32 << 20
 REMEMBERED, COST = 160 << 20, 400
 #: Characters of text that are encoded together, and new words that are looked up together.
 GROUP, TOGETHER = 1_000_000, 1 << 13
+#: Bytes of remembered words for each character of such a group, at least: where few are remembered, groups are small.
+ROOM = 64
 
 COUNTED = "word binary, n long"
 #: What is surely white space, what one of two definitions alone takes for it, and what single spaces and line ends are not.
@@ -119,31 +122,33 @@ class Vocabulary:
         byte = {c: b for b, c in enumerate(letters)}
         raw = lambda token: bytes(map(byte.__getitem__, token))
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in data["model"]["merges"]]
-        self.id = {raw(t): i for t, i in data["model"]["vocab"].items()}
-        merges = sorted((self.id[raw(a)] << 32 | self.id[raw(b)], r) for r, (a, b) in enumerate(pairs))
-        self.rank_of = dict(merges)
-        self.pair = Table(np.array(list(self.rank_of), np.int64))
+        id_of = {raw(t): i for t, i in data["model"]["vocab"].items()}
+        rank_of = dict(sorted((id_of[raw(a)] << 32 | id_of[raw(b)], r) for r, (a, b) in enumerate(pairs)))
+        self.pair = Table(np.array(list(rank_of), np.int64))
         # ranks leave room for a place in a piece, and those of pairs that never merge have all bits
         kind = np.int32 if len(pairs) < 1 << 31 - PLACE - 1 else np.int64
         self.never = np.iinfo(kind).max
-        self.rank = np.array([r << PLACE for r in self.rank_of.values()] + [self.never], kind)
-        self.merged = np.array([self.id[raw(a + b)] for a, b in pairs], np.int32)
-        self.of_byte = np.array([self.id[bytes([b])] for b in range(256)], np.int32)
+        self.rank = np.array([r << PLACE for r in rank_of.values()] + [self.never], kind)
+        self.merged = np.array([id_of[raw(a + b)] for a, b in pairs], np.int32)
+        self.of_byte = np.array([id_of[bytes([b])] for b in range(256)], np.int32)
         self.byte_rank = self.ranks(np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256))
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        size = max([*self.id.values(), *self.special.values()]) + 1
-        self.bytes = [b""] * size
-        for t, i in self.id.items():
-            self.bytes[i] = t
+        tokens = [b""] * (max([*id_of.values(), *self.special.values()]) + 1)
+        for t, i in id_of.items():
+            tokens[i] = t
         for t, i in self.special.items():
-            self.bytes[i] = t.encode()
-        self.size = np.array(list(map(len, self.bytes)), np.int64)
-        self.name = [str(i) for i in range(size)]
-        self.opening = self.name + [" " + n for n in self.name]
+            tokens[i] = t.encode()
+        self.bytes, self.size = np.frombuffer(b"".join(tokens), np.uint8), sizes(tokens)
+        self.name = [*map(str, range(len(tokens))), " "]  # the last one stands between words
         self.cut = Tokenizer.from_str(json.dumps(data | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None})).pre_tokenizer  # its own vocabulary is not needed
         self.byte = byte
 
+    @cached_property
+    def rank_of(self) -> dict[int, int]:
+        """The rank of each pair that merges; only long pieces need it."""
+        return dict(zip(self.pair.keys[:-1].tolist(), (self.rank[:-1] >> PLACE).tolist()))
+
     @staticmethod
     def _check(data: dict) -> None:
         """Raise on what is not done here: other models, normalizers, cutting or options."""
@@ -445,13 +450,13 @@ class Encoder:
         flat = np.concatenate([take(self.lexicon.ids, self.lexicon.counts, known), ids]).astype(np.int64)
         counts = np.concatenate([self.lexicon.counts[known], counts])
         starts = np.cumsum(counts) - counts
-        opens = np.zeros(len(flat), np.int64)
-        opens[starts] = len(v.name)
-        self.ids.update(zip(words, ",".join(map(v.opening.__getitem__, (flat + opens).tolist()))[1:].split(", "), strict=True))
-        tokens = list(map(v.bytes.__getitem__, flat.tolist()))
-        if b"".join(tokens) != b"".join(raw) or (np.add.reduceat(v.size[flat], starts) != sizes(raw)).any():
-            for w, a, n in zip(words, starts.tolist(), counts.tolist(), strict=True):
-                text = b"".join(tokens[a : a + n]).decode("utf-8", "replace")
+        marked = np.insert(flat, starts[1:], len(v.name) - 1).tolist()
+        self.ids.update(zip(words, ",".join(map(v.name.__getitem__, marked)).split(", ,"), strict=True))
+        tokens, size = take(v.bytes, v.size, flat).tobytes(), np.add.reduceat(v.size[flat], starts)
+        if tokens != b"".join(raw) or (size != sizes(raw)).any():
+            ends = np.cumsum(size).tolist()
+            for w, a, b in zip(words, [0, *ends], ends):
+                text = tokens[a:b].decode("utf-8", "replace")
                 if text != w:
                     self.decoded[w] = text
 
@@ -479,21 +484,22 @@ class Encoder:
         return [(",".join(map(ids, x)), "".join(map(decoded, x, x) if self.decoded else x).encode()) for x in cut]
 
 
-def groups(texts) -> Iterator[list[str]]:
+def groups(texts, most: int = GROUP) -> Iterator[list[str]]:
     """An Arrow column of texts in groups of bounded size."""
     group, size = [], 0
     for x in texts:
         group.append(x.as_py())
         size += len(group[-1])
-        if size >= GROUP:
+        if size >= most:
             yield group
             group, size = [], 0
     if group:
         yield group
 
 
-def count_corpus_words(texts: DataFrame) -> DataFrame:
+def count_corpus_words(texts: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
     """Counts of all words of ``text``; each task adds up before the shuffle, in bounded memory."""
+    most, most_bytes = min(HELD, remembered // COST), min(HELD_BYTES, remembered)
 
     def count(batches):
         held: Counter = Counter()
@@ -511,9 +517,9 @@ def count_corpus_words(texts: DataFrame) -> DataFrame:
                 text = text.as_py() or ""
                 held.update(cut_words(text) if text else ())
                 size += len(text)
-                if len(held) > HELD or size > HELD_BYTES and sum(map(len, held)) > HELD_BYTES:
+                if len(held) > most or size > most_bytes and sum(map(len, held)) > most_bytes:
                     yield flush()
-                elif size > HELD_BYTES:
+                elif size > most_bytes:
                     size = 0
         if held:
             yield flush()
@@ -535,13 +541,13 @@ def _encoder(spec: str, lexicon: bytes, remembered: int = REMEMBERED) -> Encoder
     return _WORKERS[key]
 
 
-def compile_lexicon(docs: DataFrame, vocabulary: Vocabulary, least_share: float = LEAST_SHARE) -> bytes:
+def compile_lexicon(docs: DataFrame, vocabulary: Vocabulary, least_share: float = LEAST_SHARE, remembered: int = REMEMBERED) -> bytes:
     """Count all words of the corpus and compile those of at least ``least_share``.
 
     Their number is at most the share's inverse at any size of the corpus; so is
     what comes to the driver and what is broadcast.
     """
-    counts = count_corpus_words(docs.select(text_or_empty().cast("string").alias("text")))
+    counts = count_corpus_words(docs.select(text_or_empty().cast("string").alias("text")), remembered)
     counts = stage(counts.where("n > 1"), "bpe-words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     frequent = counts.where(F.col("n") >= max(2.0, total * least_share)).select("word").toLocalIterator()
@@ -559,14 +565,15 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, with_
     columns named like the results are replaced, any other name is the user's.
     Repeated rows are encoded alike; empty tables give empty results.  A worker
     holds a batch of rows, the ids of a group of texts and words up to
-    ``remembered`` bytes; with fewer, words are merged more often.
+    ``remembered`` bytes, while it counts them too; with fewer, groups are
+    smaller and words are merged more often.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
     carried = Carried(docs, keep, names)
-    lexicon = spark.sparkContext.broadcast(compile_lexicon(docs, Vocabulary(spec), least_share))
+    lexicon = spark.sparkContext.broadcast(compile_lexicon(docs, Vocabulary(spec), least_share, remembered))
     shared = spark.sparkContext.broadcast(spec)
 
     def run(batches):
@@ -574,7 +581,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, with_
         gc.disable()  # ids and words refer to nothing: there are no cycles to look for
         for batch in batches:
             texts, start = batch.column("bpe_text"), 0
-            for group in groups(texts):
+            for group in groups(texts, min(GROUP, remembered // ROOM)):
                 n, a, b, all_ids = [], [], [], []
                 for ids, decoded in enc.encode(group):
                     n.append(ids.count(",") + 1 if ids else 0)

@@ -25,8 +25,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept_documents(docs)
 
 
+#: Bytes of an Arrow batch, of which Python workers and the executors' buffers hold whole ones: rows are of any size.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound batches by bytes in this session; results don't depend on it, and frames run after their stage's function."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    small_batches(spark)
     return deduplicated(docs)
 
 
@@ -42,13 +52,14 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Bytes of words that a worker remembers while it encodes: memory is short after four stages, time is not.
-REMEMBERED = 48 << 20
+REMEMBERED = 16 << 20
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document of the mix with its token ids; of the text, digests of ids and of the decoded text stay."""
     import public_tokenizers
 
+    small_batches(spark)
     keep = [c for c in docs.columns if c != "text"]
     return encode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=keep, with_ids=True, remembered=REMEMBERED)
 

@@ -146,6 +146,44 @@ def test_memory_of_an_encoding_worker():
     assert float(code.stdout) < 100
 
 
+PIPELINE_WORKER = (
+    WORKER.replace("import bpe\n", "import bpe\nfrom corpus_pipeline import REMEMBERED\n")
+    .replace("bpe.build_lexicon([]))", "bpe.build_lexicon([]), REMEMBERED)")
+    .replace("bpe.groups(texts)", "bpe.groups(texts, REMEMBERED // bpe.ROOM)")
+)
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read here")
+def test_memory_of_the_pipelines_encoding_worker():
+    """As above with the pipeline's bound, which also makes groups small; they took 42 MB, and take 21."""
+    code = subprocess.run([sys.executable, "-c", PIPELINE_WORKER, PATH], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    assert float(code.stdout) < 32
+
+
+def test_the_pipelines_batches_are_bounded(spark):
+    """Long rows go to Python workers a few at a time, in the stages whose workers get texts or whole sets."""
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(400, numPartitions=1).selectExpr("id AS doc_id", "repeat('long row ', 9000) AS text")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.encoding):
+        spark.conf.unset(key)
+        stage(spark, docs.limit(0), "")
+        try:
+            got = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+        finally:
+            spark.conf.unset(key)
+        assert sum(got) > 5 * corpus_pipeline.BATCH and max(got) < corpus_pipeline.BATCH + (1 << 20)
+
+
+def test_counting_words_in_little_memory(spark):
+    """However few words a worker may hold, all are counted."""
+    texts = ["a b a c", "b a", None, "a  b\tc"]
+    want = {r["word"]: r["n"] for r in bpe.count_corpus_words(documents(spark, texts)).collect()}
+    assert {r["word"]: r["n"] for r in bpe.count_corpus_words(documents(spark, texts), remembered=1).collect()} == want and sum(want.values()) == 8
+
+
 def test_unsupported_tokenizers():
     import json
 
