@@ -181,7 +181,7 @@ def test_counting_words_in_little_memory(spark):
     """However few words a worker may hold, all are counted."""
     texts = ["a b a c", "b a", None, "a  b\tc"]
     want = {r["word"]: r["n"] for r in bpe.count_corpus_words(documents(spark, texts)).collect()}
-    assert {r["word"]: r["n"] for r in bpe.count_corpus_words(documents(spark, texts), remembered=1).collect()} == want and sum(want.values()) == 8
+    assert {r["word"]: r["n"] for r in bpe.count_corpus_words(documents(spark, texts), remembered=1).collect()} == want and sum(want.values()) == 9
 
 
 def test_unsupported_tokenizers():
